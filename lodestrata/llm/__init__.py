@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import packing, simhash
+    from . import mil, packing, qgram, simhash
 
-    return [simhash, packing]
+    return [qgram, mil, simhash, packing]
 
 
 def queries():

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import blocks, held_out, small_batches, table, utf8
 
@@ -170,7 +171,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """
     rest = docs.drop("score", "predicted")
     at = rest.columns.index("text")
-    schema = rest.schema.add("score", "double").add("predicted", "int")
+    schema = T.StructType([*rest.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches):
         for b in batches:
