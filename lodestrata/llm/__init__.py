@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import mil, packing, qgram, simhash
+    from . import chat, digest, mil, packing, ppm, qgram, simhash
 
-    return [qgram, mil, simhash, packing]
+    return [ppm, qgram, mil, simhash, chat, packing, digest]
 
 
 def queries():
