@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import chat, digest, mil, packing, ppm, qgram, simhash
+    from . import chat, digest, mil, packing, ppm, qgram, secrets, simhash
 
-    return [ppm, qgram, mil, simhash, chat, packing, digest]
+    return [ppm, qgram, mil, secrets, simhash, chat, packing, digest]
 
 
 def queries():

@@ -86,6 +86,11 @@ class Model:
         if self.langs:
             c = self.levels[3].context
             self.triple[self.pair[c >> 8], c & 255] = np.arange(1, len(c) + 1)
+            # Any 4-gram that one language has is known in all of them, escapes included.
+            node, symbol = np.nonzero(self.levels[ORDER].row)
+            full = self._escaping(node, c[node - 1], symbol)
+            self.known = np.zeros((len(full) + 1, len(self.langs)), np.float32)
+            self.known[self.levels[ORDER].row[node, symbol]] = full
 
     def _level(self, counts, k: int) -> Level:
         keys, numbers = [], []
@@ -107,21 +112,12 @@ class Model:
             escape[1:, j][has] = np.log2((total + kinds)[has] / kinds[has])
         return Level(context, row, cost, escape)
 
-    def costs(self, data: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Bits of each byte at ``place`` in each language."""
-        symbol = data[place]
-        a, b, c = data[place - 3], data[place - 2], data[place - 1]
-        node = self.triple[self.pair[a.astype(np.int32) << 8 | b], c]
+    def _escaping(self, node: np.ndarray, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Bits of each symbol in each language, from the longest context down."""
         top = self.levels[ORDER]
-        row = top.row[node, symbol]
-        bits = top.cost[row]
-        open_ = np.flatnonzero(np.isnan(bits).any(1))  # some language escapes
-        if not len(open_):
-            return bits
-        left = np.isnan(bits[open_])
-        sub = np.where(left, top.escape[node[open_]], bits[open_])
-        symbol = symbol[open_]
-        context = a[open_].astype(np.int64) << 16 | b[open_].astype(np.int64) << 8 | c[open_]
+        bits = top.cost[top.row[node, symbol]]
+        left = np.isnan(bits)
+        bits = np.where(left, top.escape[node], bits)
         for k in range(ORDER - 1, -1, -1):
             level = self.levels[k]
             key = context & ((1 << 8 * k) - 1)
@@ -130,14 +126,28 @@ class Model:
             node = np.where(level.context[at] == key, at + 1, 0)
             more = level.cost[level.row[node, symbol]]
             ends = left & ~np.isnan(more)
-            sub += np.where(ends, more, np.where(left, level.escape[node], 0))
+            bits += np.where(ends, more, np.where(left, level.escape[node], 0))
             left &= ~ends
-        bits[open_] = sub + np.where(left, 8.0, 0)
+        return bits + np.where(left, 8.0, 0)
+
+    def costs(self, data: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Bits of each byte at ``place`` in each language."""
+        symbol = data[place]
+        a, b, c = data[place - 3], data[place - 2], data[place - 1]
+        node = self.triple[self.pair[a.astype(np.int32) << 8 | b], c]
+        row = self.levels[ORDER].row[node, symbol]
+        bits = self.known[row]
+        open_ = np.flatnonzero(row == 0)  # new to all languages
+        if len(open_):
+            context = a[open_].astype(np.int64) << 16 | b[open_].astype(np.int64) << 8 | c[open_]
+            bits[open_] = self._escaping(node[open_], context, symbol[open_])
         return bits
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each whole text in each language."""
         total = np.zeros((len(texts), len(self.langs)))
+        if not self.langs:
+            return total
         data, place, owner = joined(texts)
         for at in range(0, len(place), BLOCK_BYTES):
             bits, own = self.costs(data, place[at : at + BLOCK_BYTES]), owner[at : at + BLOCK_BYTES]

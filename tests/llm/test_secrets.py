@@ -1,0 +1,48 @@
+import random
+
+import pytest
+
+from lodestrata.llm import secrets
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    return secrets.train(secrets.default_findings(spark))
+
+
+SCHEMA = "doc_id long, text string, source string, path string, score int"
+KEY = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "src1", "clash", 3) for i, t in rows], SCHEMA)
+
+
+def test_held_out_findings(spark, model):
+    fresh = secrets.default_findings(spark, 1000, seed=99).collect()
+    got = secrets.scan(docs(spark, list(enumerate(r.text for r in fresh))), model).collect()
+    right = [r.is_secret == bool(fresh[r.doc_id].label) for r in got]
+    assert len(right) > 900 and sum(right) / len(right) > 0.95
+
+
+def test_places_and_odd_texts(spark, model):
+    rng = random.Random(4)
+    words = lambda n: " ".join("".join(rng.choices(secrets.PAIRS, k=3)) for _ in range(n))
+    text = f'ü😀 {words(5)} token = "{KEY}" {words(4)} token = "{KEY}"'
+    long = words(30_000) + f' api_key: "ghp_{"aB3dE6gH9" * 4}" ' + words(10)
+    rows = [(1, text), (2, None), (3, ""), (None, text), (5, long), (6, words(200)), (1, text), (7, f"commit {KEY} by"), (8, 'token = "your_token_goes_here_1"')]
+    got = secrets.scan(docs(spark, rows), model).collect()
+    hits = sorted(((r.doc_id or 0, r.start, r.length) for r in got if r.is_secret))
+    at = text.index(KEY)
+    assert hits == [(0, at, 40), (1, at, 40), (1, at, 40), (5, long.index("ghp_"), 40)]
+    assert secrets.scan(docs(spark, []), model).count() == 0
+
+
+@pytest.mark.parametrize("broadcast_bytes", [0, 8 << 20])
+def test_redaction_keeps_all_else(spark, model, broadcast_bytes):
+    rows = [(1, f'a token = "{KEY}" b {KEY}'), (None, f'token = "{KEY}"'), (2, "plain text"), (3, None), (2, "plain text")]
+    d = docs(spark, rows)
+    got = secrets.redact(d, model, broadcast_bytes=broadcast_bytes)
+    assert got.columns == d.columns
+    want = [(i, t and t.replace(KEY, "[SECRET]")) for i, t in rows]
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == sorted((str(i), str(t)) for i, t in want)
