@@ -81,7 +81,7 @@ def features(found: DataFrame) -> dict[str, Column]:
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``(doc_id, text_key, path, candidate, before, after, start)``.
+    """``(doc_id, text_key, path, candidate, before, after, start, occurrences)``.
 
     One row for each different candidate of a text; ``start`` is the 0-based character
     where it first stands, and ``before`` and ``after`` are what stands around it there.
@@ -97,6 +97,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.substring(text, F.greatest(F.lit(1), at - BEFORE), F.least(at - 1, F.lit(BEFORE))).alias("before"),
             F.substring(text, at + F.length(c), F.lit(AFTER)).alias("after"),
             (at - 1).cast("long").alias("start"),
+            ((F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(c)).cast("int").alias("occurrences"),
         )
 
     return docs.select(
@@ -164,12 +165,12 @@ def _scored(docs: DataFrame, model, **columns) -> DataFrame:
 
 
 def scan(docs: DataFrame, model, threshold: float = 0.5, **columns) -> DataFrame:
-    """``(doc_id, path, start, length, score, is_secret)``: one row for each different candidate of a row.
+    """``(doc_id, path, start, length, occurrences, score, is_secret)``: one row for each different candidate of a row.
 
     The value itself isn't shown.  Null and empty texts have no rows; repeated rows repeat
     theirs; other columns are ignored; an empty table gives an empty result.
     """
-    return _scored(docs, model, **columns).select("doc_id", "path", "start", F.length("candidate").alias("length"), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
+    return _scored(docs, model, **columns).select("doc_id", "path", "start", F.length("candidate").alias("length"), "occurrences", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, model, threshold: float = 0.5, mark: str = "[SECRET]", broadcast_bytes: int = 8 << 20, path_col: str = "source") -> DataFrame:
