@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import chat, digest, mil, packing, ppm, qgram, secrets, simhash, warc
+    from . import chat, digest, loss, mil, packing, ppm, qgram, secrets, simhash, warc
 
-    return [ppm, qgram, mil, secrets, simhash, chat, packing, warc, digest]
+    return [ppm, loss, qgram, mil, secrets, simhash, chat, packing, warc, digest]
 
 
 def queries():

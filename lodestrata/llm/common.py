@@ -44,3 +44,13 @@ def blocks(values, size: int):
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes; null counts as empty and a lone surrogate cannot raise."""
     return text.encode("utf-8", "replace") if text else b""
+
+
+def checked(small: DataFrame, row_bytes: int = 16, most: int = 16 << 20) -> DataFrame:
+    """``small`` marked for broadcast if its counted rows stay below ``most`` bytes, else as it is."""
+    return F.broadcast(small) if small.count() * row_bytes < most else small
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` isn't among ``ids(doc_id)``; null ids stay."""
+    return docs.join(checked(cut(ids.select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)
