@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table
+from .common import small_batches, table, without
 
 Q = 8  # a q-gram is one 64-bit word
 RUN = re.compile(r"[\W_]+")
@@ -248,8 +248,7 @@ def _scan(docs: DataFrame, items: DataFrame, rate: float, block_chars: int) -> D
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents in which no benchmark item is found; rows without an id stay."""
-    hit = cut(contaminated(docs, benchmark, **options).select("doc_id").distinct())
-    return docs.join(hit, "doc_id", "left_anti")
+    return without(docs, contaminated(docs, benchmark, **options))
 
 
 def op3_qgram(spark, sf_dir):

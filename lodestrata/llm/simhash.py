@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, cut, small_batches, table, utf8
+from .common import blocks, checked, cut, small_batches, table, utf8, without
 
 BITS = 64
 
@@ -87,7 +87,10 @@ def choose_blocks(n: int, d: int, most: int = 32) -> int:
 
 
 def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, d: int):
-    """Spanning links between close fingerprints under equal keys; rows sorted by key."""
+    """Spanning links between close fingerprints under equal keys; rows sorted by key.
+
+    ``fp`` has one word a row, or a row of words where fingerprints are wider.
+    """
     n = len(key)
     at, found = np.arange(n), []
     step = 0
@@ -95,7 +98,8 @@ def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, d: int):
         step += 1
         at = at[at + step < n]
         at = at[key[at] == key[at + step]]
-        close = at[np.bitwise_count((fp[at] ^ fp[at + step]).view(np.uint64)) <= d]
+        apart = np.bitwise_count((fp[at] ^ fp[at + step]).view(np.uint64))
+        close = at[(apart if fp.ndim == 1 else apart.sum(1, dtype=np.int32)) <= d]
         if len(close):
             found.append((close, close + step))
     if not found:
@@ -120,29 +124,23 @@ def _forest(key: np.ndarray, fp: np.ndarray, rep: np.ndarray, d: int):
     return rep[order[label[child]]], rep[order[child]]
 
 
-def links(nodes: DataFrame, max_distance: int = 4, max_group: int = 1024, n_blocks: int | None = None) -> DataFrame:
-    """``(a, b)`` with a < b: links that join ``rep`` values of close fingerprints.
+def _close(keyed: DataFrame, d: int) -> DataFrame:
+    """``(a, b)``: spanning links of the close ones under each key of ``keyed(key, fp, rep)``."""
 
-    ``nodes`` has ``(fp, rep)``, one row for each fingerprint.  The links have the same
-    connected components as the graph of all pairs within ``max_distance`` bits.
-    """
-    d = max_distance
-    masks = _masks(n_blocks or choose_blocks(nodes.count(), d), d)
-    keyed = nodes.select(
-        "fp", "rep", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])).alias("c", "key")
-    )
-    hot = cut(keyed.groupBy("key").count().where(F.col("count") > max_group).select("key"))
-    any_hot = not hot.isEmpty()
-    cold = keyed.join(hot, "key", "left_anti") if any_hot else keyed
+    def words(fp: pa.Array) -> np.ndarray:
+        if pa.types.is_integer(fp.type):
+            return fp.to_numpy(zero_copy_only=False)
+        return np.frombuffer(b"".join(fp.to_pylist()), "<u8").reshape(len(fp), -1)
 
     def run(batches):
         held = None
         for b in batches:
-            key, fp, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not b.num_rows:
+                continue
+            key, rep = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            fp = words(b.column(1))
             if held is not None:
                 key, fp, rep = (np.concatenate(x) for x in zip(held, (key, fp, rep)))
-            if not len(key):
-                continue
             end = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
             held = key[end:], fp[end:], rep[end:]
             if end:
@@ -152,7 +150,25 @@ def links(nodes: DataFrame, max_distance: int = 4, max_group: int = 1024, n_bloc
             lo, hi = _forest(*held, d)
             yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
 
-    out = cold.select("key", "fp", "rep").repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def links(nodes: DataFrame, max_distance: int = 4, max_group: int = 1024, n_blocks: int | None = None) -> DataFrame:
+    """``(a, b)`` with a < b: links that join ``rep`` values of close fingerprints.
+
+    ``nodes`` has ``(fp, rep)``, one row for each fingerprint.  The links have the same
+    connected components as the graph of all pairs within ``max_distance`` bits.
+    """
+    d = max_distance
+    masks = _masks(n_blocks or choose_blocks(nodes.count(), d), d)
+    keyed = nodes.select(
+        "fp", "rep", F.posexplode(F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks)])).alias("c", "key")
+    )
+    hot = cut(keyed.groupBy("key").count().where(F.col("count") > max_group).select("key"))
+    any_hot = not hot.isEmpty()
+    cold = keyed.join(hot, "key", "left_anti") if any_hot else keyed
+
+    out = _close(cold.select("key", "fp", "rep"), d)
     if any_hot:
         spark = nodes.sparkSession
         near, far = d // 2, d - d // 2  # a word within near bits of one and far bits of the other lies between them
@@ -213,14 +229,100 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_fingerprint_many(texts: list[str | None], words: int, n_words: int) -> np.ndarray:
+    """SimHash of ``64 * n_words`` bits over the different shingles of each text, one row a text.
+
+    Word j's bits are those of the shingle's XXH64 mixed with j.
+    """
+    import xxhash
+
+    h = xxhash.xxh64_intdigest
+    out = np.zeros((len(texts), n_words), np.uint64)
+    salt = np.arange(1, n_words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k, text in enumerate(texts):
+        w = utf8(text).lower().split()
+        if not w:
+            continue
+        shingles = set(map(b" ".join, zip(*(w[i:] for i in range(words))))) if len(w) >= words else {b" ".join(w)}
+        hashes = np.fromiter((h(s, 42) for s in shingles), np.uint64, len(shingles))
+        ones = np.zeros(BITS * n_words, np.int64)
+        for at in range(0, len(hashes), 1 << 14):
+            x = hashes[at : at + (1 << 14), None] + salt
+            for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(by)
+            x = np.ascontiguousarray(x ^ (x >> np.uint64(31)))
+            ones += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
+    return out
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.95, max_group: int = 1024, leaders: int = 64) -> DataFrame:
+    """``(doc_id, component_id)``: components of documents whose shingle sets are alike.
+
+    Jaccard similarity s of two sets is cosine 2s / (1 + s), which SimHash turns into a
+    share arccos(cosine) / pi of differing bits.  That is 15 % at 0.8, too many for
+    every choice of blocks that must agree, so fingerprints are wider: as many blocks as
+    make ``recall`` of the pairs right at ``similarity`` share one, of so many bits that a
+    block is expected to be shared by a few dozen unrelated ones.  Pairs that share a
+    block are verified by Hamming distance over the whole fingerprint.
+
+    Equal fingerprints collapse first.  A block value with more than ``max_group``
+    fingerprints is dealt to groups of that size, and ``leaders`` of it, chosen by hash,
+    go to all of these, so that its links hold together without comparing all pairs.
+
+    Null and blank texts are equal to each other; null ids have no row unless none of
+    their group has an id; repeated rows repeat.
+    """
+    n = docs.count()
+    apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    width = int(np.clip(np.ceil(np.log2(max(n, 2) / 32)), 8, 24))
+    n_blocks = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - apart) ** width)))
+    n_words = max(4, -(-n_blocks * width // BITS))
+    bits = BITS * n_words
+    d = int(apart * bits + np.sqrt(apart * (1 - apart) * bits))  # one standard deviation of the estimate above its mean
+
+    def prints(batches):
+        for b in batches:
+            rows = [x.tobytes() for _, t in blocks(b.column(1).to_pylist(), 256) for x in wide_fingerprint_many(t, words, n_words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "fp"])
+
+    def keys(batches):
+        place = (np.arange(n_blocks, dtype=np.int64) << 32)[None, :]
+        weight = 1 << np.arange(width, dtype=np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                fp, rep = b.column(0).slice(at, 4096), b.column(1).slice(at, 4096)
+                raw = np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), -1)
+                bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : n_blocks * width]
+                key = (bits.reshape(len(fp), n_blocks, width) @ weight + place).ravel()
+                again = pa.array(np.repeat(np.arange(len(fp)), n_blocks))
+                yield pa.RecordBatch.from_arrays([pa.array(key), fp.take(again), rep.take(again)], ["key", "fp", "rep"])
+
+    own = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prints, "doc_id long, fp binary"))
+    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    named = nodes.where("rep is not null")
+    keyed = named.select("fp", "rep").mapInArrow(keys, "key long, fp binary, rep long")
+    hot = cut(named.select("fp", "rep").mapInArrow(keys, "key long, fp binary, rep long").groupBy("key").count().where(F.col("count") > max_group).withColumnRenamed("count", "n"))
+    if not hot.isEmpty():
+        groups = F.ceil(F.col("n") / max_group).cast("long")
+        deal = F.when(F.pmod(F.xxhash64("rep"), F.col("n")) < leaders, F.sequence(F.lit(0).cast("long"), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep", "key"), groups)))
+        keyed = keyed.join(checked(hot), "key", "left").select(F.explode(F.coalesce(deal, F.array(F.lit(None).cast("long")))).alias("deal"), "key", "fp", "rep")
+        keyed = keyed.select(F.when(F.col("deal").isNull(), F.col("key")).otherwise(F.xxhash64("key", "deal")).alias("key"), "fp", "rep")
+    roots = components(_close(keyed, d).distinct())
+    place = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return own.join(place, "fp").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the smallest id of their component, each once.
+    """One document of each component of ``similar``: the one of the smallest id.
 
-    Where rows repeat an id, one of its rows stays; rows without an id go.
+    Where rows repeat an id, one of its rows stays; rows without an id all stay.
     """
-    kept = cut(near_duplicates(docs, **options).where("doc_id = component_id").groupBy("doc_id").count())
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi")
-    return out if kept.where("count > 1").isEmpty() else out.dropDuplicates(["doc_id"])  # spares whole texts a sort where no id repeats
+    found = cut(similar(docs, **options).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")))
+    left = without(docs, found.where("first != doc_id"))
+    if found.where("n > 1").isEmpty():  # spares whole texts a sort where no id repeats
+        return left
+    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
 
 
 def op6_simhash(spark, sf_dir):

@@ -92,4 +92,34 @@ def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (None, "lonely text of its own here"), (9, "A b c d e")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == [(3, 3), (3, 3), (9, 3), (None, 3), (None, None)]
-    assert [r.doc_id for r in simhash.keep_one(df).collect()] == [3]
+    assert [r.doc_id for r in simhash.keep_one(df).collect()] == [3, None, None]
+
+
+def near_corpus(n, copies, seed=9):
+    """Base texts, each with copies of which about one word in 60 differs."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(n):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for k in range(copies[i % len(copies)]):
+            rows.append((len(rows), " ".join(w if k == 0 or rng.random() > 0.01 else f"x{rng.randrange(9999)}" for w in base), i))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("max_group", [1024, 20])
+def test_similar_texts_meet(spark, max_group):
+    rows = near_corpus(40, [1, 1, 2, 5] if max_group == 1024 else [1, 120])
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string, component_id long"), max_group=max_group).collect()}
+    of = {i: b for i, _, b in rows}
+    first = {b: min(i for i in of if of[i] == b) for b in of.values()}
+    assert all(of[got[i]] == of[i] for i in of)  # no two base texts meet
+    assert sum(got[i] == first[of[i]] for i in of) >= 0.97 * len(of)
+
+
+def test_keep_one_of_similar(spark):
+    rows = [(3, "a b c d e f g", 0), (5, "a b c d e f g", 0), (6, "something else in five words", 0), (7, None, 0), (8, " ", 0), (None, "a b c d e f g", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "6", "7", "None"]
+    assert simhash.keep_one(df.limit(0)).count() == 0
