@@ -1,0 +1,379 @@
+"""Registered queries over the driver's tables, each beside its SQL twin."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import rules
+from ..functions import text as T
+from ..operators import findings, incremental, records, score, stats, transfer, tree
+from ..sources import corpus
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with the SQL that gives the same rows."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def _records(spark, sf_dir, **options) -> DataFrame:
+    return records.records(corpus.documents(spark, sf_dir), **options)
+
+
+FILES = "files as (select doc_id, source || '/' || doc_id || '.' || lang as rel_path, text as content, source, lang from documents)"
+RAW = "split as (select *, string_split(content, chr(10)) as r from files)"
+LINES = "lines as (select doc_id, rel_path, unnest(s) as line, generate_subscripts(s, 1) as line_number from (select *, case when r[-1] = '' then r[1:len(r) - 1] else r end as s from split))"
+MARKED = (
+    "marked as (select doc_id, rel_path, string_agg(case when (p - 1) % 7 = 0 then '# TODO ' || x when (p - 1) % 7 = 3 then '// ' || x else x end, chr(10) order by p) as content "
+    "from (select doc_id, rel_path, unnest(r) as x, generate_subscripts(r, 1) as p from split) group by all)"
+)
+MARKED_LINES = f"with {FILES}, {RAW}, {MARKED}, split2 as (select *, string_split(content, chr(10)) as r from marked), {LINES.replace('from split)', 'from split2)')}"
+COUNTED = """counted as (select rel_path, count(*) as total_lines, count(*) filter (regexp_matches(line, '^\\s*(#|//)')) as comment_lines, count(*) filter (regexp_matches(line, '^\\s*$')) as blank_lines
+    from lines group by rel_path)"""
+RECORDS = "records as (select doc_id, rel_path, source, lang, octet_length(encode(content)) as size, '.' || lang as extension, case when octet_length(encode(content)) between 1 and 524288 then sha256(content) end as content_hash from files)"
+
+
+@query(
+    f"""{MARKED_LINES}, {COUNTED}
+    select f.rel_path, coalesce(total_lines, 0) as total_lines, coalesce(total_lines - comment_lines - blank_lines, 0) as code_lines, coalesce(comment_lines, 0) as comment_lines, coalesce(blank_lines, 0) as blank_lines
+    from files f left join counted c using (rel_path)"""
+)
+def line_stats_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = corpus.with_markers(corpus.documents(spark, sf_dir))
+    return records.records(files).select("rel_path", "total_lines", "code_lines", "comment_lines", "blank_lines")
+
+
+@query(
+    f"""{MARKED_LINES}, {COUNTED}
+    select (select count(*) from files) as total_files, cast(0 as bigint) as hidden_files, cast(0 as bigint) as binary_files, cast(0 as bigint) as broken_symlinks,
+      (select count(*) from marked where content = '') as empty_files, cast(0 as bigint) as executable_files, cast(0 as bigint) as temporary_files, cast(0 as bigint) as cache_files,
+      cast(sum(total_lines) as bigint) as total_lines, cast(sum(total_lines - comment_lines - blank_lines) as bigint) as code_lines, cast(sum(comment_lines) as bigint) as comment_lines, cast(sum(blank_lines) as bigint) as blank_lines
+    from counted"""
+)
+def corpus_stats(spark, sf_dir):
+    return stats.project_stats(records.records(corpus.with_markers(corpus.documents(spark, sf_dir))))
+
+
+@query(f"with {FILES}, {RECORDS} select extension, count(*) as files from records group by extension")
+def files_by_extension(spark, sf_dir):
+    return stats.by_extension(_records(spark, sf_dir))
+
+
+@query(f"with {FILES}, {RECORDS} select source as directory, cast(sum(size) as bigint) as size from records group by source order by size desc, directory limit 15")
+def dir_sizes_top15(spark, sf_dir):
+    return stats.directory_sizes(_records(spark, sf_dir))
+
+
+@query(f"with {FILES}, {RECORDS} select rel_path, size from records order by size desc, rel_path limit 20")
+def largest_files_top20(spark, sf_dir):
+    return stats.largest_files(_records(spark, sf_dir))
+
+
+@query(
+    f"""with {FILES}, {RECORDS} select left(content_hash, 12) as digest, count(*) as files, min(rel_path) as first_path, cast((count(*) - 1) * min(size) as bigint) as wasted
+    from records where content_hash is not null group by content_hash having count(*) > 1"""
+)
+def duplicate_groups(spark, sf_dir):
+    return stats.duplicate_groups(_records(spark, sf_dir))
+
+
+@query(f"with {FILES}, {RECORDS} select left(content_hash, 12) as digest, rel_path from records where content_hash in (select content_hash from records group by content_hash having count(*) > 1)")
+def duplicate_files(spark, sf_dir):
+    return stats.duplicate_files(_records(spark, sf_dir))
+
+
+@query(
+    f"""with {FILES}, {RECORDS}, capped as (select *, row_number() over (order by content_hash is null, rel_path) as n from records)
+    select rel_path, size, case when n <= 500 then content_hash end as content_hash from capped"""
+)
+def hash_capped(spark, sf_dir):
+    return records.cap_hashes(_records(spark, sf_dir), 500).select("rel_path", "size", "content_hash")
+
+
+PROJECT_PATH = "case lang when 'en' then source || '/' || doc_id || '.md' when 'fr' then 'core/' || source || '/' || doc_id || '.py' when 'de' then 'docs/' || doc_id || '.txt' else source || '/credentials-' || doc_id || '.json' end"
+
+
+def _project(spark, sf_dir) -> DataFrame:
+    """Documents under the names of a software project, by language."""
+    return corpus.table(spark, sf_dir, "documents").select("doc_id", F.expr(PROJECT_PATH).alias("rel_path"), F.col("text").alias("content"))
+
+
+@query(
+    f"""with files as (select {PROJECT_PATH} as rel_path, octet_length(encode(text)) as size from documents)
+    select rel_path, size, case when contains(rel_path, 'credentials') then 'excluded' when size > 5000 then 'skipped' else 'included' end as bucket from files"""
+)
+def essential_split(spark, sf_dir):
+    return findings.essential_split(records.records(_project(spark, sf_dir)), 5000)
+
+
+@query(f"select {PROJECT_PATH} as rel_path, cast(case lang when 'fr' then 1 when 'de' then 0 else 2 end as integer) as bucket from documents")
+def reading_order(spark, sf_dir):
+    return score.reading_order(_project(spark, sf_dir))
+
+
+ASSIGNED = rules.SECRET_RULES[-1][1].replace("'", "''")
+SECRETS = f"secrets as (select rel_path, line_number, 'Assigned Secret' as pattern_name, false as is_test_fixture from lines where regexp_matches(line, '{ASSIGNED}'))"
+
+
+@query(f"with {FILES}, {RAW}, {LINES}, {SECRETS} select * from secrets")
+def secret_lines(spark, sf_dir):
+    return findings.scan_secrets(corpus.documents(spark, sf_dir))
+
+
+TODO = r"(?i)\b(TODO|FIXME|BUG|HACK|SAFETY|XXX)\b"
+CLEAN = r"regexp_replace(line, '^\s+|\s+$', '', 'g')"
+TODOS = f"todos as (select rel_path, line_number, upper(regexp_extract(line, '{TODO}', 1)) as kind, case when length({CLEAN}) > 200 then left({CLEAN}, 197) || '...' else {CLEAN} end as content from lines where regexp_matches(line, '{TODO}'))"
+
+
+@query(f"{MARKED_LINES}, {TODOS} select * from todos")
+def todo_scan(spark, sf_dir):
+    return findings.scan_todos(corpus.with_markers(corpus.documents(spark, sf_dir)))
+
+
+@query(f"{MARKED_LINES}, {TODOS} select * from todos order by rel_path, line_number limit 1000")
+def todo_first_1000(spark, sf_dir):
+    return findings.scan_todos(corpus.with_markers(corpus.documents(spark, sf_dir)), rules.TODO_MAX)
+
+
+def _outputs(spark, sf_dir) -> DataFrame:
+    """Events as outputs of tools: a line by kind and one by value."""
+    status = F.when(F.col("value") > 50, "run Failed").when(F.col("value") > 20, "Warning: slow, failed once").otherwise("ok")
+    return corpus.table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("source"), F.concat("event_type", F.lit(": "), F.coalesce("props", F.lit("")), F.lit("\n  "), status, F.lit("\n")).alias("raw_output"))
+
+
+OUTPUTS = """outputs as (select event_type as source, event_type || ': ' || coalesce(props, '') || chr(10) || '  ' || case when value > 50 then 'run Failed' when value > 20 then 'Warning: slow, failed once' else 'ok' end || chr(10) as raw_output from events),
+    out_lines as (select source, unnest(string_split(raw_output, chr(10))) as line from outputs),
+    issues as (select source, 'warning' as severity, trim(line) as message from out_lines where regexp_matches(lower(line), 'warning:|warning\\[|deprecated|unused')
+    union all select source, 'error', trim(line) from out_lines where regexp_matches(lower(line), 'error:|failed|traceback|panic|exception'))"""
+
+
+@query(f"with {OUTPUTS} select * from issues")
+def issue_lines(spark, sf_dir):
+    return findings.scan_issues(_outputs(spark, sf_dir))
+
+
+@query(f"with {OUTPUTS} select source, severity, count(*) as issues from issues group by source, severity")
+def issue_totals(spark, sf_dir):
+    return findings.scan_issues(_outputs(spark, sf_dir)).groupBy("source", "severity").agg(F.count("*").alias("issues"))
+
+
+@query(
+    f"with {OUTPUTS} "
+    + " union all ".join(
+        f"select '{p}' as pattern, '{e}' as explanation, coalesce(bool_or(regexp_matches(lower(raw_output), '\\b{p.lower()}')), false) as found from outputs" for p, e in rules.KNOWN_ISSUES
+    )
+)
+def known_issues(spark, sf_dir):
+    return findings.known_issues(_outputs(spark, sf_dir))
+
+
+@query(f"with {FILES}, {RAW}, {LINES}, {SECRETS} select rel_path from files where rel_path not in (select rel_path from secrets)")
+def exclude_flagged(spark, sf_dir):
+    files = corpus.documents(spark, sf_dir)
+    return findings.exclude_flagged(files.select("rel_path"), findings.scan_secrets(files))
+
+
+@query(f"with {FILES}, {RAW}, {LINES}, {SECRETS} select rel_path from files where rel_path in (select rel_path from secrets)")
+def flagged_only(spark, sf_dir):
+    files = corpus.documents(spark, sf_dir)
+    return findings.flagged(files.select("rel_path"), findings.scan_secrets(files))
+
+
+@query(f"with {FILES}, {RAW}, {LINES}, {SECRETS} select rel_path, case when rel_path in (select rel_path from secrets) then 'content' else 'name' end as reason from files where lang = 'es' or rel_path in (select rel_path from secrets)")
+def exclusion_reasons(spark, sf_dir):
+    files = corpus.documents(spark, sf_dir)
+    secrets = findings.scan_secrets(files)
+    excluded = files.where("rel_path like '%.es'").select("rel_path").union(findings.flagged(files.select("rel_path"), secrets)).distinct()
+    return findings.exclusion_reasons(excluded, secrets)
+
+
+def _previous(spark, sf_dir) -> DataFrame:
+    """Records as an earlier run had them: by a hash of the id some were absent or had other content."""
+    lot = F.substring(F.sha2(F.col("doc_id").cast("string"), 256), 1, 1)
+    before = corpus.with_markers(corpus.documents(spark, sf_dir)).where(lot != "0").withColumn("content", F.when(lot == "1", F.concat("content", F.lit("# TODO gone\n"))).otherwise(F.col("content")))
+    return before
+
+
+def _cache(spark, sf_dir) -> DataFrame:
+    before = _previous(spark, sf_dir)
+    return incremental.build_cache(records.records(before), findings.scan_todos(before), findings.scan_secrets(before))
+
+
+LOT = "left(sha256(cast(doc_id as varchar)), 1)"
+
+
+@query(f"with {FILES} select rel_path from files where content != '' and {LOT} not in ('0', '1')")
+def cache_hits(spark, sf_dir):
+    now = records.records(corpus.with_markers(corpus.documents(spark, sf_dir)))
+    return incremental.hits(now, _cache(spark, sf_dir)).select("rel_path")
+
+
+@query(f"with {FILES} select rel_path from files where content = '' or {LOT} in ('0', '1')")
+def cache_changed(spark, sf_dir):
+    now = records.records(corpus.with_markers(corpus.documents(spark, sf_dir)))
+    return incremental.changed(now, _cache(spark, sf_dir)).select("rel_path")
+
+
+@query(f"{MARKED_LINES}, {TODOS} select * from todos")
+def incremental_todos(spark, sf_dir):
+    """Scanned findings of changed files and cached ones of the rest: all that a full scan finds."""
+    files = corpus.with_markers(corpus.documents(spark, sf_dir))
+    cache = _cache(spark, sf_dir)
+    parted = incremental.partition(records.records(files), cache)
+    scanned = findings.scan_todos(files.join(parted.where("not is_hit").select("rel_path"), "rel_path", "left_semi"))
+    return incremental.combined(scanned, incremental.cached_findings(parted.where("is_hit"), cache, "todos"))
+
+
+@query(
+    f"""{MARKED_LINES}, {TODOS}, t as (select rel_path, count(*) as n from todos group by rel_path), {SECRETS}, s as (select rel_path, count(*) as n from secrets group by rel_path)
+    select m.rel_path, sha256(m.content || case when {LOT} = '1' then '# TODO gone' || chr(10) else '' end) as hash,
+      coalesce(t.n, 0) + cast({LOT} = '1' and (m.content = '' or m.content like '%' || chr(10)) as integer) as todos, coalesce(s.n, 0) as secrets
+    from marked m left join t using (rel_path) left join s using (rel_path) where {LOT} != '0' and m.content || {LOT} != ''
+      and not ({LOT} = '1' and not (m.content = '' or m.content like '%' || chr(10)))"""
+)
+def cache_entries(spark, sf_dir):
+    """Entries of the earlier run; of changed files only those whose text had ended its last line."""
+    kept = F.substring(F.sha2(F.regexp_extract("rel_path", r"/(\d+)\.", 1), 256), 1, 1)
+    ended = corpus.with_markers(corpus.documents(spark, sf_dir)).where(F.col("content").endswith("\n") | (F.col("content") == "")).select("rel_path")
+    cache = _cache(spark, sf_dir)
+    sure = cache.where(kept != "1").unionByName(cache.where(kept == "1").join(ended, "rel_path", "left_semi"))
+    return sure.select("rel_path", "hash", F.size("todos").cast("long").alias("todos"), F.size("secrets").cast("long").alias("secrets"))
+
+
+@query(f"{MARKED_LINES}, {TODOS}, {SECRETS}, {OUTPUTS} "
+    "select 'secret/assigned-secret' as rule_id, 'error' as level, 'Possible Assigned Secret' as message, rel_path as path, line_number as line from secrets "
+    "union all select 'todo/' || lower(kind), 'note', content, rel_path, line_number from todos union all select 'tool/' || lower(source), severity, message, '', 0 from issues")
+def sarif_results(spark, sf_dir):
+    files = corpus.with_markers(corpus.documents(spark, sf_dir))
+    found = findings.sarif_results(findings.scan_todos(files), findings.scan_secrets(files), findings.scan_issues(_outputs(spark, sf_dir)))
+    return found.fillna({"path": "", "line": 0})
+
+
+# Lines with their ends; the tables have no line boundary but LF.
+KEPT = "kept as (select rel_path, list_transform(s, lambda x, i: case when i < len(r) then x || chr(10) else x end) as s from (select rel_path, r, case when r[-1] = '' then r[1:len(r) - 1] else r end as s from split))"
+SIZED = f"sized as (select rel_path, i, (i - 1) // {{0}} as block, octet_length(encode(s[i])) as n, len(s) as total, s[i] as line from kept, unnest(range(1, len(s) + 1)) as u(i))"
+#: The fold as recursion: all texts advance a line at a time; ``g`` numbers chunks, ``open`` their size or -1 behind a line that stands alone.
+FOLD = """fold as (select rel_path, i, block, case when n > {1} then -1 else n end as open, 1 as g from sized where i = 1
+    union all select s.rel_path, s.i, s.block,
+      case when n > {1} then -1 when s.block != f.block or f.open < 0 or f.open + n > {1} then n else f.open + n end,
+      case when n > {1} or s.block != f.block or f.open < 0 or f.open + n > {1} then g + 1 else g end
+    from fold f join sized s on s.rel_path = f.rel_path and s.i = f.i + 1)"""
+CHUNKS = """chunks as (select s.rel_path, min(s.block) as block, g as chunk_index, any_value(total) as total, string_agg(line, '' order by s.i) as body from sized s join fold f on s.rel_path = f.rel_path and s.i = f.i group by s.rel_path, g)"""
+
+
+def _chunk_sql(block_lines: int, chunk_bytes: int) -> str:
+    head = f"with recursive {FILES}, {RAW}, {KEPT}, {SIZED}, {FOLD}, {CHUNKS} "
+    return head.replace("{0}", str(block_lines)).replace("{1}", str(chunk_bytes))
+
+
+@query(
+    _chunk_sql(20, 1500)
+    + """select rel_path, cast(block as integer) as block, cast(ceil(total / 20) as integer) as total_blocks, cast(chunk_index as integer) as chunk_index,
+      cast(max(chunk_index) over (partition by rel_path) as integer) as total_chunks, cast(block * 20 + 1 as integer) as start_line, cast(least((block + 1) * 20, total) as integer) as end_line,
+      cast(octet_length(encode(body)) as integer) as chunk_bytes, 'sha256:' || sha256(body) as chunk_hash from chunks"""
+)
+def chunk_plan(spark, sf_dir):
+    chunks = transfer.split_chunks(corpus.documents(spark, sf_dir), 20, 1500)
+    return chunks.select("rel_path", "block", "total_blocks", "chunk_index", "total_chunks", "start_line", "end_line", "chunk_bytes", "chunk_hash")
+
+
+@query(
+    _chunk_sql(1000, 4000)
+    + f"""select rel_path, cast(chunk_index as integer) as chunk_index, '----- {transfer.NAME} CHUNK ' || chunk_index || '/' || max(chunk_index) over (partition by rel_path) || ' -----' || chr(10)
+      || 'session_id=' || rel_path || chr(10) || 'report_id=' || left(sha256(content), 16) || chr(10) || 'block=' || block || chr(10) || 'total_blocks=' || cast(ceil(total / 1000) as bigint) || chr(10)
+      || 'start_line=' || (block * 1000 + 1) || chr(10) || 'end_line=' || least((block + 1) * 1000, total) || chr(10) || 'chunk_bytes=' || octet_length(encode(body)) || chr(10)
+      || 'chunk_hash=sha256:' || sha256(body) || chr(10) || '----- {transfer.NAME} CHUNK-BODY -----' || chr(10) as header from chunks join files using (rel_path)"""
+)
+def chunk_headers(spark, sf_dir):
+    chunks = transfer.split_chunks(corpus.documents(spark, sf_dir))
+    return transfer.envelopes(chunks, F.col("rel_path"), F.lit("2026-01-01T00:00:00Z")).select("rel_path", "chunk_index", "header")
+
+
+@query(f"with {FILES} select rel_path, 'VERIFIED' as status, sha256(content) as hash from files where content != ''")
+def transfer_round_trip(spark, sf_dir):
+    """Split, wrap, parse, verify and rebuild every document."""
+    sent = transfer.envelopes(transfer.split_chunks(corpus.documents(spark, sf_dir)), F.col("rel_path"), F.lit("2026-01-01T00:00:00Z")).select("rel_path", "message")
+    return transfer.verify(transfer.parse_chunks(sent), "rel_path").select("rel_path", "status", F.sha2("content", 256).alias("hash"))
+
+
+@query("select conv_id, sha256(string_agg(text, '' order by turn)) as hash from conversations group by conv_id")
+def transfer_hash(spark, sf_dir):
+    return transfer.ordered_hash(corpus.table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+
+
+@query("select conv_id, count(*) as received, max(turn) as highest, max(turn) + 1 - count(distinct turn) as missing from conversations where role = 'assistant' group by conv_id")
+def transfer_completeness(spark, sf_dir):
+    return transfer.completeness(corpus.table(spark, sf_dir, "conversations").where("role = 'assistant'"), "conv_id", "turn")
+
+
+@query("select distinct conv_id, turn from conversations c where role != 'assistant' and not exists (select 1 from conversations a where a.role = 'assistant' and a.conv_id = c.conv_id and a.turn = c.turn)")
+def missing_parts(spark, sf_dir):
+    turns = corpus.table(spark, sf_dir, "conversations")
+    return transfer.missing_parts(turns.where("role = 'assistant'"), turns.where("role != 'assistant'").select("conv_id", "turn").distinct(), ["conv_id", "turn"])
+
+
+LANGUAGES = {".en": "English", ".fr": "French", ".de": "German", ".es": "Spanish"}
+
+
+@query("select case lang when 'en' then 'English' when 'fr' then 'French' when 'de' then 'German' else 'Spanish' end as language, count(*) as files from documents where lang in ('en', 'fr', 'de', 'es') group by lang order by files desc, language limit 1")
+def majority_language(spark, sf_dir):
+    return score.majority_language(corpus.documents(spark, sf_dir), LANGUAGES)
+
+
+@query(
+    f"""{MARKED_LINES}, {TODOS}, {SECRETS},
+    r as (select event_type as kind, count(*) as n, count(*) filter (value > 20) as run, count(*) filter (value > 50) as ok from
+      (select case when event_id % 3 = 0 then 'test' when event_id % 3 = 1 then 'quality' else 'security' end as event_type, value from events) group by 1),
+    c as (select round_even(25.0 * (select ok from r where kind = 'test') / (select run from r where kind = 'test'), 1) as tests, round_even(20.0 * (select ok from r where kind = 'quality') / (select run from r where kind = 'quality'), 1) as quality, 5.0::double as security,
+      4.0::double as git, (15 - case when (select count(*) from todos) > 50 then 5 else 0 end - case when (select count(*) from files where content = '') > 10 then 2 else 0 end - case when (select count(*) from secrets) > 0 then 10 else 0 end)::double as code, 8.0::double as tooling)
+    select cast(tests as double) as tests, cast(quality as double) as quality, security, git, greatest(code, 0)::double as code, tooling, cast(round_even(tests + quality + security + git + greatest(code, 0) + tooling, 1) as double) as score from c"""
+)
+def health_components(spark, sf_dir):
+    """Events as tool runs: kind by id, skipped below 20, passed above 50."""
+    kind = F.when(F.col("event_id") % 3 == 0, "test").when(F.col("event_id") % 3 == 1, "quality").otherwise("security")
+    runs = corpus.table(spark, sf_dir, "events").select(kind.alias("kind"), F.when(F.col("value") > 50, 0).otherwise(1).alias("returncode"), (F.col("value") <= 20).alias("skipped"))
+    files = corpus.with_markers(corpus.documents(spark, sf_dir))
+    made = score.health(runs, {"dirty": True, "untracked": 30}, findings.scan_todos(files), findings.scan_secrets(files), stats.project_stats(_records(spark, sf_dir)), 4)
+    return made.select("tests", "quality", "security", "git", "code", "tooling", "score")
+
+
+@query(
+    f"""with {FILES}, {RECORDS} select rel_path, case when size < 1024 then printf('%.1f B', size::double) when size < 1048576 then printf('%.1f KiB', size / 1024.0::double) else printf('%.1f MiB', size / 1048576.0::double) end as human
+    from records"""
+)
+def human_sizes(spark, sf_dir):
+    return _records(spark, sf_dir).select("rel_path", T.human_size("size").alias("human"))
+
+
+@query(
+    r"""select page_id, coalesce(nullif(lower(regexp_replace(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '-+', '-', 'g'), '^[-.]+|[-.]+$', '', 'g')), ''), 'project') as slug from pages"""
+)
+def slugs(spark, sf_dir):
+    return corpus.table(spark, sf_dir, "pages").select("page_id", T.slug("url").alias("slug"))
+
+
+@query(
+    f"""with {FILES}, nodes as (select distinct source as path, '' as parent, source as name, 1 as depth, false as is_file from files union select rel_path, source, split_part(rel_path, '/', 2), 2, true from files),
+    ranked as (select *, row_number() over (partition by parent order by is_file, lower(name), name) as rank, count(*) over (partition by parent) as siblings from nodes)
+    select path, parent, name, cast(depth as integer) as depth, is_file, cast(rank as integer) as rank, siblings from ranked
+    where rank <= 15 and (depth = 1 or parent in (select path from ranked where depth = 1 and rank <= 15))"""
+)
+def tree_entries(spark, sf_dir):
+    return tree.entries(corpus.documents(spark, sf_dir), max_entries=15)
+
+
+@query(f"with {FILES} select 'Unknown' as primary_language, 'unknown (no build-system marker found)' as project_type, 'none detected' as build_system, false as is_recognized, (select count(*) from files) as files")
+def project_detection(spark, sf_dir):
+    files = corpus.documents(spark, sf_dir)
+    found = score.detect_project(files).select("primary_language", "project_type", "build_system", "is_recognized")
+    return found.crossJoin(files.agg(F.count("*").alias("files")))  # one row each
