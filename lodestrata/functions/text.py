@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import rules
 
-#: Every boundary after which a new line starts, its end kept on the line before.
-KEEP_ENDS = r"(?<=\r\n)|(?<=\r)(?!\n)|(?<=[\n\x0B\x0C\x1C-\x1E\u0085  ])"
+# Line ends, and a line with its end; possessive, so that a text is walked once.
+ENDS = "\\n\\r\\x0B\\x0C\\x1C-\\x1E\\u0085\\u2028\\u2029"
+KEPT_LINE = rf"[^{ENDS}]*+(?:\r\n|[{ENDS}])|[^{ENDS}]++"
 
 
 def col(c: Column | str) -> Column:
@@ -21,6 +22,11 @@ def _without_last_empty(parts: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once; inside a lambda an expression would be again for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def lines_lf(text) -> Column:
     """Lines ended by LF, without their ends; no phantom line after the last end."""
     return _without_last_empty(F.split(col(text), "\n", -1))
@@ -33,7 +39,7 @@ def lines_universal(text) -> Column:
 
 def lines_keep_ends(text) -> Column:
     """Lines with their ends, at every Unicode line boundary; concatenated they are the text."""
-    return _without_last_empty(F.split(col(text), KEEP_ENDS, -1))
+    return F.regexp_extract_all(col(text), F.lit(KEPT_LINE), F.lit(0))
 
 
 def is_blank(line) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -14,10 +15,22 @@ TODO = rf"(?iU)\b({'|'.join(rules.TODO_WORDS)})\b"
 FIXTURE = r"(^|/)tests?/"
 
 
-def numbered_lines(files: DataFrame, pattern: str) -> DataFrame:
-    """``(rel_path, line_number, line)`` of the lines that match; files without a match aren't split."""
-    lines = files.where(F.col("content").rlike(pattern)).select("rel_path", F.posexplode(T.lines_universal("content")).alias("pos", "line"))
-    return lines.where(F.col("line").rlike(pattern)).select("rel_path", (F.col("pos") + 1).cast("long").alias("line_number"), "line")
+def numbered_lines(files: DataFrame, pattern: str, may: Callable[[Column], Column]) -> DataFrame:
+    """``(rel_path, line_number, line)`` of the lines that match.
+
+    ``may`` is a cheap test that every match passes; only files and lines that pass it
+    are split and matched, so most text is looked at once.
+    """
+    lines = files.where(may(F.col("content"))).select("rel_path", F.posexplode(T.lines_universal("content")).alias("pos", "line"))
+    return lines.where(may(F.col("line"))).where(F.col("line").rlike(pattern)).select("rel_path", (F.col("pos") + 1).cast("long").alias("line_number"), "line")
+
+
+def _may_be_todo(c: Column) -> Column:
+    return T.contains_any(F.lower(c), [w.lower() for w in rules.TODO_WORDS])
+
+
+def _may_be_secret(c: Column) -> Column:
+    return T.contains_any(c, rules.SECRET_PARTS) | c.rlike(rules.ASSIGNMENT)
 
 
 def scan_todos(files: DataFrame, most: int | None = None) -> DataFrame:
@@ -25,14 +38,14 @@ def scan_todos(files: DataFrame, most: int | None = None) -> DataFrame:
 
     ``most`` keeps the first by path and line, as a report does; a cache keeps all.
     """
-    found = numbered_lines(files, TODO).select("rel_path", "line_number", F.upper(F.regexp_extract("line", TODO, 1)).alias("kind"), T.truncated("line").alias("content"))
+    found = numbered_lines(files, TODO, _may_be_todo).select("rel_path", "line_number", F.upper(F.regexp_extract("line", TODO, 1)).alias("kind"), T.truncated("line").alias("content"))
     return found if most is None else found.orderBy("rel_path", "line_number").limit(most)
 
 
 def scan_secrets(files: DataFrame) -> DataFrame:
     """``(rel_path, line_number, pattern_name, is_test_fixture)``, one row a rule and line, never the value."""
     every = "|".join(f"(?:{p})" for _, p in rules.SECRET_RULES)
-    lines = numbered_lines(files, every)
+    lines = numbered_lines(files, every, _may_be_secret)
     named = F.filter(F.array(*[F.when(F.col("line").rlike(p), F.lit(n)) for n, p in rules.SECRET_RULES]), lambda x: x.isNotNull())
     return lines.select("rel_path", "line_number", F.explode(named).alias("pattern_name"), F.col("rel_path").rlike(FIXTURE).alias("is_test_fixture"))
 

@@ -16,8 +16,8 @@ VERSION = 1
 NAME = "CORPUS RC"
 
 
-def _folded(lines: Column, block: Column, first: Column, chunk_bytes: int) -> Column:
-    """Chunks ``(block, a, b)`` of one block's lines: greedy up to ``chunk_bytes``; a longer line is alone."""
+def _folded(lines: Column, block: Column, n: Column, chunk_bytes: int) -> Column:
+    """Chunks ``(block, n, body)`` of one block's lines: greedy up to ``chunk_bytes``; a longer line is alone."""
     span = lambda a, b: F.array(F.struct(a.alias("a"), b.alias("b")))
     none = F.array().cast("array<struct<a:int,b:int>>")
     start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("a"), F.lit(0).alias("size"), none.alias("done"))
@@ -31,7 +31,7 @@ def _folded(lines: Column, block: Column, first: Column, chunk_bytes: int) -> Co
         return F.when(n > chunk_bytes, alone).when(s["size"] + n > chunk_bytes, fresh).otherwise(more)
 
     done = F.aggregate(lines, start, step, lambda s: F.when(s["i"] > s["a"], F.concat(s["done"], span(s["a"], s["i"]))).otherwise(s["done"]))
-    return F.transform(done, lambda x: F.struct(block.alias("block"), (first + x["a"]).alias("a"), (first + x["b"]).alias("b")))
+    return F.transform(done, lambda x: F.struct(block.alias("block"), n.alias("n"), F.array_join(F.slice(lines, x["a"] + 1, x["b"] - x["a"]), "").alias("body")))
 
 
 def split_chunks(texts: DataFrame, block_lines: int = rules.BLOCK_LINES, chunk_bytes: int = rules.CHUNK_BYTES) -> DataFrame:
@@ -41,19 +41,16 @@ def split_chunks(texts: DataFrame, block_lines: int = rules.BLOCK_LINES, chunk_b
     body, chunk_bytes, chunk_hash, report_hash)``; ``start_line`` and ``end_line`` are
     those of the block.  An empty text has no chunk.
     """
-    lines = texts.where(F.octet_length("content") > 0).select("rel_path", T.sha256_mark("content").alias("report_hash"), T.lines_keep_ends("content").alias("lines"))
-    n = F.size("lines")
-    blocks = F.ceil(n / block_lines).cast("int")
-    chunks = F.flatten(
-        F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: _folded(F.slice("lines", b * block_lines + 1, F.lit(block_lines)), b, b * block_lines, chunk_bytes))
-    )
-    rows = lines.select("*", n.alias("n"), blocks.alias("total_blocks"), chunks.alias("chunks")).select(
-        "rel_path", "report_hash", "lines", "n", "total_blocks", F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("pos", "c")
-    )
-    body = F.array_join(F.slice("lines", F.col("c.a") + 1, F.col("c.b") - F.col("c.a")), "")
+    def blocks(lines):
+        n = F.size(lines)
+        one = lambda b: T.let(F.slice(lines, b * block_lines + 1, F.lit(block_lines)), lambda own: _folded(own, b, n, chunk_bytes))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(n / block_lines).cast("int") - 1), one))
+
+    rows = texts.where(F.octet_length("content") > 0).select("rel_path", T.sha256_mark("content").alias("report_hash"), T.let(T.lines_keep_ends("content"), blocks).alias("chunks"))
+    rows = rows.select("rel_path", "report_hash", F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("pos", "c"))
     return rows.select(
-        "rel_path", F.col("c.block").alias("block"), "total_blocks", (F.col("pos") + 1).alias("chunk_index"), "total_chunks",
-        (F.col("c.block") * block_lines + 1).alias("start_line"), F.least((F.col("c.block") + 1) * block_lines, F.col("n")).alias("end_line"), body.alias("body"), "report_hash",
+        "rel_path", F.col("c.block").alias("block"), F.ceil(F.col("c.n") / block_lines).cast("int").alias("total_blocks"), (F.col("pos") + 1).alias("chunk_index"), "total_chunks",
+        (F.col("c.block") * block_lines + 1).alias("start_line"), F.least((F.col("c.block") + 1) * block_lines, F.col("c.n")).alias("end_line"), F.col("c.body").alias("body"), "report_hash",
     ).withColumns({"chunk_bytes": F.octet_length("body"), "chunk_hash": T.sha256_mark("body")})
 
 

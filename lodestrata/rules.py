@@ -51,6 +51,10 @@ SECRET_RULES = (
     ("Assigned Secret", r"""(?i)\b(token|secret|password|passwd|api_?key)\b["']?\s*[:=]\s*["'][^"'\s]{16,}["']"""),
 )
 
+#: Every match of a rule but the last has one of these; the last has an assignment.
+SECRET_PARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "PRIVATE KEY", "xox")
+ASSIGNMENT = r"""[:=]\s*["'][^"'\s]{16,}["']"""
+
 # Fixed project markers in order of priority: file, language, kind, build tool.
 PROJECT_MARKERS = (
     ("Cargo.toml", "Rust", "binary/library", "cargo"), ("pyproject.toml", "Python", "package", "pip/poetry/uv"), ("setup.py", "Python", "package", "setuptools"),
