@@ -256,7 +256,7 @@ def wide_fingerprint_many(texts: list[str | None], words: int, n_words: int) ->
     return out
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.95, max_group: int = 1024, leaders: int = 64) -> DataFrame:
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.9, max_group: int = 1024, leaders: int = 64) -> DataFrame:
     """``(doc_id, component_id)``: components of documents whose shingle sets are alike.
 
     Jaccard similarity s of two sets is cosine 2s / (1 + s), which SimHash turns into a
@@ -264,7 +264,8 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: fl
     every choice of blocks that must agree, so fingerprints are wider: as many blocks as
     make ``recall`` of the pairs right at ``similarity`` share one, of so many bits that a
     block is expected to be shared by a few dozen unrelated ones.  Pairs that share a
-    block are verified by Hamming distance over the whole fingerprint.
+    block are verified by Hamming distance over the whole fingerprint, of 512 bits or
+    more: texts of which half is a common passage then stay apart.
 
     Equal fingerprints collapse first.  A block value with more than ``max_group``
     fingerprints is dealt to groups of that size, and ``leaders`` of it, chosen by hash,
@@ -277,9 +278,9 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: fl
     apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     width = int(np.clip(np.ceil(np.log2(max(n, 2) / 32)), 8, 24))
     n_blocks = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - apart) ** width)))
-    n_words = max(4, -(-n_blocks * width // BITS))
+    n_words = max(8, -(-n_blocks * width // BITS))
     bits = BITS * n_words
-    d = int(apart * bits + np.sqrt(apart * (1 - apart) * bits))  # one standard deviation of the estimate above its mean
+    d = int(apart * bits + 0.5 * np.sqrt(apart * (1 - apart) * bits))  # half a standard deviation of the estimate above its mean
 
     def prints(batches):
         for b in batches:
