@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import blocks, checked, cut, small_batches, table, utf8, without
 
 BITS = 64
+CHECK = 4  # words of a wide fingerprint by which candidates are compared
 
 
 def fingerprint_many(texts: list[str | None], words: int = 4) -> np.ndarray:
@@ -229,22 +230,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """Sorted XXH64 of the different shingles of a text; none of a null or blank one."""
+    import xxhash
+
+    h = xxhash.xxh64_intdigest
+    w = utf8(text).lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    shingles = set(map(b" ".join, zip(*(w[i:] for i in range(words))))) if len(w) >= words else {b" ".join(w)}
+    return np.unique(np.fromiter((h(s, 42) for s in shingles), np.uint64, len(shingles)))
+
+
 def wide_fingerprint_many(texts: list[str | None], words: int, n_words: int) -> np.ndarray:
     """SimHash of ``64 * n_words`` bits over the different shingles of each text, one row a text.
 
     Word j's bits are those of the shingle's XXH64 mixed with j.
     """
-    import xxhash
-
-    h = xxhash.xxh64_intdigest
     out = np.zeros((len(texts), n_words), np.uint64)
     salt = np.arange(1, n_words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k, text in enumerate(texts):
-        w = utf8(text).lower().split()
-        if not w:
+        hashes = shingle_hashes(text, words)
+        if not len(hashes):
             continue
-        shingles = set(map(b" ".join, zip(*(w[i:] for i in range(words))))) if len(w) >= words else {b" ".join(w)}
-        hashes = np.fromiter((h(s, 42) for s in shingles), np.uint64, len(shingles))
         ones = np.zeros(BITS * n_words, np.int64)
         for at in range(0, len(hashes), 1 << 14):
             x = hashes[at : at + (1 << 14), None] + salt
@@ -256,16 +264,79 @@ def wide_fingerprint_many(texts: list[str | None], words: int, n_words: int) ->
     return out
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.9, max_group: int = 1024, leaders: int = 64) -> DataFrame:
+def _apart(keyed: DataFrame, d: int) -> DataFrame:
+    """``(a, b)`` with a < b: all pairs within ``d`` bits under a key of ``keyed(key, fp, rep, root)`` that have different roots."""
+
+    def pairs(key, fp, rep, root):
+        at, step = np.arange(len(key)), 0
+        while len(at):
+            step += 1
+            at = at[at + step < len(key)]
+            at = at[key[at] == key[at + step]]
+            other = at[root[at] != root[at + step]]
+            close = other[np.bitwise_count(fp[other] ^ fp[other + step]).sum(1, dtype=np.int32) <= d]
+            if len(close):
+                x, y = rep[close], rep[close + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, rep, root = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
+            now = key, np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(len(key), -1), rep, root
+            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
+            end = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+            if end:
+                yield from pairs(*(x[:end] for x in held))
+                held = tuple(x[end:] for x in held)
+        if held is not None:
+            yield from pairs(*held)
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
+    """The rows of ``pairs(a, b)`` whose shingle sets have at least this Jaccard similarity.
+
+    ``texts`` has ``(rep, text)`` for every name of a pair.
+    """
+
+    def sets(batches):
+        for b in batches:
+            rows = [shingle_hashes(t, words).tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["rep", "own"])
+
+    def right(batches):
+        for b in batches:
+            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(i).to_pylist()] for i in (2, 3))
+            both = np.array([len(np.intersect1d(i, j, assume_unique=True)) for i, j in zip(x, y)], np.int64)
+            total = np.array([len(i) + len(j) for i, j in zip(x, y)], np.int64)
+            good = pa.array(both >= similarity * (total - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
+
+    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+    own = cut(texts.join(checked(needed), "rep", "left_semi").select("rep", "text").mapInArrow(sets, "rep long, own binary").dropDuplicates(["rep"]))
+    first, second = own.select(F.col("rep").alias("a"), F.col("own").alias("x")), own.select(F.col("rep").alias("b"), F.col("own").alias("y"))
+    return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(right, "a long, b long"))
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.99, max_group: int = 1024, leaders: int = 64) -> DataFrame:
     """``(doc_id, component_id)``: components of documents whose shingle sets are alike.
 
     Jaccard similarity s of two sets is cosine 2s / (1 + s), which SimHash turns into a
     share arccos(cosine) / pi of differing bits.  That is 15 % at 0.8, too many for
     every choice of blocks that must agree, so fingerprints are wider: as many blocks as
     make ``recall`` of the pairs right at ``similarity`` share one, of so many bits that a
-    block is expected to be shared by a few dozen unrelated ones.  Pairs that share a
-    block are verified by Hamming distance over the whole fingerprint, of 512 bits or
-    more: texts of which half is a common passage then stay apart.
+    block is expected to be shared by about a hundred unrelated ones.  Pairs that share a
+    block and differ in no more of 256 other bits than three standard deviations above
+    the mean at ``similarity`` are candidates; the exact Jaccard similarity of their
+    shingle sets decides each.
+
+    Candidates that are surely alike would be all pairs of a large group of copies.  So a
+    spanning forest of the closest ones is decided first, and then every candidate
+    whose two ends that leaves in different components.
 
     Equal fingerprints collapse first.  A block value with more than ``max_group``
     fingerprints is dealt to groups of that size, and ``leaders`` of it, chosen by hash,
@@ -276,42 +347,53 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: fl
     """
     n = docs.count()
     apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-    width = int(np.clip(np.ceil(np.log2(max(n, 2) / 32)), 8, 24))
+    width = int(np.clip(np.ceil(np.log2(max(n, 2) / 128)), 8, 24))
     n_blocks = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - apart) ** width)))
-    n_words = max(8, -(-n_blocks * width // BITS))
-    bits = BITS * n_words
-    d = int(apart * bits + 0.5 * np.sqrt(apart * (1 - apart) * bits))  # half a standard deviation of the estimate above its mean
+    n_words = max(8, -(-n_blocks * width // BITS) + CHECK)  # the last ones are for comparing
+    mean, sigma = apart * BITS * CHECK, np.sqrt(apart * (1 - apart) * BITS * CHECK)
 
     def prints(batches):
         for b in batches:
-            rows = [x.tobytes() for _, t in blocks(b.column(1).to_pylist(), 256) for x in wide_fingerprint_many(t, words, n_words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["doc_id", "fp"])
-
-    def keys(batches):
-        place = (np.arange(n_blocks, dtype=np.int64) << 32)[None, :]
-        weight = 1 << np.arange(width, dtype=np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                fp, rep = b.column(0).slice(at, 4096), b.column(1).slice(at, 4096)
-                raw = np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), -1)
-                bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : n_blocks * width]
-                key = (bits.reshape(len(fp), n_blocks, width) @ weight + place).ravel()
-                again = pa.array(np.repeat(np.arange(len(fp)), n_blocks))
-                yield pa.RecordBatch.from_arrays([pa.array(key), fp.take(again), rep.take(again)], ["key", "fp", "rep"])
-
-    own = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(prints, "doc_id long, fp binary"))
-    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    named = nodes.where("rep is not null")
-    keyed = named.select("fp", "rep").mapInArrow(keys, "key long, fp binary, rep long")
-    hot = cut(named.select("fp", "rep").mapInArrow(keys, "key long, fp binary, rep long").groupBy("key").count().where(F.col("count") > max_group).withColumnRenamed("count", "n"))
-    if not hot.isEmpty():
+            rows = [x.tobytes() for _, t in blocks(b.column(2).to_pylist(), 256) for x in wide_fingerprint_many(t, words, n_words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["doc_id", "text_key", "fp"])
+
+    def keyed(nodes, n_blocks):
+        def keys(batches):
+            place = (np.arange(n_blocks, dtype=np.int64) << 32)[None, :]
+            weight = 1 << np.arange(width, dtype=np.int64)
+            for b in batches:
+                for at in range(0, b.num_rows, 4096):
+                    part = b.slice(at, 4096)
+                    raw = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(len(part), -1)
+                    bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : n_blocks * width]
+                    key = (bits.reshape(len(part), n_blocks, width) @ weight + place).ravel()
+                    again = pa.array(np.repeat(np.arange(len(part)), n_blocks))
+                    last = pa.array([x.tobytes() for x in raw[:, -8 * CHECK :]], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(x.take(again) for x in (last, part.column(1), part.column(2)))], ["key", "fp", "rep", "root"])
+
+        made = nodes.select("fp", "rep", "root").mapInArrow(keys, "key long, fp binary, rep long, root long")
+        hot = cut(made.groupBy("key").count().where(F.col("count") > max_group).withColumnRenamed("count", "n"))
+        if hot.isEmpty():
+            return made
         groups = F.ceil(F.col("n") / max_group).cast("long")
         deal = F.when(F.pmod(F.xxhash64("rep"), F.col("n")) < leaders, F.sequence(F.lit(0).cast("long"), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep", "key"), groups)))
-        keyed = keyed.join(checked(hot), "key", "left").select(F.explode(F.coalesce(deal, F.array(F.lit(None).cast("long")))).alias("deal"), "key", "fp", "rep")
-        keyed = keyed.select(F.when(F.col("deal").isNull(), F.col("key")).otherwise(F.xxhash64("key", "deal")).alias("key"), "fp", "rep")
-    roots = components(_close(keyed, d).distinct())
-    place = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return own.join(place, "fp").select("doc_id", "component_id")
+        made = made.join(checked(hot), "key", "left").select(F.explode(F.coalesce(deal, F.array(F.lit(None).cast("long")))).alias("deal"), "key", "fp", "rep", "root")
+        return made.select(F.when(F.col("deal").isNull(), F.col("key")).otherwise(F.xxhash64("key", "deal")).alias("key"), "fp", "rep", "root")
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    own = cut(rows.mapInArrow(prints, "doc_id long, text_key long, fp binary"))
+    # Of each fingerprint the smallest id, and one text that has it.
+    nodes = cut(own.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least")).select("fp", F.xxhash64("fp").alias("rep"), "least.*"))
+    named = nodes.where("doc_id is not null")
+    texts = rows.join(named.select("doc_id", "text_key", "rep"), ["doc_id", "text_key"]).select("rep", "text")
+    tight = _close(keyed(named.withColumn("root", F.col("rep")), -(-n_blocks // 4)).select("key", "fp", "rep"), int(mean - 2 * sigma))
+    sure = _alike(cut(tight.distinct()), texts, similarity, words)
+    roots = components(sure).withColumnRenamed("node", "rep")
+    left = _apart(keyed(named.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), n_blocks), int(np.ceil(mean + 3 * sigma)))
+    roots = components(sure.union(_alike(cut(left.distinct()), texts, similarity, words))).withColumnRenamed("node", "rep")
+    placed = cut(nodes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"), "doc_id"))
+    first = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return own.join(placed.drop("doc_id"), "fp").join(first, "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -123,3 +123,27 @@ def test_keep_one_of_similar(spark):
     kept = simhash.keep_one(df)
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "6", "7", "None"]
     assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def graded(seed=31):
+    """Pairs of texts of graded similarity, each pair on words of its own, with exact Jaccard."""
+    rng = random.Random(seed)
+    rows, want = [], {}
+    for i in range(240):
+        base = [f"p{i}w{k}" for k in range(300)]
+        other = list(base)
+        for at in rng.sample(range(2, 298), rng.randint(2, 12)):
+            other[at] = f"p{i}x{at}"
+        sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (base, other)]
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        want[i] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+    return rows, want
+
+
+def test_similar_is_decided_by_exact_jaccard(spark):
+    rows, want = graded()
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    met = {i: got[2 * i] == got[2 * i + 1] for i in want}
+    near = [i for i, s in want.items() if 0.8 <= s < 0.85]
+    assert len(near) > 20 and sum(met[i] for i in near) >= 0.95 * len(near)
+    assert not any(met[i] for i, s in want.items() if s < 0.8) and any(0.75 < s < 0.8 for s in want.values())
