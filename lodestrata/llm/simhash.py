@@ -322,7 +322,7 @@ def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) ->
     return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(right, "a long, b long"))
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.99, max_group: int = 1024, leaders: int = 64) -> DataFrame:
+def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.99, max_group: int = 1024) -> DataFrame:
     """``(doc_id, component_id)``: components of documents whose shingle sets are alike.
 
     Jaccard similarity s of two sets is cosine 2s / (1 + s), which SimHash turns into a
@@ -339,8 +339,8 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: fl
     whose two ends that leaves in different components.
 
     Equal fingerprints collapse first.  A block value with more than ``max_group``
-    fingerprints is dealt to groups of that size, and ``leaders`` of it, chosen by hash,
-    go to all of these, so that its links hold together without comparing all pairs.
+    fingerprints is dealt to parts of half that size, and any two parts meet in a group
+    of their own: every pair is compared however many there are, by many tasks.
 
     Null and blank texts are equal to each other; null ids have no row unless none of
     their group has an id; repeated rows repeat.
@@ -375,10 +375,11 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: fl
         hot = cut(made.groupBy("key").count().where(F.col("count") > max_group).withColumnRenamed("count", "n"))
         if hot.isEmpty():
             return made
-        groups = F.ceil(F.col("n") / max_group).cast("long")
-        deal = F.when(F.pmod(F.xxhash64("rep"), F.col("n")) < leaders, F.sequence(F.lit(0).cast("long"), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("rep", "key"), groups)))
-        made = made.join(checked(hot), "key", "left").select(F.explode(F.coalesce(deal, F.array(F.lit(None).cast("long")))).alias("deal"), "key", "fp", "rep", "root")
-        return made.select(F.when(F.col("deal").isNull(), F.col("key")).otherwise(F.xxhash64("key", "deal")).alias("key"), "fp", "rep", "root")
+        last = F.ceil(2 * F.col("n") / max_group).cast("long") - 1
+        own = F.pmod(F.xxhash64("rep", "key"), last + 1)
+        others = F.filter(F.sequence(F.lit(0).cast("long"), last), lambda x: x != own)
+        deal = F.when(F.col("n").isNull(), F.array("key")).otherwise(F.transform(others, lambda x: F.xxhash64("key", F.least(own, x), F.greatest(own, x))))
+        return made.join(checked(hot), "key", "left").select(F.explode(deal).alias("key"), "fp", "rep", "root")
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     own = cut(rows.mapInArrow(prints, "doc_id long, text_key long, fp binary"))

@@ -147,3 +147,25 @@ def test_similar_is_decided_by_exact_jaccard(spark):
     near = [i for i, s in want.items() if 0.8 <= s < 0.85]
     assert len(near) > 20 and sum(met[i] for i in near) >= 0.95 * len(near)
     assert not any(met[i] for i, s in want.items() if s < 0.8) and any(0.75 < s < 0.8 for s in want.values())
+
+
+def test_hot_blocks_lose_no_pair(spark):
+    """Texts that share most of their words crowd each block; the same pairs link as without a limit."""
+    rng = random.Random(77)
+    shared = [f"b{k}" for k in range(500)]
+    rows, want = [], []
+    for i in range(150):
+        base = shared[:400] + [f"o{i}w{k}" for k in range(200)]
+        other = base[:]
+        other[500] = "changed"
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both = len(sets[a] & sets[b])
+        if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):
+            want.append((a, b))
+    assert want == [(2 * i, 2 * i + 1) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar(df, max_group=4).collect()}
+    assert got == {i: i - i % 2 for i in sets}
