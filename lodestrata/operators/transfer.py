@@ -6,8 +6,12 @@ all chunks of all texts are made where the text is read, without a shuffle.
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .. import rules
 from ..functions import text as T
@@ -183,9 +187,32 @@ def completeness(parts: DataFrame, by: str, index: str) -> DataFrame:
 
 
 def ordered_hash(parts: DataFrame, by: str, index: str, body: str) -> DataFrame:
-    """SHA-256 of each transfer's bodies joined in order."""
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(index, body))), lambda x: x[body]), "")
-    return parts.groupBy(by).agg(F.sha2(joined, 256).alias("hash"))
+    """SHA-256 of each transfer's bodies joined in order; null bodies add nothing.
+
+    Bodies are sorted, not gathered: a running hash takes them one by one, so a transfer
+    may be larger than memory.
+    """
+    rows = parts.select(F.col(by).alias("_by"), F.col(index).alias("_index"), F.col(body).alias("_body"))
+    rows = rows.repartition("_by").sortWithinPartitions("_by", "_index", "_body").select(F.col("_by").alias(by), F.col("_body").cast("binary").alias("_body"))
+
+    def run(batches):
+        name, running = None, None
+        for b in batches:
+            names, hashes = [], []
+            for i in range(b.num_rows):
+                now, part = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                if running is None or not (now == name or now != now and name != name):
+                    if running is not None:
+                        names.append(name)
+                        hashes.append(running.hexdigest())
+                    name, running = now, hashlib.sha256()
+                running.update(part or b"")
+            yield pa.RecordBatch.from_arrays([pa.array(names, b.column(0).type), pa.array(hashes, pa.string())], [by, "hash"])
+            kind = b.column(0).type
+        if running is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([name], kind), pa.array([running.hexdigest()])], [by, "hash"])
+
+    return rows.mapInArrow(run, StructType([StructField(by, rows.schema[by].dataType), StructField("hash", StringType())]))
 
 
 def missing_parts(parts: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
