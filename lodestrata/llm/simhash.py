@@ -264,20 +264,34 @@ def wide_fingerprint_many(texts: list[str | None], words: int, n_words: int) ->
     return out
 
 
-def _apart(keyed: DataFrame, d: int) -> DataFrame:
-    """``(a, b)`` with a < b: all pairs within ``d`` bits under a key of ``keyed(key, fp, rep, root)`` that have different roots."""
+def _apart(keyed: DataFrame, d: int, nearest: bool = False) -> DataFrame:
+    """``(a, b)`` with a < b: all pairs within ``d`` bits under a key of ``keyed(key, fp, rep, root)`` that have different roots.
+
+    With ``nearest``, of each row's pairs under a key only its closest.
+    """
 
     def pairs(key, fp, rep, root):
         at, step = np.arange(len(key)), 0
+        best, mate = np.full(len(key), d + 1, np.int32), np.arange(len(key))
         while len(at):
             step += 1
             at = at[at + step < len(key)]
             at = at[key[at] == key[at + step]]
             other = at[root[at] != root[at + step]]
-            close = other[np.bitwise_count(fp[other] ^ fp[other + step]).sum(1, dtype=np.int32) <= d]
+            bits = np.bitwise_count(fp[other] ^ fp[other + step]).sum(1, dtype=np.int32)
+            if nearest:
+                for here, there in ((other, other + step), (other + step, other)):
+                    less = bits < best[here]
+                    best[here[less]], mate[here[less]] = bits[less], there[less]
+                continue
+            close = other[bits <= d]
             if len(close):
                 x, y = rep[close], rep[close + step]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+        close = np.flatnonzero(best <= d)
+        if len(close):
+            x, y = rep[close], rep[mate[close]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
     def run(batches):
         held = None
@@ -334,9 +348,9 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: fl
     the mean at ``similarity`` are candidates; the exact Jaccard similarity of their
     shingle sets decides each.
 
-    Candidates that are surely alike would be all pairs of a large group of copies.  So a
-    spanning forest of the closest ones is decided first, and then every candidate
-    whose two ends that leaves in different components.
+    Candidates would be all pairs of a large group of copies.  So each one's closest under
+    some blocks are decided first, and then every candidate whose two ends that leaves in
+    different components.
 
     Equal fingerprints collapse first.  A block value with more than ``max_group``
     fingerprints is dealt to parts of half that size, and any two parts meet in a group
@@ -387,10 +401,11 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: fl
     nodes = cut(own.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least")).select("fp", F.xxhash64("fp").alias("rep"), "least.*"))
     named = nodes.where("doc_id is not null")
     texts = rows.join(named.select("doc_id", "text_key", "rep"), ["doc_id", "text_key"]).select("rep", "text")
-    tight = _close(keyed(named.withColumn("root", F.col("rep")), -(-n_blocks // 4)).select("key", "fp", "rep"), int(mean - 2 * sigma))
-    sure = _alike(cut(tight.distinct()), texts, similarity, words)
+    d = int(np.ceil(mean + 3 * sigma))
+    first = _apart(keyed(named.withColumn("root", F.col("rep")), -(-n_blocks // 4)), d, nearest=True)
+    sure = _alike(cut(first.distinct()), texts, similarity, words)
     roots = components(sure).withColumnRenamed("node", "rep")
-    left = _apart(keyed(named.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), n_blocks), int(np.ceil(mean + 3 * sigma)))
+    left = _apart(keyed(named.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), n_blocks), d)
     roots = components(sure.union(_alike(cut(left.distinct()), texts, similarity, words))).withColumnRenamed("node", "rep")
     placed = cut(nodes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"), "doc_id"))
     first = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
