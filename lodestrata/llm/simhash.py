@@ -359,6 +359,11 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: fl
     Null and blank texts are equal to each other; null ids have no row unless none of
     their group has an id; repeated rows repeat.
     """
+    return _similar(docs, similarity, words, recall, max_group).select("doc_id", "component_id")
+
+
+def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.99, max_group: int = 1024) -> DataFrame:
+    """``similar`` with ``text_key``, a hash of the text, and ``root``, the component's own name."""
     n = docs.count()
     apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     width = int(np.clip(np.ceil(np.log2(max(n, 2) / 128)), 8, 24))
@@ -409,19 +414,22 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: fl
     roots = components(sure.union(_alike(cut(left.distinct()), texts, similarity, words))).withColumnRenamed("node", "rep")
     placed = cut(nodes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"), "doc_id"))
     first = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return own.join(placed.drop("doc_id"), "fp").join(first, "root").select("doc_id", "component_id")
+    return own.join(placed.drop("doc_id"), "fp").join(first, "root").select("doc_id", "text_key", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component of ``similar``: the one of the smallest id.
+    """One row of each component of ``similar``: the one of the smallest id.
 
-    Where rows repeat an id, one of its rows stays; rows without an id all stay.
+    Rows of one id whose texts aren't alike all stay, as do rows without an id.
     """
-    found = cut(similar(docs, **options).where("doc_id is not null").groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")))
-    left = without(docs, found.where("first != doc_id"))
-    if found.where("n > 1").isEmpty():  # spares whole texts a sort where no id repeats
-        return left
-    return left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
+    key = ["doc_id", "text_key"]
+    found = cut(_similar(docs, **options).where("doc_id is not null"))
+    lead = found.groupBy("root").agg(F.min(F.struct(*key)).alias("lead"))
+    drop = cut(found.join(lead, "root").where(F.struct(*key) != F.col("lead")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
+    left = docs.withColumn("_text", F.xxhash64("text")).join(checked(drop, 24), (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text") == F.col("_key")), "left_anti")
+    if found.groupBy(*key).count().where("count > 1").isEmpty():  # spares whole texts a sort where no row repeats
+        return left.select(docs.columns)
+    return left.where("doc_id is not null").dropDuplicates(["doc_id", "_text"]).unionByName(left.where("doc_id is null")).select(docs.columns)
 
 
 def op6_simhash(spark, sf_dir):

@@ -169,3 +169,10 @@ def test_hot_blocks_lose_no_pair(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash.similar(df, max_group=4).collect()}
     assert got == {i: i - i % 2 for i in sets}
+
+
+def test_keep_one_decides_by_row(spark):
+    """An id that repeats with other texts loses only the rows that are copies."""
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "some quite different text of its own"), (3, "one more text that nobody has"), (3, "and yet another one for this id"), (3, "one more text that nobody has")]
+    kept = sorted(map(tuple, simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert kept == sorted({rows[0], rows[2], rows[3], rows[4]})
