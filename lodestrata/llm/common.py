@@ -4,8 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+BROADCAST_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,15 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder and drop its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is unset,
-    as in local tests, a temporary folder takes its place.
+    Where it is unset, a temporary folder takes its place in a session of one process;
+    a cluster's executors wouldn't see that, so there it is an error.
     """
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="shared-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
@@ -41,16 +58,107 @@ def blocks(values, size: int):
         yield i, values[i : i + size]
 
 
+def by_bytes(texts: list, most: int = 1 << 20, rows: int = 256):
+    """``(first, slice)`` of texts that together have about ``most`` characters, one text at least."""
+    first, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > first and (size + len(t or "") > most or i - first >= rows):
+            yield first, texts[first:i]
+            first, size = i, 0
+        size += len(t or "")
+    if first < len(texts):
+        yield first, texts[first:]
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 bytes; null counts as empty and a lone surrogate cannot raise."""
     return text.encode("utf-8", "replace") if text else b""
 
 
-def checked(small: DataFrame, row_bytes: int = 16, most: int = 16 << 20) -> DataFrame:
+def checked(small: DataFrame, row_bytes: int = 16, most: int = BROADCAST_BYTES) -> DataFrame:
     """``small`` marked for broadcast if its counted rows stay below ``most`` bytes, else as it is."""
     return F.broadcast(small) if small.count() * row_bytes < most else small
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` isn't among ``ids(doc_id)``; null ids stay."""
-    return docs.join(checked(cut(ids.select("doc_id").distinct())), "doc_id", "left_anti").select(docs.columns)
+def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", row_bytes: int = 32, most: int = BROADCAST_BYTES, part: int = 50_000) -> DataFrame:
+    """``many`` joined to ``one``, which has one row for each key; a key may hold most rows of ``many``.
+
+    Below ``most`` bytes ``one`` is broadcast and nothing is shuffled.  Beyond that, keys
+    with more than ``part`` rows (or a hundred-thousandth of all, so that they are few)
+    are dealt over several tasks, and their row of ``one`` goes to each of these.
+    """
+    one = cut(one)
+    if one.count() * row_bytes < most:
+        return many.join(F.broadcast(one), keys, how)
+    many = cut(many)
+    counted = many.groupBy(*keys).agg(F.count("*").alias("_n"))
+    limit = max(part, many.count() // 100_000)
+    heavy = cut(counted.where(F.col("_n") > limit).select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    same = lambda side: [side[k].eqNullSafe(heavy[f"_{k}"]) for k in keys]
+    names = [f"_{k}" for k in keys]
+    left = many.join(F.broadcast(heavy), same(many), "left").withColumn("_part", F.coalesce(F.floor(F.rand(1) * F.col("_parts")).cast("int"), F.lit(0))).drop(*names, "_parts")
+    right = one.join(F.broadcast(heavy), same(one), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop(*names, "_parts")
+    return left.join(right, [*keys, "_part"], how).drop("_part")
+
+
+def numbered(rows: DataFrame, group: list[str], order: list[str], size: str) -> DataFrame:
+    """``rows`` with ``nth``, a row's number from 0 in its group, and ``before``, the sum of ``size`` ahead of it.
+
+    A window would hold a whole group in one task.  Here rows are dealt by ranges of
+    (group, order), every task counts its own, and what a group has in earlier tasks is
+    added afterwards: one small row a task comes to the driver for that.  Nulls come
+    first; rows equal in ``order`` are numbered in any order.
+    """
+    keys, names = [*group, *order], rows.columns
+    spark = rows.sparkSession
+    # Ends a tie, so that equal rows are dealt over tasks too.
+    tied = rows.withColumn("_tie", F.rand(7))
+    ranges = tied.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "_tie").sortWithinPartitions(*keys, "_tie").drop("_tie")
+    kept = T.StructType([*rows.schema, T.StructField("nth", T.LongType()), T.StructField("before", T.LongType()), T.StructField("_task", T.IntegerType()), T.StructField("_row", T.LongType()), T.StructField("_first", T.BooleanType())])
+
+    def run(batches):
+        task, last, n, total, row, first = TaskContext.get().partitionId(), None, 0, 0, 0, True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for k in group:
+                c = b.column(names.index(k))
+                a, z = c.slice(1), c.slice(0, len(c) - 1)
+                equal = pc.or_(pc.fill_null(pc.equal(a, z), False), pc.and_(pc.is_null(a), pc.is_null(z)))
+                new[1:] |= ~equal.to_numpy(zero_copy_only=False)
+            key = tuple(b.column(names.index(k))[0].as_py() for k in group)
+            new[0] = last is not None and key != last
+            sizes = b.column(names.index(size)).to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.arange(b.num_rows)
+            start = np.maximum.accumulate(np.where(new, at, -1))
+            ahead = np.cumsum(sizes) - sizes
+            old = start < 0
+            begin = np.maximum(start, 0)
+            nth = np.where(old, n + at, at - begin)
+            before = np.where(old, total + ahead, ahead - ahead[begin])
+            leads = old & first
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nth), pa.array(before), pa.array(np.full(len(at), task, np.int32)), pa.array(row + at), pa.array(leads)], [*b.schema.names, "nth", "before", "_task", "_row", "_first"])
+            first = bool(leads[-1])
+            last = tuple(b.column(names.index(k))[b.num_rows - 1].as_py() for k in group)
+            n, total, row = int(nth[-1]) + 1, int(before[-1] + sizes[-1]), row + b.num_rows
+
+    made = cut(ranges.mapInArrow(run, kept))
+    own = F.struct(*group)
+    ends = made.groupBy("_task").agg(
+        F.min_by(own, "_row").alias("first"), F.max_by(F.struct(own.alias("own"), (F.col("nth") + 1).alias("n"), (F.col("before") + F.col(size)).alias("total")), "_row").alias("last")
+    ).orderBy("_task").collect()  # one row a task
+    carry, key, n, total = [], None, 0, 0
+    for e in ends:
+        if key is not None and e.first == key:
+            carry.append((e._task, n, total))
+        else:
+            n, total = 0, 0
+        whole = e.first == e.last.own
+        key, n, total = e.last.own, e.last.n + (n if whole else 0), e.last.total + (total if whole else 0)
+    out = made.drop("_row")
+    if carry:
+        more = spark.createDataFrame(carry, "_task int, _n long, _total long")  # at most one row a task
+        add = lambda c: F.when(F.col("_first"), F.coalesce(c, F.lit(0))).otherwise(0)
+        out = out.join(F.broadcast(more), "_task", "left").withColumns({"nth": F.col("nth") + add(F.col("_n")), "before": F.col("before") + add(F.col("_total"))})
+    return out.select(*names, "nth", "before")
