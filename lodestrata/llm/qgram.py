@@ -5,11 +5,17 @@ at least ``m + 1 - (k + 1) * q`` of its q-grams with it, and all of them lie wit
 band of ``k + 1`` neighbouring diagonals (position in the document minus position in the
 passage).  So each batch of documents looks its q-grams up among those of the passages,
 counts hits by passage and band, keeps bands that reach the bound, and proves what is
-left by banded alignment.
+left by an alignment of the stretch under the band.
 
 Bands are ``2 (k + 1)`` diagonals wide and overlap by half, so that any ``k + 1``
 neighbouring diagonals lie inside one of them.  Texts are compared lower-cased, with
-runs of anything but letters and digits as one space.
+runs of anything but letters and digits as one space.  Everything counts characters.
+
+For the q-gram filter a character is folded to one byte, so a q-gram is one 64-bit word;
+characters that share a byte can only add hits, which the alignment of the characters
+themselves then rejects.  The alignment is bit-parallel: one column of the band's
+stretch costs ``m / 64`` words, less than the ``k`` cells of a banded table as long as
+``rate`` is above 1/64.
 
 The passages' q-grams go to every task, so their total size is checked against
 ``max_index`` characters; a larger benchmark is worked through in slices of that size,
@@ -19,6 +25,7 @@ each slice one scan of the documents.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import reduce
 
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, without
+from .common import small_batches, table
 
 Q = 8  # a q-gram is one 64-bit word
 RUN = re.compile(r"[\W_]+")
@@ -36,14 +43,22 @@ MATCH = "doc_id long, item_id long, start long, end long, edits long, item_chars
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def normal(text: str | None) -> bytes:
-    """Lower case; anything but letters and digits becomes one space; UTF-8."""
+def normal(text: str | None) -> str:
+    """Lower case; anything but letters and digits becomes one space."""
     if not text:
-        return b""
+        return ""
     low = text.lower()
     if low.isascii():
-        return b" ".join(low.encode().translate(PLAIN).split())
-    return RUN.sub(" ", low).strip().encode("utf-8", "replace")
+        return b" ".join(low.encode().translate(PLAIN).split()).decode()
+    return RUN.sub(" ", low).strip()
+
+
+def fold(text: str) -> np.ndarray:
+    """One byte a character: itself if ASCII, else one of 127 others."""
+    if text.isascii():
+        return np.frombuffer(text.encode(), np.uint8)
+    code = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4")
+    return np.where(code < 128, code, 128 + (code * np.uint32(2654435761) >> np.uint32(16)) % np.uint32(127)).astype(np.uint8)
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -63,7 +78,7 @@ def grams(data: np.ndarray) -> np.ndarray:
 class Index:
     """Passages, their edit budgets and bounds, and their q-grams sorted."""
 
-    items: list[tuple[int, bytes]]
+    items: list[tuple[int, str]]
     rate: float
 
     def __post_init__(self):
@@ -74,7 +89,7 @@ class Index:
             self.k -= bad
         self.need = np.maximum(size + 1 - (self.k + 1) * Q, 1)
         self.size = size
-        g = [grams(np.frombuffer(t, np.uint8)) for _, t in self.items]
+        g = [grams(fold(t)) for _, t in self.items]
         key = np.concatenate(g or [np.zeros(0, np.uint64)])
         item = np.repeat(np.arange(len(g)), [len(x) for x in g])
         pos = np.concatenate([np.arange(len(x)) for x in g] or [np.zeros(0, int)])
@@ -90,49 +105,55 @@ class Index:
         return (key * MIX) >> np.uint64(43)
 
 
-def distances(data: np.ndarray, first: np.ndarray, last: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """For each spot, the fewest edits that turn its item into a stretch of the document
-    ``data[first:last]`` along diagonals ``low`` to ``high``, and where the stretch ends.
+def _columns(item: str, text: str, anchored: bool):
+    """The fewest edits from the whole item to a stretch of ``text`` that ends behind each of its characters.
 
-    Rows of all spots advance together; in a row, cell j stands for diagonal low - k + j.
+    One addition and some logic on words of ``len(item)`` bits a character.  The stretch
+    starts anywhere, or at the text's front if ``anchored``.
     """
-    m, k = index.size[item], index.k[item]
-    left, wide = low - k, high - low + 1 + 2 * k
-    far, width, rows = 1 << 20, int(wide.max()), int(m.max())
-    j = np.arange(width, dtype=np.int32)
-    text = np.zeros((rows, len(item), 1), np.uint8)
-    for s, i in enumerate(item):
-        text[: m[s], s, 0] = np.frombuffer(index.items[i][1], np.uint8)
-    # The characters under all cells of all rows; 255 is in no UTF-8 text and marks what is outside.
-    place = (left[:, None] + np.arange(width + rows)).astype(np.int64)
-    inside = (place >= 0) & (place < (last - first)[:, None])
-    chars = np.where(inside, data[np.clip(place + first[:, None], 0, len(data) - 1)], 255).astype(np.uint8)
-    edge = place - (last - first)[:, None]  # a cell is valid up to the document's end
-    closed = j >= wide[:, None]
-    d = np.where((place[:, :width] >= 0) & (edge[:, :width] <= 0) & ~closed, 0, far).astype(np.int32)
-    best, end = np.full(len(item), far), np.zeros(len(item), np.int64)
-    for r in range(1, rows + 1):
-        e = d + (chars[:, r - 1 : r - 1 + width] != text[r - 1])  # both move on
-        np.minimum(e[:, :-1], d[:, 1:] + 1, out=e[:, :-1])  # the item's character is missing
-        e -= j
-        np.minimum.accumulate(e, axis=1, out=e)  # extra characters in the document
-        e += j
-        e[closed | (place[:, r : r + width] < 0) | (edge[:, r : r + width] > 0)] = far
-        d = e
-        for s in np.flatnonzero(m == r):
-            c = int(d[s].argmin())
-            best[s], end[s] = d[s, c], left[s] + c + r
-    return best, end
-
-
-def search(texts: list[bytes], index: Index) -> list[tuple[int, int, int, int, int]]:
+    m = len(item)
+    at: dict[str, int] = {}
+    for i, c in enumerate(item):
+        at[c] = at.get(c, 0) | 1 << i
+    full, top, up, down, score = (1 << m) - 1, m - 1, (1 << m) - 1, 0, m
+    for c in text:
+        eq = at.get(c, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph = down | ~(xh | up) & full
+        mh = up & xh
+        score += (ph >> top & 1) - (mh >> top & 1)
+        ph = ph << 1 | anchored
+        up = (mh << 1 | ~(xv | ph)) & full
+        down = ph & xv & full
+        yield score
+
+
+def align(item: str, text: str, k: int) -> tuple[int, int, int] | None:
+    """``(edits, start, end)`` of the stretch of ``text`` nearest to the item; none within ``k`` edits."""
+    exact = text.find(item)
+    if exact >= 0:
+        return 0, exact, exact + len(item)
+    best, end = k + 1, 0
+    for j, edits in enumerate(_columns(item, text, False), 1):
+        if edits < best:
+            best, end = edits, j
+    if best > k:
+        return None
+    back = text[max(0, end - len(item) - best) : end][::-1]
+    size = next(j for j, edits in enumerate(_columns(item[::-1], back, True), 1) if edits == best)
+    return best, end - size, end
+
+
+def search(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:
     """``(text number, item number, start, end, edits)`` of every region found in ``texts``."""
-    data = np.frombuffer(b"".join(t + b" " * Q for t in texts), np.uint8)
+    gap = np.full(Q, 32, np.uint8)
+    data = np.concatenate([x for t in texts for x in (fold(t), gap)])
     start = np.r_[0, np.cumsum([len(t) + Q for t in texts])]
     found = []
     for j, t in index.short:  # shorter than a q-gram: exact words
         for i, x in enumerate(texts):
-            for f in re.finditer(rb"(?:^|(?<= ))" + re.escape(t) + rb"(?= |$)", x):
+            for f in re.finditer(r"(?:^|(?<= ))" + re.escape(t) + r"(?= |$)", x):
                 found.append((i, j, f.start(), f.end(), 0))
     key = grams(data)
     at = np.flatnonzero(index.seen[index.slot(key)])
@@ -176,79 +197,113 @@ def search(texts: list[bytes], index: Index) -> list[tuple[int, int, int, int, i
             own = np.flatnonzero(some[slot] == code)
             once = np.unique(slot[own] << 32 | np.r_[where, where][own]) >> 32
             spots.append(some[np.bincount(once, minlength=len(some)) >= index.need[(some >> 32) % n_items]])
-    code = np.concatenate(spots or [np.zeros(0, np.int64)])
-    for lo in range(0, len(code), 256):
-        part = code[lo : lo + 256]
-        text, item = (part >> 32) // n_items, (part >> 32) % n_items
-        w = index.k[item] + 1
-        low = ((part & 0xFFFFFFFF) - (1 << 31)) * w
-        edits, end = distances(data, start[text], start[text + 1] - Q, item, low, low + 2 * w - 1, index)
-        for s in np.flatnonzero(edits <= index.k[item]):
-            found.append((int(text[s]), int(item[s]), max(0, int(end[s] - index.size[item[s]])), int(end[s]), int(edits[s])))
+    last = None
+    for code in np.concatenate(spots or [np.zeros(0, np.int64)]).tolist():
+        text, item = divmod(code >> 32, n_items)
+        m, k = int(index.size[item]), int(index.k[item])
+        low = ((code & 0xFFFFFFFF) - (1 << 31)) * (k + 1)
+        if last and last[:2] == (text, item) and last[4] == 0 and low - k <= last[3] - m <= low + 3 * k + 1:
+            continue  # the same stretch again, which can't be nearer
+        a, b = max(0, low - k), max(0, low + 2 * k + 1 + m + k)
+        if hit := align(index.items[item][1], texts[text][a:b], k):
+            last = text, item, a + hit[1], a + hit[2], hit[0]
+            found.append(last)
     return found
 
 
 def best_of_each(found, index):
-    """Of regions of one item that overlap by half or more, the one with fewest edits."""
-    out = []
+    """Of regions of one item that overlap by half or more, the one with fewest edits.
+
+    The ends of those kept lie half an item apart, so a region can only overlap its two neighbours.
+    """
+    out, ends, now = [], [], None
     for f in sorted(found, key=lambda f: (f[0], f[1], f[4], f[3])):
-        if not any(o[:2] == f[:2] and abs(o[3] - f[3]) * 2 < index.size[f[1]] for o in out[-64:]):
+        if f[:2] != now:
+            now, ends = f[:2], []
+        at = bisect_left(ends, f[3])
+        if not any(abs(e - f[3]) * 2 < index.size[f[1]] for e in ends[max(0, at - 1) : at + 1]):
+            ends.insert(at, f[3])
             out.append(f)
     return sorted(out)
 
 
+def regions(texts: list[str | None], index: Index, block_chars: int) -> list[tuple[int, int, int, int, int]]:
+    """The best regions in whole texts; long ones are searched in overlapping windows."""
+    reach = int((index.size + 2 * index.k).max(initial=0)) + 2 * Q  # no region is longer
+    found, group, size = [], [], 0
+
+    def flush():
+        for t, item, a, b, edits in search([t for _, _, t in group], index):
+            doc, shift, _ = group[t]
+            found.append((doc, item, a + shift, b + shift, edits))
+
+    for n, text in enumerate(texts):
+        whole = normal(text)
+        for at in range(0, max(1, len(whole) - reach), block_chars):
+            part = whole[at : at + block_chars + reach]
+            if size + len(part) > block_chars and group:
+                flush()
+                group, size = [], 0
+            group.append((n, at, part))
+            size += len(part) + Q
+    if group:
+        flush()
+    return best_of_each(found, index)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, max_index: int = 4_000_000, block_chars: int = 1 << 21) -> DataFrame:
     """``(doc_id, item_id, start, end, edits, item_chars)``: one row per region of a document
     that a benchmark item turns into with at most ``rate`` edits a character.
 
-    Offsets count bytes of the normalised text.  Items whose normal form is empty, and null
-    texts, match nothing; an item shorter than a q-gram matches as whole words.  Items short
-    enough for the lemma to be void get the largest budget for which it isn't.  Repeated
-    documents or items give repeated rows, null ids stay, other columns are ignored, and an
-    empty table on either side gives no rows.
+    Offsets count characters of the normalised text.  Items whose normal form is empty,
+    and null texts, match nothing; an item shorter than a q-gram matches as whole words.
+    Items short enough for the lemma to be void get the largest budget for which it isn't.
+    Texts of any length are searched whole, in overlapping windows; a very long item costs
+    a 64th of its length squared an alignment.  Repeated documents or items give repeated
+    rows, null ids stay, other columns are ignored, and an empty table on either side gives
+    no rows.
     """
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return reduce(DataFrame.unionByName, [_scan(read, rows, rate, block_chars) for rows in _slices(benchmark, max_index)])
+
+
+def _slices(benchmark: DataFrame, max_index: int) -> list[list[tuple[int, str]]]:
+    """The items in normal form, in lists of about ``max_index`` characters."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = -(-total // max_index) or 1
-    one = lambda k: items if slices == 1 else items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(slices)) == k)
-    return reduce(DataFrame.unionByName, [_scan(read, one(k), rate, block_chars) for k in range(slices)])
-
+    parts = [items if slices == 1 else items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(slices)) == k) for k in range(slices)]
+    return [[(r.item_id, t) for r in part.collect() if (t := normal(r.text))] for part in parts]  # the benchmark, not the documents
 
-def _scan(docs: DataFrame, items: DataFrame, rate: float, block_chars: int) -> DataFrame:
-    rows = [(r.item_id, t) for r in items.collect() if (t := normal(r.text))]  # a slice, bounded by max_index
 
+def _scan(docs: DataFrame, rows: list[tuple[int, str]], rate: float, block_chars: int) -> DataFrame:
     def run(batches):
         index = Index(rows, rate)
-        reach = int((index.size + 2 * index.k).max(initial=0)) + 2 * Q  # no region is longer
         for b in batches:
-            names, found, group, size = b.column(0).to_pylist(), [], [], 0
-
-            def flush():
-                for t, *rest in search([t for _, _, t in group], index):
-                    doc, shift, _ = group[t]
-                    found.append((doc, rest[0], rest[1] + shift, rest[2] + shift, rest[3]))
-
-            for n, text in enumerate(b.column(1)):
-                whole = normal(text.as_py())
-                for at in range(0, max(1, len(whole) - reach), block_chars):  # long texts in overlapping windows
-                    part = whole[at : at + block_chars + reach]
-                    if size + len(part) > block_chars and group:
-                        flush()
-                        group, size = [], 0
-                    group.append((n, at, part))
-                    size += len(part) + Q
-            flush()
-            f = best_of_each(found, index)
+            names, f = b.column(0).to_pylist(), regions(b.column(1).to_pylist(), index, block_chars)
             columns = [[names[x[0]] for x in f], [rows[x[1]][0] for x in f], *[[x[c] for x in f] for c in (2, 3, 4)], [int(index.size[x[1]]) for x in f]]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "start", "end", "edits", "item_chars"])
 
     return docs.mapInArrow(run, MATCH)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents in which no benchmark item is found; rows without an id stay."""
-    return without(docs, contaminated(docs, benchmark, **options))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, max_index: int = 4_000_000, block_chars: int = 1 << 21) -> DataFrame:
+    """The rows in whose text no benchmark item is found, by the same search; ids play no part."""
+    at = docs.columns.index("text")
+
+    def keep(rows):
+        def run(batches):
+            index = Index(rows, rate)
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                clean[[x[0] for x in regions(b.column(at).to_pylist(), index, block_chars)]] = False
+                yield b.filter(pa.array(clean))
+
+        return run
+
+    for rows in _slices(benchmark, max_index):
+        docs = docs.mapInArrow(keep(rows), docs.schema)
+    return docs
 
 
 def op3_qgram(spark, sf_dir):

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 
@@ -7,7 +8,7 @@ from lodestrata.llm import qgram
 ALPHABET = "abcdefghijklmnopqrstuvwxyz éß"
 
 
-def brute_best(item: bytes, doc: bytes) -> int:
+def brute_best(item: str, doc: str) -> int:
     """Fewest edits that turn the item into any stretch of the document."""
     d = [0] * (len(doc) + 1)
     for i, c in enumerate(item, 1):
@@ -54,6 +55,11 @@ def frames(spark, docs, items):
     )
 
 
+def budget(m, rate=0.1):
+    """The largest number of edits, at most ``rate`` a character, under which a q-gram must be shared."""
+    return max([k for k in range(int(rate * m) + 1) if m + 1 - (k + 1) * qgram.Q >= 1], default=0)
+
+
 def want(docs, items, rate=0.1):
     out = []
     for i, t in docs:
@@ -61,8 +67,7 @@ def want(docs, items, rate=0.1):
             x, d = qgram.normal(x), qgram.normal(t)
             if not x:
                 continue
-            k = int(qgram.Index([(0, x)], rate).k[0])
-            if (f" {x.decode()} " in f" {d.decode()} ") if len(x) < qgram.Q else brute_best(x, d) <= k:
+            if (f" {x} " in f" {d} ") if len(x) < qgram.Q else brute_best(x, d) <= budget(len(x), rate):
                 out.append((i, j))
     return out
 
@@ -81,9 +86,56 @@ def test_finds_what_full_alignment_finds(spark):
             item = next(x for x in (qgram.normal(t) for j, t in items if j == r.item_id) if len(x) == r.item_chars)
             assert 0 <= r.start <= r.end <= len(text)
             if r.edits == 0:
-                assert text[r.end - len(item) : r.end] == item
+                assert text[r.start : r.end] == item
             else:
-                assert brute_best(item, text[max(0, r.start - 40) : r.end]) <= r.edits
+                assert whole(item, text[r.start : r.end]) == r.edits
+
+
+def whole(a, b):
+    """Edit distance of two whole strings."""
+    d = list(range(len(b) + 1))
+    for i, c in enumerate(a, 1):
+        e = [i]
+        for j, x in enumerate(b, 1):
+            e.append(min(d[j - 1] + (c != x), d[j] + 1, e[j - 1] + 1))
+        d = e
+    return d[-1]
+
+
+def test_budget_counts_characters(spark):
+    """10 changes in 54 accented characters are more than a tenth, though less than a tenth of their bytes would be 10."""
+    rng = random.Random(1)
+    item = "".join(rng.choices("éèàùçôîûëï", k=54))
+    changed = lambda n: "".join("ö" if k % 5 == 0 and k // 5 < n else c for k, c in enumerate(item))
+    docs = [(n, f"vor {changed(n)} nach") for n in (0, 3, 4, 5, 6, 10)]
+    d, b = frames(spark, docs, [(1, item)])
+    assert [(r.doc_id, r.edits) for r in qgram.contaminated(d, b).orderBy("doc_id").collect()] == [(n, n) for n, _ in docs if n <= budget(54)]
+
+
+def test_alignment_equals_full_table():
+    rng = random.Random(4)
+    for n in (8, 30, 63, 64, 65, 130, 400):
+        item = "".join(rng.choices("abé ", k=n))
+        text = "".join(rng.choices("abé ", k=50)) + edited(rng, item, n // 12) + "".join(rng.choices("abé ", k=50))
+        best = brute_best(item, text)
+        edits, a, b = qgram.align(item, text, n)
+        assert edits == best == whole(item, text[a:b])
+        assert not best or qgram.align(item, text, best - 1) is None
+
+
+def test_long_item_and_dense_hits():
+    """An item of 60,000 characters is aligned in seconds; hundreds of neighbouring copies are each found once."""
+    rng = random.Random(6)
+    item = "".join(rng.choices(ALPHABET, k=60_000)).strip()
+    index = qgram.Index([(0, qgram.normal(item))], 0.1)
+    began = time.time()
+    got = qgram.regions(["x " + edited(rng, item, 300) + " y"], index, 1 << 21)
+    assert len(got) == 1 and got[0][4] <= 300 and time.time() - began < 20
+    short = "one passage of fifty characters that comes again ok"
+    text = " ".join(short if k % 3 else short.replace("fifty", "fifti") for k in range(400))
+    index = qgram.Index([(0, short)], 0.1)
+    got = qgram.regions([text], index, 1 << 21)
+    assert [(x[2], x[4]) for x in got] == [(k * (len(short) + 1), int(k % 3 == 0)) for k in range(400)]
 
 
 def test_grams():
@@ -101,4 +153,4 @@ def test_empty_tables_and_dropping(spark):
     hit = {i for i, _ in want(docs, items)}
     left = qgram.drop_contaminated(d, b)
     assert left.columns == d.columns
-    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in docs if i is None or i not in hit)
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in docs if i not in hit)
