@@ -16,7 +16,8 @@ How the work stays linear in the number of documents:
   words differ in at most four bits just if some word is within two bits of both, so
   there every fingerprint is dealt to all words within two flips of it and joined to
   the smallest one it meets.  That is linear in the group and dealt over the cluster.
-* Components come from alternating large-star and small-star steps over those links.
+* Components come from alternating large-star and small-star steps over those links;
+  a node with very many links is dealt over tasks (``common.join_one``).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, checked, cut, small_batches, table, utf8, without
+from .common import BROADCAST_BYTES, blocks, checked, cut, join_one, small_batches, table, utf8
 
 BITS = 64
 CHECK = 4  # words of a wide fingerprint by which candidates are compared
@@ -184,25 +185,31 @@ def links(nodes: DataFrame, max_distance: int = 4, max_group: int = 1024, n_bloc
     return out.distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 64, broadcast_bytes: int = BROADCAST_BYTES, part: int = 50_000) -> DataFrame:
     """``(node, root)`` for each node of ``edges(a, b)``: the smallest node it can reach.
 
     Alternates large-star and small-star steps until the links no longer change, each
-    round cut off in the shared checkpoint folder.  Minima are pre-aggregated before
-    they are shuffled and joined back, so a node with very many links is no hot group.
+    round cut off in the shared checkpoint folder.  Minima are pre-aggregated before they
+    are shuffled.  They go to all tasks while there are few links; beyond that the links
+    of a node that has more than ``part`` are dealt over several tasks.
     """
 
     def state(e):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
+    def lowest(rows, low, key):
+        return rows.join(F.broadcast(low), key) if 32 * was[0] < broadcast_bytes else join_one(rows, low, [key], row_bytes=16, most=broadcast_bytes, part=part)
+
     edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     was = state(edges)
+    if not was[0]:
+        return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     for _ in range(max_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
+        large = lowest(both, low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
-        joined = large.join(low, "b")
+        joined = lowest(large, low, "b")
         edges = cut(joined.select(F.col("m").alias("a"), "b").union(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
         now = state(edges)
         if now == was:
@@ -218,16 +225,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ``component_id`` is the smallest id that can be reached over links between
     fingerprints that differ in at most ``max_distance`` bits.  Null and blank texts
-    have fingerprint zero and link like any other; a null id is left out of the minimum
-    unless all of its group are null; repeated rows return repeated rows; other columns
-    are ignored; an empty table gives an empty result.
+    have fingerprint zero and link like any other; rows without an id link like any
+    other too and are only left out of the minimum, which is null where a whole component
+    has no id; repeated rows return repeated rows; other columns are ignored; an empty
+    table gives an empty result.
     """
     own = cut(fingerprints(docs, id_col, text_col, words))
-    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    # A fingerprint all of whose ids are null has no name to link by: it stands alone.
-    roots = components(links(nodes.where("rep is not null"), max_distance, max_group, n_blocks))
-    named = nodes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(nodes.select("fp", F.col("fp").alias("rep")), max_distance, max_group, n_blocks))
+    placed = cut(nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least"))
+    named = join_one(placed.select("fp", "root"), placed.groupBy("root").agg(F.min("least").alias("component_id")), ["root"])
+    return join_one(own, named.select("fp", "component_id"), ["fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -264,76 +272,108 @@ def wide_fingerprint_many(texts: list[str | None], words: int, n_words: int) ->
     return out
 
 
-def _apart(keyed: DataFrame, d: int, nearest: bool = False) -> DataFrame:
-    """``(a, b)`` with a < b: all pairs within ``d`` bits under a key of ``keyed(key, fp, rep, root)`` that have different roots.
-
-    With ``nearest``, of each row's pairs under a key only its closest.
+def _whole_keys(batches, rows: int = 2048):
+    """Tables of whole keys, about ``rows`` rows or one key each, from batches sorted by their first column."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        key = held.column(0).to_numpy()
+        end = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
+        at = 0
+        while at < end:
+            to = end if end - at <= rows else max(int(np.searchsorted(key, key[at + rows])), int(np.searchsorted(key, key[at], "right")))
+            yield held.slice(at, to - at)
+            at = to
+        held = held.slice(end)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _close_rows(t: pa.Table, d: int, n_blocks: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of ``t(key, block, rep, root, fp)`` under a key, and their distance.
+
+    Those within ``d`` of the bits kept for comparing, of different roots, and only under
+    the first block that they share, so that a pair is met once.
     """
+    key, block, root = (t.column(c).to_numpy() for c in ("key", "block", "root"))
+    fp = np.frombuffer(b"".join(t.column("fp").to_pylist()), "<u8").reshape(len(key), -1)
+    check = np.ascontiguousarray(fp[:, -CHECK:])
+    at, step, found = np.arange(len(key)), 0, []
+    while len(at):
+        step += 1
+        at = at[at + step < len(key)]
+        at = at[key[at] == key[at + step]]
+        other = at[root[at] != root[at + step]]
+        bits = np.bitwise_count(check[other] ^ check[other + step]).sum(1, dtype=np.int32)
+        close = bits <= d
+        if close.any():
+            found.append((other[close], other[close] + step, bits[close]))
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    a, b, bits = (np.concatenate(x) for x in zip(*found))
+    value = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")[:, : n_blocks * width].reshape(len(key), n_blocks, width) @ (1 << np.arange(width, dtype=np.int32))
+    first = np.concatenate([(value[a[i : i + 65536]] == value[b[i : i + 65536]]).argmax(1) for i in range(0, len(a), 65536)])
+    own = first == block[a]
+    return a[own], b[own], bits[own]
 
-    def pairs(key, fp, rep, root):
-        at, step = np.arange(len(key)), 0
-        best, mate = np.full(len(key), d + 1, np.int32), np.arange(len(key))
-        while len(at):
-            step += 1
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            other = at[root[at] != root[at + step]]
-            bits = np.bitwise_count(fp[other] ^ fp[other + step]).sum(1, dtype=np.int32)
-            if nearest:
-                for here, there in ((other, other + step), (other + step, other)):
-                    less = bits < best[here]
-                    best[here[less]], mate[here[less]] = bits[less], there[less]
-                continue
-            close = other[bits <= d]
-            if len(close):
-                x, y = rep[close], rep[close + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
-        close = np.flatnonzero(best <= d)
-        if len(close):
-            x, y = rep[close], rep[mate[close]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+def _candidates(keyed: DataFrame, d: int, n_blocks: int, width: int) -> DataFrame:
+    """The rows of ``keyed(key, block, rep, root, fp)`` that have a close one under their key."""
 
     def run(batches):
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, rep, root = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
-            now = key, np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(len(key), -1), rep, root
-            held = now if held is None else tuple(np.concatenate(x) for x in zip(held, now))
-            end = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
-            if end:
-                yield from pairs(*(x[:end] for x in held))
-                held = tuple(x[end:] for x in held)
-        if held is not None:
-            yield from pairs(*held)
+        for t in _whole_keys(batches):
+            a, b, _ = _close_rows(t, d, n_blocks, width)
+            if len(a):
+                yield from t.take(pa.array(np.unique(np.r_[a, b]))).to_batches()
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(run, keyed.schema)
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The rows of ``pairs(a, b)`` whose shingle sets have at least this Jaccard similarity.
+def _links(cells: DataFrame, d: int, n_blocks: int, width: int, similarity: float) -> DataFrame:
+    """``(a, b)``: links of the rows of ``cells(key, block, rep, root, fp, own)`` whose sets ``own`` are alike.
 
-    ``texts`` has ``(rep, text)`` for every name of a pair.
+    Under each key, close pairs are decided by the exact Jaccard similarity of their sets,
+    the nearest first; a pair that earlier links of its key join is passed over.
     """
 
-    def sets(batches):
-        for b in batches:
-            rows = [shingle_hashes(t, words).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], ["rep", "own"])
-
-    def right(batches):
-        for b in batches:
-            x, y = ([np.frombuffer(v, np.uint64) for v in b.column(i).to_pylist()] for i in (2, 3))
-            both = np.array([len(np.intersect1d(i, j, assume_unique=True)) for i, j in zip(x, y)], np.int64)
-            total = np.array([len(i) + len(j) for i, j in zip(x, y)], np.int64)
-            good = pa.array(both >= similarity * (total - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(good), b.column(1).filter(good)], ["a", "b"])
-
-    needed = cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-    own = cut(texts.join(checked(needed), "rep", "left_semi").select("rep", "text").mapInArrow(sets, "rep long, own binary").dropDuplicates(["rep"]))
-    first, second = own.select(F.col("rep").alias("a"), F.col("own").alias("x")), own.select(F.col("rep").alias("b"), F.col("own").alias("y"))
-    return cut(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(right, "a long, b long"))
+    def run(batches):
+        for t in _whole_keys(batches):
+            a, b, bits = _close_rows(t, d, n_blocks, width)
+            if not len(a):
+                continue
+            order = np.argsort(bits, kind="stable")
+            rep, sets = t.column("rep").to_pylist(), t.column("own").combine_chunks()
+            run_of = np.cumsum(np.r_[0, np.diff(t.column("key").to_numpy()) != 0])
+            label = np.unique(np.stack([run_of, t.column("root").to_numpy()]), axis=1, return_inverse=True)[1].ravel().tolist()
+            parent = list(range(len(label)))
+
+            def find(x, parent=parent):
+                while parent[x] != x:
+                    parent[x] = x = parent[parent[x]]
+                return x
+
+            own, found = {}, []
+            for i, j in zip(a[order].tolist(), b[order].tolist()):
+                u, v = find(label[i]), find(label[j])
+                if u == v:
+                    continue
+                for k in (i, j):
+                    if k not in own:
+                        own[k] = np.frombuffer(sets[k].as_buffer(), np.uint64)
+                x, y = own[i], own[j]
+                if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+                    continue
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                    parent[max(u, v)] = min(u, v)
+                    found.append((rep[i], rep[j]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    return cells.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.99, max_group: int = 1024) -> DataFrame:
@@ -342,94 +382,161 @@ def similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: fl
     Jaccard similarity s of two sets is cosine 2s / (1 + s), which SimHash turns into a
     share arccos(cosine) / pi of differing bits.  That is 15 % at 0.8, too many for
     every choice of blocks that must agree, so fingerprints are wider: as many blocks as
-    make ``recall`` of the pairs right at ``similarity`` share one, of so many bits that a
-    block is expected to be shared by about a hundred unrelated ones.  Pairs that share a
-    block and differ in no more of 256 other bits than three standard deviations above
-    the mean at ``similarity`` are candidates; the exact Jaccard similarity of their
-    shingle sets decides each.
+    make ``recall`` of the pairs right at ``similarity`` share one, whatever the blocks'
+    width; that follows the number of rows, so that a block is expected to be shared by
+    about a hundred unrelated ones.  Pairs that share a block and differ in no more of 256
+    other bits than three standard deviations above the mean at ``similarity`` are
+    candidates; the exact Jaccard similarity of their shingle sets decides each.
 
-    Candidates would be all pairs of a large group of copies.  So each one's closest under
-    some blocks are decided first, and then every candidate whose two ends that leaves in
-    different components.
+    A pair is met under the first block that it shares.  Rows that have a candidate there
+    are sent there with their sets, and what leaves that task are links: those of a forest
+    at most, so that a large group of copies gives a link a member, never all its pairs.
 
     Equal fingerprints collapse first.  A block value with more than ``max_group``
-    fingerprints is dealt to parts of half that size, and any two parts meet in a group
-    of their own: every pair is compared however many there are, by many tasks.
+    fingerprints is dealt to parts, one each; afterwards its rows are met once more, those of its
+    largest component, which need no comparison with each other, against the parts of the
+    rest, and any two of those parts: every pair that may still matter is compared.
 
-    Null and blank texts are equal to each other; null ids have no row unless none of
-    their group has an id; repeated rows repeat.
+    Null and blank texts are equal to each other; a component's id is null where none of
+    its rows has one; repeated rows repeat.
     """
-    return _similar(docs, similarity, words, recall, max_group).select("doc_id", "component_id")
+    own, placed = _similar(docs, similarity, words, recall, max_group)
+    ids = placed.groupBy("root").agg(F.min("least.doc_id").alias("component_id"))
+    named = join_one(placed.select("fp", "root"), ids, ["root"]).select("fp", "component_id")
+    return join_one(own.select("doc_id", "fp"), named, ["fp"], row_bytes=96).select("doc_id", "component_id")
 
 
-def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.99, max_group: int = 1024) -> DataFrame:
-    """``similar`` with ``text_key``, a hash of the text, and ``root``, the component's own name."""
+def _key(c: str = "text"):
+    """128 bits that stand for a text; null counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(c), F.lit(""))))
+
+
+def _similar(docs: DataFrame, similarity: float = 0.8, words: int = 5, recall: float = 0.99, max_group: int = 1024, cell_bytes: int = 256 << 20) -> tuple[DataFrame, DataFrame]:
+    """``own(doc_id, text_key, fp)`` of each row, and ``placed(fp, least, root)`` of each fingerprint.
+
+    ``least`` is a fingerprint's first row, by id and then text, ``root`` its component's name.
+    """
     n = docs.count()
     apart = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     width = int(np.clip(np.ceil(np.log2(max(n, 2) / 128)), 8, 24))
     n_blocks = int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - apart) ** width)))
     n_words = max(8, -(-n_blocks * width // BITS) + CHECK)  # the last ones are for comparing
-    mean, sigma = apart * BITS * CHECK, np.sqrt(apart * (1 - apart) * BITS * CHECK)
+    d = int(np.ceil(apart * BITS * CHECK + 3 * np.sqrt(apart * (1 - apart) * BITS * CHECK)))
 
     def prints(batches):
         for b in batches:
             rows = [x.tobytes() for _, t in blocks(b.column(2).to_pylist(), 256) for x in wide_fingerprint_many(t, words, n_words)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, pa.binary())], ["doc_id", "text_key", "fp"])
 
-    def keyed(nodes, n_blocks):
+    def keyed(nodes):
         def keys(batches):
-            place = (np.arange(n_blocks, dtype=np.int64) << 32)[None, :]
             weight = 1 << np.arange(width, dtype=np.int64)
             for b in batches:
                 for at in range(0, b.num_rows, 4096):
                     part = b.slice(at, 4096)
-                    raw = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(len(part), -1)
+                    raw = np.frombuffer(b"".join(part.column(2).to_pylist()), np.uint8).reshape(len(part), -1)
                     bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : n_blocks * width]
-                    key = (bits.reshape(len(part), n_blocks, width) @ weight + place).ravel()
+                    block = np.tile(np.arange(n_blocks, dtype=np.int64), len(part))
+                    key = (bits.reshape(len(part), n_blocks, width) @ weight).ravel() + (block << 32)
                     again = pa.array(np.repeat(np.arange(len(part)), n_blocks))
-                    last = pa.array([x.tobytes() for x in raw[:, -8 * CHECK :]], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(key), *(x.take(again) for x in (last, part.column(1), part.column(2)))], ["key", "fp", "rep", "root"])
-
-        made = nodes.select("fp", "rep", "root").mapInArrow(keys, "key long, fp binary, rep long, root long")
-        hot = cut(made.groupBy("key").count().where(F.col("count") > max_group).withColumnRenamed("count", "n"))
-        if hot.isEmpty():
-            return made
-        last = F.ceil(2 * F.col("n") / max_group).cast("long") - 1
-        own = F.pmod(F.xxhash64("rep", "key"), last + 1)
-        others = F.filter(F.sequence(F.lit(0).cast("long"), last), lambda x: x != own)
-        deal = F.when(F.col("n").isNull(), F.array("key")).otherwise(F.transform(others, lambda x: F.xxhash64("key", F.least(own, x), F.greatest(own, x))))
-        return made.join(checked(hot), "key", "left").select(F.explode(deal).alias("key"), "fp", "rep", "root")
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    own = cut(rows.mapInArrow(prints, "doc_id long, text_key long, fp binary"))
-    # Of each fingerprint the smallest id, and one text that has it.
-    nodes = cut(own.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_key"))).alias("least")).select("fp", F.xxhash64("fp").alias("rep"), "least.*"))
-    named = nodes.where("doc_id is not null")
-    texts = rows.join(named.select("doc_id", "text_key", "rep"), ["doc_id", "text_key"]).select("rep", "text")
-    d = int(np.ceil(mean + 3 * sigma))
-    first = _apart(keyed(named.withColumn("root", F.col("rep")), -(-n_blocks // 4)), d, nearest=True)
-    sure = _alike(cut(first.distinct()), texts, similarity, words)
-    roots = components(sure).withColumnRenamed("node", "rep")
-    left = _apart(keyed(named.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), n_blocks), d)
-    roots = components(sure.union(_alike(cut(left.distinct()), texts, similarity, words))).withColumnRenamed("node", "rep")
-    placed = cut(nodes.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"), "doc_id"))
-    first = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return own.join(placed.drop("doc_id"), "fp").join(first, "root").select("doc_id", "text_key", "root", "component_id")
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(block.astype(np.int32)), *(x.take(again) for x in part.columns)], ["key", "block", "rep", "root", "fp"])
+
+        return nodes.select("rep", "root", "fp").mapInArrow(keys, "key long, block int, rep long, root long, fp binary")
+
+    columns = ["block", "rep", "root", "fp"]
+    part_of = lambda parts: F.pmod(F.xxhash64("rep", "key"), parts)
+
+    def dealt(made, hot):
+        """Rows of hot keys against the parts of all but their largest component."""
+        half = max(1, max_group // 2)
+        made = made.join(checked(hot), "key")
+        plan = cut(
+            made.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.max_by("root", "k").alias("_main"), F.max("k").alias("m"), F.sum("k").alias("n"))
+            .select("key", "_main", F.ceil(F.col("m") / half).alias("_major"), F.ceil((F.col("n") - F.col("m")) / half).alias("_minor"))
+        )
+        major, minor = F.col("_major"), F.col("_minor")
+        upto = lambda k: F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<long>"))
+        against = lambda i, j: F.xxhash64("key", F.lit(0), i, j)
+        here = part_of(minor)
+        of_rest = F.concat(
+            F.transform(upto(major), lambda j: against(here, j)),
+            F.transform(F.filter(upto(minor), lambda i: i != here), lambda i: F.xxhash64("key", F.lit(1), F.least(i, here), F.greatest(i, here))),
+        )
+        deal = F.when(F.col("root") == F.col("_main"), F.transform(upto(minor), lambda i: against(i, part_of(major)))).otherwise(of_rest)
+        return made.join(checked(plan, 32), "key").select(F.explode(deal).alias("key"), *columns)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().alias("text_key"), "text")
+    own = cut(rows.mapInArrow(prints, "doc_id long, text_key binary, fp binary"))
+    # Of each fingerprint its first row, and so one text that has it.
+    nodes = cut(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("least")).withColumn("rep", F.xxhash64("fp")))
+    name = nodes.select(F.col("least.doc_id").alias("_id"), F.col("least.text_key").alias("text_key"), "rep")
+
+    def sets(batches):
+        done = set()
+        for b in batches:
+            new = [i for i, rep in enumerate(b.column(0).to_pylist()) if not (rep in done or done.add(rep))]
+            made = [shingle_hashes(b.column(1)[i].as_py(), words).tobytes() for i in new]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(new, pa.int64())), pa.array(made, pa.binary())], ["rep", "own"])
+
+    def decided(made):
+        """Links among the rows of ``made(key, block, rep, root, fp)``."""
+        met = cut(_candidates(made, d, n_blocks, width))
+        ends = cut(met.select("rep").distinct())
+        if ends.isEmpty():
+            return None
+        wanted = cut(name.join(checked(ends), "rep", "left_semi"))
+        texts = rows.join(checked(wanted, 40), (rows["text_key"] == wanted["text_key"]) & rows["doc_id"].eqNullSafe(F.col("_id"))).select("rep", "text")
+        own = cut(texts.mapInArrow(sets, "rep long, own binary").dropDuplicates(["rep"]))
+        # A key with more bytes of sets than a task may hold is dealt again, any two parts in a cell.
+        size = met.select("key", "rep").join(own.select("rep", F.octet_length("own").alias("n")), "rep").groupBy("key").agg(F.sum("n").alias("n"))
+        heavy = cut(size.where(F.col("n") > cell_bytes).select("key", F.ceil(2 * F.col("n") / cell_bytes).alias("_parts")))
+        if not heavy.isEmpty():
+            here = part_of(F.col("_parts"))
+            others = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1), lambda x: x != here), lambda x: F.xxhash64("key", F.least(here, x), F.greatest(here, x)))
+            met = met.join(checked(heavy), "key", "left").select(F.explode(F.when(F.col("_parts").isNull(), F.array("key")).otherwise(others)).alias("key"), *columns)
+        return cut(_links(met.join(own, "rep").select("key", *columns, "own"), d, n_blocks, width, similarity))
+
+    def rooted(sure):
+        if sure is None or sure.isEmpty():
+            return nodes.withColumn("root", F.col("rep"))
+        return nodes.join(components(sure).withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+    made = keyed(nodes.withColumn("root", F.col("rep")))
+    hot = cut(made.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > max_group))
+    if hot.isEmpty():
+        sure = decided(made)
+    else:
+        one = F.when(F.col("_n").isNull(), F.col("key")).otherwise(F.xxhash64("key", part_of(F.ceil(F.col("_n") / max_group))))
+        sure = decided(made.join(checked(hot), "key", "left").select(one.alias("key"), *columns))
+        more = decided(dealt(keyed(rooted(sure)), hot.select("key")))
+        sure = sure if more is None else more if sure is None else sure.union(more)
+    return own, cut(rooted(sure).select("fp", "least", "root"))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One row of each component of ``similar``: the one of the smallest id.
+    """One row of each component of ``similar``: the one of the smallest id, without an id last.
 
-    Rows of one id whose texts aren't alike all stay, as do rows without an id.
+    Rows are told apart by id and text, so rows of one id with other texts, and rows
+    without an id, are kept or dropped each for its own text; of rows equal in both, one stays.
     """
-    key = ["doc_id", "text_key"]
-    found = cut(_similar(docs, **options).where("doc_id is not null"))
-    lead = found.groupBy("root").agg(F.min(F.struct(*key)).alias("lead"))
-    drop = cut(found.join(lead, "root").where(F.struct(*key) != F.col("lead")).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct())
-    left = docs.withColumn("_text", F.xxhash64("text")).join(checked(drop, 24), (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_text") == F.col("_key")), "left_anti")
-    if found.groupBy(*key).count().where("count > 1").isEmpty():  # spares whole texts a sort where no row repeats
-        return left.select(docs.columns)
-    return left.where("doc_id is not null").dropDuplicates(["doc_id", "_text"]).unionByName(left.where("doc_id is null")).select(docs.columns)
+    own, placed = _similar(docs, **options)
+    lead = placed.groupBy("root").agg(F.min("least").alias("lead"))
+    named = join_one(placed.select("fp", "root"), lead, ["root"], row_bytes=64).select("fp", "lead")
+    counted = own.groupBy("doc_id", "text_key", "fp").count()
+    found = cut(join_one(counted, named, ["fp"], row_bytes=128).select("doc_id", "text_key", (F.col("lead.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("lead.text_key") == F.col("text_key"))).alias("leads"), "count"))
+    left = docs.withColumn("_text", _key())
+
+    def listed(rows):
+        """These rows' names, and the condition under which a document is one of them."""
+        rows = checked(cut(rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))), 48)
+        return rows, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key"))
+
+    left = left.join(*listed(found.where("not leads")), "left_anti")
+    again = found.where("leads and count > 1")
+    if not again.isEmpty():  # only these rows' texts are dealt by their key
+        same = listed(again)
+        left = left.join(*same, "left_anti").unionByName(left.join(*same, "left_semi").dropDuplicates(["doc_id", "_text"]))
+    return left.select(docs.columns)
 
 
 def op6_simhash(spark, sf_dir):

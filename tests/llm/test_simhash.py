@@ -3,6 +3,7 @@ import random
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lodestrata.llm import simhash
 
@@ -92,7 +93,7 @@ def test_repeated_rows_and_null_ids(spark):
     df = spark.createDataFrame([(3, "a b c d e"), (3, "a b c d e"), (None, "a b c d e"), (None, "lonely text of its own here"), (9, "A b c d e")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)
     assert got == [(3, 3), (3, 3), (9, 3), (None, 3), (None, None)]
-    assert [r.doc_id for r in simhash.keep_one(df).collect()] == [3, None, None]
+    assert sorted((str(r.doc_id), r.text) for r in simhash.keep_one(df).collect()) == [("3", "a b c d e"), ("None", "lonely text of its own here")]
 
 
 def near_corpus(n, copies, seed=9):
@@ -121,7 +122,7 @@ def test_keep_one_of_similar(spark):
     rows = [(3, "a b c d e f g", 0), (5, "a b c d e f g", 0), (6, "something else in five words", 0), (7, None, 0), (8, " ", 0), (None, "a b c d e f g", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n int")
     kept = simhash.keep_one(df)
-    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "6", "7", "None"]
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["3", "6", "7"]
     assert simhash.keep_one(df.limit(0)).count() == 0
 
 
@@ -176,3 +177,39 @@ def test_keep_one_decides_by_row(spark):
     rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "some quite different text of its own"), (3, "one more text that nobody has"), (3, "and yet another one for this id"), (3, "one more text that nobody has")]
     kept = sorted(map(tuple, simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert kept == sorted({rows[0], rows[2], rows[3], rows[4]})
+
+
+def test_star_of_many_links(spark):
+    """A node with 100,000 links: the same roots whether minima are broadcast or its links are dealt over tasks."""
+    star = spark.range(1, 100_001).select(F.when(F.col("id") % 2 == 0, 0).otherwise(-5).alias("a"), F.col("id").alias("b")).unionByName(spark.createDataFrame([(0, 7)], "a long, b long"))
+    for options in ({}, {"broadcast_bytes": 0, "part": 1000}):
+        got = simhash.components(star, **options)
+        assert got.count() == 100_001 and [r.root for r in got.select("root").distinct().collect()] == [-5]
+
+
+def test_null_id_bridges(spark):
+    """Two texts that are linked only through one without an id share a component."""
+    texts = bridge()
+    df = spark.createDataFrame([(1, texts[0]), (None, texts[1]), (2, texts[2])], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()), key=str) == [(1, 1), (2, 1), (None, 1)]
+
+
+def bridge():
+    """Three texts whose fingerprints are within 4 bits from one to the next but not from first to last."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(400)]
+    near = {}
+    for at in range(0, 400, 3):
+        text = " ".join(base[:at] + ["changed"] + base[at + 1 :])
+        near[brute_fp(text)] = text
+    fp, far = brute_fp(" ".join(base)), lambda x, y: bin(x ^ y).count("1")
+    for a, b in itertools.combinations(near, 2):
+        if far(a, fp) <= 4 and far(b, fp) <= 4 < far(a, b):
+            return near[a], " ".join(base), near[b]
+    raise AssertionError("no bridge among these texts")
+
+
+def test_keep_one_decides_rows_without_id(spark):
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (4, "x y z with words enough"), (None, "x y z with words enough"), (None, "alone with its own words here"), (None, None), (None, "")]
+    kept = sorted(((r.doc_id, r.text or "") for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert kept == sorted([(None, "a b c d e f g"), (4, "x y z with words enough"), (None, "alone with its own words here"), (None, "")], key=str)
