@@ -1,22 +1,29 @@
 """Secret scans: candidates from a pattern, false positives removed by a random forest.
 
-Candidates are long unbroken strings of key-like characters.  A forest tells keys from
-identifiers, words, checksums and placeholders by a candidate's length, the transitions
-between its characters, how much of it dictionary words cover, its path and the words
-next to it.  It is trained from labelled findings; ``default_findings`` makes some from
-public formats of keys and of what is mistaken for them.
+Candidates are unbroken strings of at least sixteen key-like characters, and quoted
+values of at least eight that something is set to.  A forest tells keys and passwords
+from identifiers, words, checksums and placeholders by a candidate's length, the
+transitions between its characters, how much of it dictionary words cover, its path and
+the words next to it.  It is trained from labelled findings; ``default_findings`` makes
+some from public formats of keys and of what is mistaken for them.  The dictionary, and
+which transitions are common in words, come from an installed public vocabulary file.
+
+Every place of a candidate is judged by what stands around that place, and redacted there.
 
 Everything on the main path is built-in expressions and Spark's own forest, in the JVM.
-A scan neither shuffles nor collects: candidates are exploded where their text is read,
-and redaction rewrites each text in place.  Results name places, never secrets.
+A scan neither shuffles nor collects: texts are split at their candidates once, and
+offsets and contexts come from the pieces, not from the whole text again.  Redaction
+joins each text's judgements back to it.  Results name places, never secrets.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import random
 import uuid
-from functools import reduce
+from collections import Counter
+from functools import cache, reduce
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
@@ -26,26 +33,54 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .packing import vocabulary
 
-LEAST = 16
+LEAST, LEAST_QUOTED = 16, 8
 BEFORE, AFTER = 72, 36  # characters of context
+NEAR = 8  # so many candidates with what is between them are longer than the context
 CHARS = r"A-Za-z0-9+/_\-"
-CANDIDATE = rf"(?<![{CHARS}])([{CHARS}]{{{LEAST},}}+={{0,2}})"
-# A key has digits or both cases; most long words of prose have neither.
-MIXED = r"[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]"
-
-# Fixed word lists.
-WORDS = (
-    "access account admin agent alpha api application archive array auth backup base batch binary block branch bucket build cache change check class client cloud code column commit common company "
-    "config connect content context control copy create current customer data database date debug default delete demo deploy dev digest directory document domain download dummy element email enable "
-    "engine entry env error event example fake field file filter final first fixture folder format function global group handle hash header hello helper here host image import index info input insert "
-    "instance integer internal item job key label language last length library license line link list load local log login main manager map master member memory message method mock model module name "
-    "network node null number object offset old option order output package page param parse password path pattern payload placeholder plugin point policy port print private process product profile "
-    "project property provider public query queue read record redacted reference remote report request resource response result return role root route sample schema script search secret section select "
-    "server service session setting size some source stack start state static status step storage store stream string style system table target task temp template test text thread time title token total "
-    "track type unit update upload url user util valid value variable vector version view web widget window word work write xxxx your"
-).split()
-PAIRS = "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur".split()
+CANDIDATE = rf"""(?<![{CHARS}])[{CHARS}]{{{LEAST},}}+={{0,2}}|(?<=[=:]["']|[=:] ["'])[^\s"']{{{LEAST_QUOTED},}}+(?=["'])"""
+
+
+@cache
+def dictionary(path: str | None = None, most: int = 6000) -> tuple[str, ...]:
+    """The first ``most`` words of four to twelve small letters in a vocabulary whose tokens mark a word's front."""
+    with open(path or vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    words = [t[1:] for t in sorted(ids, key=ids.get) if t[0] == "\u0120"]
+    return tuple([w for w in words if 4 <= len(w) <= 12 and w.isascii() and w.isalpha() and w.islower()][:most])
+
+
+def word_pattern(words) -> str:
+    """A pattern that matches the longest of ``words`` at a place, letter by letter."""
+    root: dict = {}
+    for w in words:
+        node = root
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def of(node: dict) -> str:
+        parts = [c + of(below) for c, below in sorted(node.items()) if c]
+        if not parts:
+            return ""
+        inner = parts[0] if len(parts) == 1 and "" not in node else f"(?:{'|'.join(parts)})"
+        return f"{inner}?" if "" in node else inner
+
+    return of(root)
+
+
+@cache
+def transitions(words: tuple[str, ...]) -> tuple[str, str]:
+    """Patterns of the pairs of letters that make up half of all in ``words``, and the next four tenths."""
+    count = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
+    total, seen, levels = count.total(), 0, ({}, {}, {})
+    for pair, n in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+        levels[0 if seen < 0.5 * total else 1 if seen < 0.9 * total else 2].setdefault(pair[0], []).append(pair[1])
+        seen += n
+    return tuple("(?=" + "|".join(f"{c}[{''.join(sorted(x))}]" for c, x in sorted(level.items())) + ")" for level in levels[:2])
+
+
 NAMES = r"(?i)(token|secret|passw(or)?d|pwd|apikey|key|auth|bearer|credentials?|access|api)s?([_-]?(key|token|id))?[\s\"'=:]{0,8}$"
 HASHES = r"(?i)(sha|sha-?1|sha-?256|sha-?512|md5|commit|checksum|digest|integrity|etag|rev|revision|hash|uuid|guid|blob|version)[\s\"'=:]{0,8}$"
 EXAMPLES = r"(?i)(example|sample|dummy|fake|placeholder|redacted|changeme|your)"
@@ -57,15 +92,18 @@ def features(found: DataFrame) -> dict[str, Column]:
     c, low = F.col("candidate"), F.lower("candidate")
     n = F.length(c).cast("double")
     share = lambda x, pattern: F.regexp_count(x, F.lit(pattern)) / n
-    known = "|".join(sorted(WORDS, key=lambda w: (-len(w), w)))
+    words = dictionary()
+    common, usual = transitions(words)
     made = {
         "length": n,
         "digits": share(c, "[0-9]"),
         "upper": share(c, "[A-Z]"),
         "kinds": reduce(lambda a, b: a + b, [c.rlike(p).cast("double") for p in ("[0-9]", "[a-z]", "[A-Z]", r"[+/_\-]")]),
         "changes": share(c, "[0-9](?=[A-Za-z])|[A-Za-z](?=[0-9])|[a-z](?=[A-Z])|[A-Z](?=[a-z])"),
-        "pairs": share(low, f"(?=({'|'.join(PAIRS)}))"),
-        "words": (n - F.length(F.regexp_replace(low, known, ""))) / n,
+        "common": share(low, common),
+        "usual": share(low, usual),
+        "words": (n - F.length(F.regexp_replace(low, word_pattern(words), ""))) / n,
+        "marks": share(c, r"[^A-Za-z0-9+/_\-=]"),
         "repeats": share(c, r"(.)\1"),
         "steps": share(low, "01|12|23|34|45|56|67|78|89|ab|bc|cd|de|ef|fg|gh|hi"),
         "hex": c.rlike("^([0-9a-f]+|[0-9A-F]+)$"),
@@ -80,35 +118,67 @@ def features(found: DataFrame) -> dict[str, Column]:
     return {k: x.cast("double") for k, x in made.items()}
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def _split(text: Column) -> tuple[Column, Column]:
+    """The candidates of a text in order, and what is before, between and behind them."""
+    return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
+
+
+def _ahead(lengths: Column, block: int = 128) -> Column:
+    """For each element the sum of those ahead of it.  A fold copies what it has made so far, so it runs by blocks."""
+    none = F.array().cast("array<long>")
+    blocks = lambda x: F.sequence(F.lit(0), F.ceil(F.size(x) / block).cast("int") - 1)
+    part = lambda x, b: F.slice(x, b * block + 1, F.lit(block))
+
+    def running(x, start):
+        step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["done"], F.array(s["at"])).alias("done"))
+        return F.aggregate(x, F.struct(start.alias("at"), none.alias("done")), step, lambda s: s["done"])
+
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
+    sums = lambda x: F.transform(blocks(x), lambda b: total(part(x, b)))
+    return _let(lengths, lambda x: _let(running(sums(x), F.lit(0).cast("long")), lambda base: F.flatten(F.transform(blocks(x), lambda b: running(part(x, b), F.get(base, b))))))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
-    """``(doc_id, text_key, path, candidate, before, after, start, occurrences)``.
+    """``(doc_id, text_key, path, k, candidate, before, after, start)``: one row for each place of a candidate.
 
-    One row for each different candidate of a text; ``start`` is the 0-based character
-    where it first stands, and ``before`` and ``after`` are what stands around it there.
-    ``text_key`` is a hash of the text.  Null texts have none; null ids stay.
+    ``k`` numbers the candidates of a text from 0, ``start`` is a place's 0-based
+    character, and ``before`` and ``after`` are what stands around it there.  ``text_key``
+    is a hash of the text.  Null texts have none; null ids stay.
     """
     text = F.col(text_col)
-    every = F.array_distinct(F.filter(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(1)), lambda c: c.rlike(MIXED)))
-
-    def placed(c):
-        at = F.instr(text, c)
-        return F.struct(
-            c.alias("candidate"),
-            F.substring(text, F.greatest(F.lit(1), at - BEFORE), F.least(at - 1, F.lit(BEFORE))).alias("before"),
-            F.substring(text, at + F.length(c), F.lit(AFTER)).alias("after"),
-            (at - 1).cast("long").alias("start"),
-            ((F.length(text) - F.length(F.replace(text, c, F.lit("")))) / F.length(c)).cast("int").alias("occurrences"),
-        )
-
-    return docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(path_col).cast("string").alias("path"),
-        F.inline(F.transform(every, placed)),
+    found, gaps = _split(text)
+    cut_up = docs.where(text.rlike(CANDIDATE)).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(path_col).cast("string").alias("path"), found.alias("_m"), gaps.alias("_g"),
     )
+    m, g = F.col("_m"), F.col("_g")
+    n = F.size(m)
+    length = lambda x: F.length(x).cast("long")
+
+    def place(k, ahead):
+        first = F.greatest(F.lit(0), k - NEAR)
+        back = F.transform(F.sequence(first, k), lambda i: F.concat(F.when(i > first, F.get(m, i - 1)).otherwise(""), F.right(F.get(g, i), F.lit(BEFORE))))
+        ahead_of = F.transform(F.sequence(k + 1, F.least(n, k + NEAR)), lambda i: F.concat(F.left(F.get(g, i), F.lit(AFTER)), F.when(i < F.least(n, k + NEAR), F.get(m, i)).otherwise("")))
+        return F.struct(
+            k.alias("k"), F.get(m, k).alias("candidate"), F.right(F.array_join(back, ""), F.lit(BEFORE)).alias("before"), F.left(F.array_join(ahead_of, ""), F.lit(AFTER)).alias("after"),
+            (F.get(ahead, k) + length(F.get(g, k))).alias("start"),
+        )
+
+    lengths = F.zip_with(F.slice(g, F.lit(1), n), m, lambda x, y: length(x) + length(y))
+    places = _let(_ahead(lengths), lambda ahead: F.transform(F.sequence(F.lit(0), n - 1), lambda k: place(k, ahead)))
+    return cut_up.select("doc_id", "text_key", "path", F.inline(places))
+
 
+KEYBOARD = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "1234567890")
 
-def default_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> DataFrame:
-    """``(text, path, label)``: keys in public formats, and what is mistaken for keys."""
-    rng = random.Random(seed)
+
+def default_findings(spark: SparkSession, n: int = 6000, seed: int = 7) -> DataFrame:
+    """``(text, path, label)``: keys and passwords in public formats, and what is mistaken for them."""
+    rng, words = random.Random(seed), dictionary()
     take = lambda chars, k: "".join(rng.choices(chars, k=k))
     hexes, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     b64 = lambda k: base64.b64encode(rng.randbytes(k)).decode()
@@ -117,10 +187,28 @@ def default_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> DataF
         hexa, hexa, lambda: b64(rng.randint(15, 60)), lambda: take(alnum, rng.randint(20, 64)), lambda: "AKIA" + take(alnum[:26] + alnum[52:], 16),
         lambda: "ghp_" + take(alnum, 36), lambda: "sk_live_" + take(alnum, 24), lambda: f"xoxb-{take(hexes[:10], 12)}-{take(alnum, 24)}", lambda: take(alnum, 43) + "=",
     ]
+    passwords = [
+        lambda: take(alnum[26:52], rng.randint(12, 24)), lambda: take(alnum + "!@#$%&*?", rng.randint(10, 20)),
+        lambda: "".join(row[: rng.randint(5, 10)] for row in rng.sample(KEYBOARD, 3)), lambda: rng.choice(words) + take("!@#$%&*?0123456789", rng.randint(4, 8)),
+    ]
+    follow: dict[str, list[str]] = {}
+    for w in words:
+        for x, y in zip(w, w[1:]):
+            follow.setdefault(x, []).append(y)
+
+    def invented(k: int) -> str:
+        """A string of ``k`` letters that follow each other as in words."""
+        out = rng.choice(words)[0]
+        while len(out) < k:
+            out += rng.choice(follow[out[-1]])
+        return out
+
     names = ["token", "secret", "api_key", "apikey", "password", "auth_token", "access_token", "client_secret", "AWS_SECRET_ACCESS_KEY", "aws_access_key_id", "credentials", "key"]
+    plain = ["name", "title", "lang", "format", "theme", "label", "column", "kind", "encoding", "path", "topic"]
     signs = [' = "{}"', '="{}"', ": {}", "={}", ' : "{}",', " {}", "='{}';"]
-    word, title = lambda: rng.choice(WORDS), lambda: rng.choice(WORDS).title()
-    prose = lambda: " ".join("".join(rng.choices(PAIRS, k=rng.randint(1, 4))) for _ in range(rng.randint(0, 8)))
+    quoted = [' = "{}"', '="{}"', ': "{}"', "='{}';", " = '{}'"]
+    word, title = lambda: rng.choice(words), lambda: rng.choice(words).title()
+    prose = lambda: " ".join(rng.choice([word, lambda: invented(rng.randint(2, 9))])() for _ in range(rng.randint(0, 8)))
     named = lambda value: rng.choice(names) + rng.choice(signs).format(value)
     others = [
         lambda: rng.choice(["commit", "sha256", "sha1", "checksum", "md5", "integrity", "etag", "digest", "revision", "blob"]) + rng.choice(signs).format(rng.choice([hexa, hexa, lambda: "sha512-" + b64(64)])()),
@@ -128,25 +216,31 @@ def default_findings(spark: SparkSession, n: int = 4000, seed: int = 7) -> DataF
         lambda: named(rng.choice(["your_{}_goes_here_1", "YOUR-{}-HERE-12345", "example_{}_0123456789", "xxxxxxxxxxxxxxxx{}1", "0123456789abcdef{}", "changeme_{}_changeme1", "dummy-{}-1234567890"]).format(word())),
         lambda: named(rng.choice(["a1", "0", "x1", "abc1", "1234"]) * rng.randint(8, 16)),
         lambda: prose() + " " + word() + "".join(title() for _ in range(rng.randint(2, 4))) + rng.choice(["", "2"]),
-        lambda: prose() + " " + "_".join(word() for _ in range(rng.randint(3, 5))) + rng.choice(["_1", "_v2"]),
-        lambda: prose() + " /" + "/".join(word() for _ in range(rng.randint(3, 6))) + rng.choice(["/2", "/v1"]),
+        lambda: prose() + " " + rng.choice("_-/").join(word() for _ in range(rng.randint(3, 5))) + rng.choice(["", "_1", "_v2"]),
+        lambda: prose() + " /" + "/".join(word() for _ in range(rng.randint(3, 6))) + rng.choice(["", "/2", "/v1"]),
         lambda: named("".join(title() for _ in range(rng.randint(3, 5))) + rng.choice(["", "1"])),
         lambda: prose() + " " + take("0123456789", rng.randint(16, 24)),
         lambda: prose() + " " + f"20{take(hexes[:10], 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T{take(hexes[:10], 2)}-{take(hexes[:10], 2)}",
-        lambda: prose() + " " + "".join(rng.choices(PAIRS, k=rng.randint(8, 14))).title() + rng.choice(["1", "42", "Th"]),
+        lambda: prose() + " " + rng.choice([str, str.title, str.upper])(invented(rng.randint(16, 28))) + rng.choice(["", "1", "42", "Th"]),
+        lambda: prose() + " " + "-".join(invented(rng.randint(4, 9)) for _ in range(rng.randint(3, 5))),
+        lambda: prose() + " " + rng.choice("-_=+/") * rng.randint(16, 60),
+        lambda: rng.choice(plain) + rng.choice(quoted).format(rng.choice([word, lambda: f"{word()}-{word()}", lambda: invented(rng.randint(8, 20)), lambda: f"{word()}.{word()}/{word()}"])()),
+        lambda: rng.choice(names) + rng.choice(quoted).format(rng.choice([f"{word()}_{word()}_{word()}", f"${{{word()}}}", f"<your-{word()}>", "changeme123", "xxxxxxxxxx", "**********"])),
         lambda: rng.choice(["an example ", "a sample ", "fake "]) + named(rng.choice(keys)()),
     ]
     paths = ["src/app/config.py", "deploy/values.yaml", "README.md", "lib/client.js", "src3", "docs/setup.md", "tests/fixtures/data.json", None]
     rows = []
     for i in range(n):
-        if i % 2:
+        if i % 4 == 1:
+            rows.append((f"{prose()} {rng.choice(names[:6])}{rng.choice(quoted).format(rng.choice(passwords)())} {prose()}", rng.choice(paths[:6]), 1))
+        elif i % 2:
             rows.append((f"{prose()} {named(rng.choice(keys)())} {prose()}", rng.choice(paths[:6]), 1))
         else:
             rows.append((f"{rng.choice(others)()} {prose()}", rng.choice(paths), 0))
     return spark.createDataFrame(rows, "text string, path string, label int")
 
 
-def train(findings: DataFrame, trees: int = 30, depth: int = 7, seed: int = 3):
+def train(findings: DataFrame, trees: int = 30, depth: int = 9, seed: int = 3):
     """A forest from ``findings(text, path, label)``; every candidate of a text has its label.
 
     Rows whose label is neither 0 nor 1, and texts without a candidate, teach nothing.
@@ -165,32 +259,39 @@ def _scored(docs: DataFrame, model, **columns) -> DataFrame:
 
 
 def scan(docs: DataFrame, model, threshold: float = 0.5, **columns) -> DataFrame:
-    """``(doc_id, path, start, length, occurrences, score, is_secret)``: one row for each different candidate of a row.
+    """``(doc_id, path, start, length, score, is_secret)``: one row for each place of a candidate.
 
     The value itself isn't shown.  Null and empty texts have no rows; repeated rows repeat
-    theirs; other columns are ignored; an empty table gives an empty result.
+    theirs; texts of any length are split once; other columns are ignored; an empty table
+    gives an empty result.
     """
-    return _scored(docs, model, **columns).select("doc_id", "path", "start", F.length("candidate").alias("length"), "occurrences", F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
+    return _scored(docs, model, **columns).select("doc_id", "path", "start", F.length("candidate").alias("length"), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("is_secret"))
 
 
 def redact(docs: DataFrame, model, threshold: float = 0.5, mark: str = "[SECRET]", broadcast_bytes: int = 8 << 20, path_col: str = "source") -> DataFrame:
-    """``docs`` with every secret in ``text`` replaced by ``mark``; all rows and columns stay.
+    """``docs`` with ``mark`` at every place in ``text`` judged to be a secret; all rows and columns stay.
 
-    The secrets found, with the key of their text, go to all tasks only if together they
-    have fewer than ``broadcast_bytes``; otherwise the two sides are joined by a shuffle.
+    A text's judgements, one for each of its candidates in order, go to all tasks only if
+    together they have fewer than ``broadcast_bytes``; otherwise the two sides are joined
+    by a shuffle.  Rows are told apart by id, text and path.
     """
-    key = ["doc_id", "text_key"]
+    key = ["doc_id", "text_key", "path"]
+    secret = (F.col("score") >= threshold).alias("secret")
     found = cut(
-        _scored(docs, model, path_col=path_col).where(F.col("score") >= threshold)
-        .groupBy(*key).agg(F.array_sort(F.collect_set("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("_secrets"))
-        .select(*[F.col(k).alias(f"_{k}") for k in key], "_secrets")
+        _scored(docs, model, path_col=path_col).select(*key, F.struct("k", secret).alias("at"))
+        .groupBy(*key).agg(F.array_sort(F.collect_set("at")).alias("at"), F.bool_or("at.secret").alias("any")).where("any")
+        .select(*[F.col(k).alias(f"_{k}") for k in key], F.transform("at", lambda x: x["secret"]).alias("_flags"))
     )
-    size = found.agg(F.sum(F.aggregate("_secrets", F.lit(32), lambda n, x: n + F.octet_length(x) + 8))).first()[0] or 0
+    size = found.agg(F.sum(F.size("_flags") + 64)).first()[0] or 0
     marked = docs.join(
         F.broadcast(found) if size < broadcast_bytes else found,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_key")), "left",
+        F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_key")) & F.col(path_col).cast("string").eqNullSafe(F.col("_path")), "left",
     )
-    clean = F.when(F.col("_secrets").isNull(), F.col("text")).otherwise(F.aggregate("_secrets", F.col("text"), lambda t, x: F.replace(t, x, F.lit(mark))))
+    m, g = _split(F.col("text"))
+    rebuilt = _let(F.struct(m.alias("m"), g.alias("g")), lambda x: F.concat(
+        F.array_join(F.transform("_flags", lambda secret, k: F.concat(F.get(x["g"], k), F.when(secret, F.lit(mark)).otherwise(F.get(x["m"], k)))), ""), F.element_at(x["g"], -1),
+    ))
+    clean = F.when(F.col("_flags").isNull(), F.col("text")).otherwise(rebuilt)
     return marked.select(*[clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import pytest
+import regex
 
 from lodestrata.llm import secrets
 
@@ -25,22 +27,81 @@ def test_held_out_findings(spark, model):
     assert len(right) > 900 and sum(right) / len(right) > 0.95
 
 
+def brute_places(text):
+    """Every candidate's place and context, by looking at the whole text each time."""
+    out = []
+    for m in regex.finditer(secrets.CANDIDATE.replace("[^\\s", "[^ \\t-\\r"), text):
+        out.append((m.start(), m[0], text[max(0, m.start() - secrets.BEFORE) : m.start()], text[m.end() : m.end() + secrets.AFTER]))
+    return out
+
+
+def test_places_and_contexts_equal_brute_force(spark):
+    rng = random.Random(5)
+    some = lambda: rng.choice([" ", "\n", ' = "', '"', "é😀", "ab", "a1B2c3D4e5F6g7H8", KEY, KEY + KEY, "=", ".", "password: 'p@ss?w0rd'", "x" * 90, "/usr/local/lib/python"])
+    rows = [(i, "".join(some() for _ in range(rng.choice([1, 5, 40, 600])))) for i in range(60)] + [(90, f"{KEY} " * 3000)]
+    got = {}
+    for r in secrets.candidates(docs(spark, rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.k, r.start, r.candidate, r.before, r.after))
+    for i, text in rows:
+        want = brute_places(text)
+        assert sorted(got.get(i, [])) == [(k, *x) for k, x in enumerate(want)]
+
+
+def test_features_equal_brute_force(spark):
+    words = set(secrets.dictionary())
+    longest = max(map(len, words))
+
+    def covered(c):
+        at = total = 0
+        while at < len(c):
+            n = next((n for n in range(min(longest, len(c) - at), 3, -1) if c[at : at + n] in words), 0)
+            total, at = total + n, at + max(n, 1)
+        return total
+
+    count = Counter(w[i : i + 2] for w in words for i in range(len(w) - 1))
+    seen, common = 0, set()
+    for pair, n in sorted(count.items(), key=lambda x: (-x[1], x[0])):
+        if seen < 0.5 * count.total():
+            common.add(pair)
+        seen += n
+    rows = [(r.text, r.path) for r in secrets.default_findings(spark, 200, seed=11).collect()]
+    found = secrets.candidates(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, source string"))
+    made = secrets.features(found)
+    for r in found.select("candidate", "path", *[made[k].alias(k) for k in ("length", "digits", "upper", "words", "common", "repeats", "path_test")]).collect():
+        c, low = r.candidate, r.candidate.lower()
+        assert (r.length, r.digits, r.upper) == (len(c), sum(x.isdigit() for x in c) / len(c), sum(x.isupper() for x in c) / len(c))
+        assert r.words == pytest.approx(covered(low) / len(c)) and r.common == pytest.approx(sum(low[i : i + 2] in common for i in range(len(c))) / len(c))
+        assert r.path_test == bool(r.path and "tests/" in r.path)
+
+
 def test_places_and_odd_texts(spark, model):
     rng = random.Random(4)
-    words = lambda n: " ".join("".join(rng.choices(secrets.PAIRS, k=3)) for _ in range(n))
+    words = lambda n: " ".join(rng.choice(secrets.dictionary()) for _ in range(n))
     text = f'ü😀 {words(5)} token = "{KEY}" {words(4)} token = "{KEY}"'
     long = words(30_000) + f' api_key: "ghp_{"aB3dE6gH9" * 4}" ' + words(10)
     rows = [(1, text), (2, None), (3, ""), (None, text), (5, long), (6, words(200)), (1, text), (7, f"commit {KEY} by"), (8, 'token = "your_token_goes_here_1"')]
     got = secrets.scan(docs(spark, rows), model).collect()
     hits = sorted(((r.doc_id or 0, r.start, r.length) for r in got if r.is_secret))
-    at = text.index(KEY)
-    assert hits == [(0, at, 40), (1, at, 40), (1, at, 40), (5, long.index("ghp_"), 40)]
+    at = [text.index(KEY), text.rindex(KEY)]
+    assert hits == [(0, x, 40) for x in at] + sorted([(1, x, 40) for x in at] * 2) + [(5, long.index("ghp_"), 40)]
     assert secrets.scan(docs(spark, []), model).count() == 0
 
 
+def test_every_place_is_judged_by_its_own_context(spark, model):
+    """The same characters as a checksum, inside a longer string, and as a token; and a password without digits."""
+    rows = [(1, f'commit {KEY} by someone and later token = "{KEY}" end'), (2, f'blob {KEY}{KEY} then token = "{KEY}"'), (3, 'password = "qwertyuiopasdfghjklz"'), (4, f'the token = "{KEY}" made of commit {KEY} here')]
+    d = docs(spark, rows)
+    hits = sorted((r.doc_id, r.start) for r in secrets.scan(d, model).collect() if r.is_secret)
+    assert hits == [(1, rows[0][1].rindex(KEY)), (2, rows[1][1].rindex(KEY)), (3, 12), (4, rows[3][1].index(KEY))]
+    got = {r.doc_id: r.text for r in secrets.redact(d, model).collect()}
+    for i, at in hits:
+        text = rows[i - 1][1]
+        assert got[i] == text[:at] + "[SECRET]" + text[at + (20 if i == 3 else 40) :]
+
+
 @pytest.mark.parametrize("broadcast_bytes", [0, 8 << 20])
 def test_redaction_keeps_all_else(spark, model, broadcast_bytes):
-    rows = [(1, f'a token = "{KEY}" b {KEY}'), (None, f'token = "{KEY}"'), (2, "plain text"), (3, None), (2, "plain text")]
+    rows = [(1, f'a token = "{KEY}" b token: "{KEY}"'), (None, f'token = "{KEY}"'), (2, "plain text"), (3, None), (2, "plain text")]
     d = docs(spark, rows)
     got = secrets.redact(d, model, broadcast_bytes=broadcast_bytes)
     assert got.columns == d.columns
