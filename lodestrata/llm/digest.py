@@ -5,6 +5,11 @@ digest writes, for each bucket, which quartile of all counts its count lies in,
 before that the length of the text on a logarithmic scale and two ratios of the
 quartiles.  Two digests are compared by a difference score, bounded and turned into a
 likeness between 0 and 1.  Digests need no other document: fingerprinting is one scan.
+
+A text of fewer than five bytes, but one at least, counts as if zero bytes followed it, so
+it has the triplets of one window.  Digests of short texts leave most buckets at zero; the
+difference that makes likeness 0 is therefore never more than what two texts without a
+common bucket would reach.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ BUCKETS = 256
 #: Places in a window of five bytes; the outer two are always there, as wide triplets tell texts of one language apart best.
 TRIPLETS = ((0, 1, 4), (0, 2, 4), (0, 3, 4))
 BLOCK = 1 << 18
+WINDOW = 5
 #: A bucket whose quartiles differ by 1, 2 or 3 adds so much to the difference.
 STEP = np.array([0, 1, 3, 6])
 #: The difference at which likeness is 0: what independent digests reach on average.
@@ -41,7 +47,7 @@ TABLES = _tables()
 
 def bucket_counts(data: bytes) -> np.ndarray:
     """How many hashed triplets of ``data`` fall into each bucket."""
-    raw = np.frombuffer(data, np.uint8)
+    raw = np.frombuffer(data.ljust(WINDOW, b"\0") if data else data, np.uint8)
     counts = np.zeros(BUCKETS, np.int64)
     for at in range(0, max(0, len(raw) - 4), BLOCK):
         part = raw[at : at + BLOCK + 4]
@@ -65,19 +71,25 @@ def digest(data: bytes) -> str:
     return bytes([length, ratios[0] << 4 | ratios[1]]).hex() + packed.tobytes().hex()
 
 
+def _codes(a: str) -> tuple[np.ndarray, np.ndarray]:
+    """Length and ratios, and the code of each bucket."""
+    x = np.frombuffer(bytes.fromhex(a), np.uint8)
+    return x[:2].astype(int), np.stack([x[2:] >> s & 3 for s in (0, 2, 4, 6)]).astype(int)
+
+
 def difference(a: str, b: str) -> int:
     """Bucket steps, plus what length and ratios differ by beyond small change."""
-    x, y = (np.frombuffer(bytes.fromhex(s), np.uint8) for s in (a, b))
-    d = 0
-    for shift in (0, 2, 4, 6):
-        d += int(STEP[np.abs((x[2:] >> shift & 3).astype(int) - (y[2:] >> shift & 3))].sum())
-    d += max(0, abs(int(x[0]) - int(y[0])) - 2)
-    return d + sum(abs(int(x[1] >> s & 15) - int(y[1] >> s & 15)) for s in (0, 4))
+    (x, p), (y, q) = _codes(a), _codes(b)
+    d = int(STEP[np.abs(p - q)].sum()) + max(0, abs(int(x[0] - y[0])) - 2)
+    return d + sum(abs(int((x[1] >> s & 15) - (y[1] >> s & 15))) for s in (0, 4))
 
 
 def likeness(a: str, b: str) -> float:
     """1 for equal digests, 0 from the bound on."""
-    return max(0.0, 1.0 - difference(a, b) / WORST)
+    if a == b:
+        return 1.0
+    apart = sum(int(STEP[_codes(x)[1]].sum()) for x in (a, b))
+    return max(0.0, 1.0 - difference(a, b) / min(WORST, max(1, apart)))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -112,7 +124,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     last is the first.  Rows are dealt out by ranges of that order, so a row's successor
     is in its own task but for the last of each task; those few rows, two texts a task,
     meet in a join of their own.  Repeated rows return repeated rows; null texts are
-    empty; a single row is its own successor; an empty table gives an empty result.
+    empty; a single row is its own successor; a very long text is digested by blocks; columns
+    of other names are ignored; an empty table gives an empty result.
     """
     kinds = RESULT + ", part long, edge string, text string"
     names = [x.split()[0] for x in kinds.split(", ")]

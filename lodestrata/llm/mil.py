@@ -4,9 +4,12 @@ A document is a bag of passages.  Each passage is encoded from counts over its b
 and words; gated attention (tanh times sigmoid) weighs the encodings, and a logistic
 unit scores their weighted sum.  All weights are learned together from document labels.
 
-Fitting uses a bounded sample of labelled rows (``max_train`` documents, chosen by a
-hash of the id), whose passage features are made by Spark tasks and whose few thousand
-bags fit the driver.  Scoring is one scan of whole texts without a shuffle.
+Fitting uses a bounded sample of labelled rows: ``max_train`` documents, chosen by a hash
+of the id, and of each at most ``max_passages`` passages, evenly spread.  Spark tasks make
+their features, and the driver gets at most the product of both, ``FEATURES`` floats each.
+Scoring is one scan of whole texts without a shuffle: all passages of a text are encoded,
+``STEP`` of them at a time, and what is kept of each until its text is pooled is one
+encoding of a few numbers.
 """
 
 from __future__ import annotations
@@ -19,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import blocks, held_out, small_batches, table, utf8
+from .common import by_bytes, held_out, small_batches, table, utf8
 
 WORDS = 64  # words in a passage
 KINDS = 16  # byte classes, below
+STEP = 2048  # passages encoded at once
 
 
 def _byte_classes() -> np.ndarray:
@@ -50,10 +54,8 @@ def passages(text: str | None) -> list[bytes]:
     return [b" ".join(words[i : i + WORDS]) for i in range(0, len(words), WORDS)] or [b""]
 
 
-def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages, and how many passages each text has."""
-    each = [passages(t) for t in texts]
-    flat = [p for ps in each for p in ps]
+def encode(flat: list[bytes]) -> np.ndarray:
+    """Features of passages, a row each."""
     n = len(flat)
     sizes = np.array([len(p) for p in flat])
     kinds = CLASSES[np.frombuffer(b"".join(flat), np.uint8)].astype(np.int64)
@@ -67,7 +69,7 @@ def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if w:
             words[i] = len(w) / WORDS, len(p) / len(w) / 8, len(set(w)) / len(w), sum(map(bytes.__eq__, w, w[1:])) / len(w), max(map(len, w)) / 32, 1
     length = (sizes + 20)[:, None]  # few bytes are weak evidence
-    return np.hstack([words, single / length, np.sqrt(pair / length)]).astype(np.float32), np.array([len(ps) for ps in each])
+    return np.hstack([words, single / length, np.sqrt(pair / length)]).astype(np.float32)
 
 
 @dataclass
@@ -78,19 +80,39 @@ class Model:
     scale: np.ndarray
     weights: dict[str, np.ndarray]
 
-    def forward(self, x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+    def attend(self, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Encoding of each passage, its two attention branches and the logit of its weight."""
         w = self.weights
         z = np.tanh(x @ w["W"] + w["b"])
         t, g = np.tanh(z @ w["V"]), 1 / (1 + np.exp(-(z @ w["U"])))
-        e = (t * g) @ w["a"]
+        return z, t, g, (t * g) @ w["a"]
+
+    def pool(self, z: np.ndarray, e: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Each passage's share of its bag's attention, the weighted encodings and the bags' scores."""
+        w = self.weights
         e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), sizes))
         att = e / np.repeat(np.add.reduceat(e, starts), sizes)
         bag = np.add.reduceat(att[:, None] * z, starts)
-        return {"z": z, "t": t, "g": g, "att": att, "bag": bag, "p": 1 / (1 + np.exp(-np.clip(bag @ w["c"] + w["d"], -30, 30)))}
+        return att, bag, 1 / (1 + np.exp(-np.clip(bag @ w["c"] + w["d"], -30, 30)))
+
+    def forward(self, x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+        z, t, g, e = self.attend(x)
+        att, bag, p = self.pool(z, e, starts, sizes)
+        return {"z": z, "t": t, "g": g, "att": att, "bag": bag, "p": p}
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        x, sizes = encode(texts)
-        return self.forward(np.clip((x - self.mean) / self.scale, -8, 8), np.r_[0, np.cumsum(sizes)[:-1]], sizes)["p"].astype(float)
+        each = [passages(t) for t in texts]
+        flat = [p for ps in each for p in ps]
+        z, e = [], []
+        for i in range(0, len(flat), STEP):
+            own = self.attend(self.scaled(encode(flat[i : i + STEP])))
+            z.append(own[0])
+            e.append(own[3])
+        sizes = np.array([len(ps) for ps in each])
+        return self.pool(np.concatenate(z), np.concatenate(e), np.r_[0, np.cumsum(sizes)[:-1]], sizes)[2].astype(float)
 
 
 def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 25, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 1) -> Model:
@@ -130,28 +152,33 @@ def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000, **options) -> Model:
-    """Fit on at most ``max_train`` labelled rows whose id isn't held out.
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000, max_passages: int = 32, **options) -> Model:
+    """Fit on at most ``max_train`` labelled ids that aren't held out, ``max_passages`` passages of each.
 
-    ``docs(doc_id, text)``, ``labels(doc_id, quality)``; rows without an id or a label
-    teach nothing.  With fewer than two labels to learn from, the model scores the one
-    label's value, or 1 without any: nothing is known against a document.
+    ``docs(doc_id, text)``, ``labels(doc_id, quality)``; rows without an id or a label,
+    and ids whose labels contradict each other, teach nothing; of rows that repeat an id
+    the least text teaches.  With fewer than two labels to learn from, the model scores
+    the one label's value, or 1 without any: nothing is known against a document.
     """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out())
-        .groupBy("doc_id").agg(F.max("quality").alias("quality"))
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"), F.min("quality").alias("least")).where("quality = least").drop("least")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
 
     def run(batches):
         for b in batches:
-            for at, texts in blocks(b.column(2).to_pylist(), 128):
-                x, sizes = encode(texts)
-                rows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes) * FEATURES].astype(np.int32)), pa.array(x.ravel()))
+            for at, texts in by_bytes(b.column(2).to_pylist()):
+                each = []
+                for t in texts:
+                    own = passages(t)
+                    each.append([own[i * len(own) // max_passages] for i in range(max_passages)] if len(own) > max_passages else own)
+                x = encode([p for ps in each for p in ps])
+                rows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(ps) for ps in each]) * FEATURES].astype(np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), rows], ["doc_id", "quality", "x"])
 
-    # At most max_train ids: a proven bound for the broadcast.  An id that repeats among docs teaches once a row.
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))), "doc_id").select("doc_id", "quality", "text")
+    # At most max_train ids: a proven bound for the broadcast.
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     got = sample.mapInArrow(run, "doc_id long, quality int, x array<float>").toArrow().sort_by("doc_id")
     y = got["quality"].to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2:
@@ -175,7 +202,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            s = np.concatenate([model.score(t) for _, t in blocks(b.column(at).to_pylist(), 128)] or [np.zeros(0)])
+            s = np.concatenate([model.score(t) for _, t in by_bytes(b.column(at).to_pylist(), rows=128)] or [np.zeros(0)])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
 
     return rest.mapInArrow(run, schema)

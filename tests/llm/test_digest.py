@@ -7,6 +7,7 @@ from lodestrata.llm import digest
 
 
 def brute_counts(data):
+    data = data + bytes(max(0, 5 - len(data))) if data else data
     out = [0] * digest.BUCKETS
     for i in range(len(data) - 4):
         for t, places in zip(digest.TABLES, digest.TRIPLETS):
@@ -55,3 +56,23 @@ def test_repeated_and_null_ids(spark):
     got = digest.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.n_chars) for r in got) == [(-1, 0), (-1, 50), (3, 9), (3, 80), (3, 80)]
     assert digest.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).count() == 5
+
+
+def test_short_texts_differ():
+    texts = [b"", b"a", b"b", b"ab", b"abc", b"abd", b"xyz", b"abcd", b"wxyz", b"abcde"]
+    marks = [digest.digest(t) for t in texts]
+    assert len(set(marks)) == len(texts)
+    for t in texts:
+        assert digest.bucket_counts(t).tolist() == brute_counts(t)
+    of = dict(zip(texts, marks))
+    assert digest.likeness(of[b"abc"], of[b"xyz"]) == 0 < digest.likeness(of[b"abc"], of[b"abd"]) < 1 == digest.likeness(of[b"a"], of[b"a"])
+    assert all(0 <= digest.likeness(x, y) <= 1 for x in marks for y in marks)
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    base = "".join(rng.choices("abcdefgh ij", k=3_000_000))
+    rows = [(1, base), (2, base[:-9] + "something"), (3, base[::-1]), (4, "x" * 2_000_000)]
+    got = {r.doc_id: r for r in digest.compare_with_next(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_chars for i, _ in rows] == [len(t) for _, t in rows]
+    assert got[1].near_next > 0.95 > got[3].near_next and got[1].fingerprint == digest.digest(base.encode())

@@ -1,7 +1,10 @@
+import math
 import random
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import mil
 
@@ -63,3 +66,50 @@ def test_gradient():
         return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
 
     assert loss(mil.fit(x, sizes, y, epochs=40, decay=0)) < 0.2 < loss(mil.fit(x, sizes, y, epochs=0))
+
+
+def test_score_equals_plain_loops(monkeypatch):
+    """Attention and score of whole texts recomputed number by number, however passages are dealt to steps."""
+    rng = np.random.default_rng(3)
+    model = mil.fit(rng.normal(size=(8, mil.FEATURES)).astype(np.float32), np.array([3, 5]), np.array([0, 1], np.float32), epochs=2)
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    sig = lambda v: 1 / (1 + math.exp(-v))
+    word = random.Random(2)
+    texts = ["", None, "one short text", " ".join("".join(word.choices("abcde,.!", k=word.randint(1, 9))) for _ in range(700))]
+    want = []
+    for text in texts:
+        z, e = [], []
+        for p in mil.passages(text):
+            x = np.clip((mil.encode([p])[0] - model.mean) / model.scale, -8, 8).astype(float).tolist()
+            own = [math.tanh(w["b"][h] + sum(x[f] * w["W"][f][h] for f in range(mil.FEATURES))) for h in range(len(w["b"]))]
+            dot = lambda m, k: sum(own[h] * m[h][k] for h in range(len(own)))
+            e.append(sum(math.tanh(dot(w["V"], k)) * sig(dot(w["U"], k)) * w["a"][k] for k in range(len(w["a"]))))
+            z.append(own)
+        share = [math.exp(v) / sum(map(math.exp, e)) for v in e]
+        want.append(sig(w["d"][0] + sum(w["c"][h] * sum(s * own[h] for s, own in zip(share, z)) for h in range(len(w["c"])))))
+    assert len(mil.passages(texts[3])) == 11
+    for step in (2048, 3):
+        monkeypatch.setattr(mil, "STEP", step)
+        assert model.score(texts) == pytest.approx(want, abs=1e-5)
+
+
+def test_features_equal_plain_counts():
+    text = "Some Words, some words!! 12 |x| caf\u00e9"
+    p = text.encode()
+    x, kinds = mil.encode([p])[0], [int(mil.CLASSES[c]) for c in p]
+    single = [kinds.count(k) / (len(p) + 20) for k in range(mil.KINDS)]
+    pair = [math.sqrt(sum(a == i and b == j for a, b in zip(kinds, kinds[1:])) / (len(p) + 20)) for i in range(mil.KINDS) for j in range(mil.KINDS)]
+    assert x[mil.WORD_FEATURES :].tolist() == pytest.approx(single + pair, abs=1e-6)
+
+
+def test_bounds_of_the_sample(spark):
+    """A huge text teaches by a bounded number of passages; ids with both labels, and repeats, teach once or not at all."""
+    docs, labels = corpus(200)
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int")
+    own = next(i for i, _ in labels if zlib.crc32(str(i).encode()) % 5)
+    a = mil.train(d, lab.where(F.col("doc_id") != own))
+    b = mil.train(d.unionByName(d), lab.unionByName(spark.createDataFrame([(own, 0), (own, 1)], "doc_id long, quality int")))
+    assert all((a.weights[k] == b.weights[k]).all() for k in a.weights)
+    long = spark.createDataFrame([(own, "word " * 2_000_000)], "doc_id long, text string")
+    assert mil.train(d.where(F.col("doc_id") != own).unionByName(long), lab, max_passages=4).weights["d"].shape == (1,)
