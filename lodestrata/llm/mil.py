@@ -209,8 +209,15 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that aren't predicted to be of low quality."""
-    return score(docs, train(docs, labels), threshold).where("predicted = 1").drop("score", "predicted")
+    """The rows of ``docs``, whatever its columns, that aren't predicted to be of low quality."""
+    model, at = train(docs, labels), docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            s = np.concatenate([model.score(t) for _, t in by_bytes(b.column(at).to_pylist(), rows=128)] or [np.zeros(0)])
+            yield b.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_quality(spark, sf_dir):

@@ -39,3 +39,30 @@ def test_run_reads_what_stages_wrote(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    """Rows without an id, repeated ids, null texts and clashing columns go through all stages, each decided by its text."""
+    rng = random.Random(21)
+    prose = lambda n: " ".join("".join(rng.choices("abcdeiou", k=rng.randint(2, 8))) for _ in range(n)) + "."
+    item, texts = prose(40), [prose(60) for _ in range(60)]
+    rows = [(i, t, "en", "s", 1, 0.5) for i, t in enumerate(texts)] + [
+        (None, texts[0], "en", "s", 1, 0.5), (None, "free of an id: " + prose(50), None, None, None, None), (None, f"{prose(30)} {item} {prose(30)}", "en", "s", 1, 0.5),
+        (7, "another text under this id: " + prose(50), "en", "s", 1, 0.5), (8, texts[8], "en", "s", 1, 0.5), (None, f'{prose(40)} token = "{KEY}"', "en", None, 1, 0.5), (90, None, "en", "s", 1, 0.5), (91, "", "en", "s", 1, 0.5),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, root long, score double")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    step, counts = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, step, str(tmp_path)).write.parquet(f"{tmp_path}/{k}")
+        step = spark.read.parquet(f"{tmp_path}/{k}")
+        assert step.columns == docs.columns
+        counts.append(step.count())
+    assert counts == [68, 65, 64, 64]
+    got = step.collect()
+    assert sorted(r.text for r in got if r.doc_id == 7) == sorted([texts[7], rows[63][1]])
+    assert sum(r.text == texts[8] for r in got) == 1 and sum(not r.text for r in got) == 1
+    assert [r.text[-8:] for r in got if r.doc_id is None and "token" in r.text] == ["SECRET]\""[-8:]]
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 64
