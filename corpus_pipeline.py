@@ -2,12 +2,17 @@
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all that its predecessor kept and
 returns the columns of ``documents``; the last returns packed pieces.  ``run`` writes
-each stage's result as Parquet in the shared checkpoint folder and reads it again.
+each stage's result as Parquet in the shared checkpoint folder, reads it again, and
+removes it once the next stage is written.
+
+Stages decide by row, not by id: rows without an id, and rows of one id with different
+texts, are kept or dropped each for its own text, and of rows equal in id and text one
+stays.  Null and blank texts are one text, scored like any other.  Other columns of the
+documents go through all stages but the last; empty tables give an empty result.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,10 +63,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows over the whole ``documents`` table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    docs = common.table(spark, sf_dir, "documents")
+    folder = f"{common.shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    docs, last = common.table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{k}-{name}"
+        path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            old = spark._jvm.org.apache.hadoop.fs.Path(last)
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        last = path
     return docs
