@@ -12,17 +12,18 @@ from .. import rules
 from ..functions import text as T
 
 TODO = rf"(?iU)\b({'|'.join(rules.TODO_WORDS)})\b"
-FIXTURE = r"(^|/)tests?/"
 
 
 def numbered_lines(files: DataFrame, pattern: str, may: Callable[[Column], Column]) -> DataFrame:
     """``(rel_path, line_number, line)`` of the lines that match.
 
     ``may`` is a cheap test that every match passes; only files and lines that pass it
-    are split and matched, so most text is looked at once.
+    are split and matched, so most text is looked at once.  A row may hold a part of a
+    file: ``first_line`` then says how many lines are ahead of it.
     """
-    lines = files.where(may(F.col("content"))).select("rel_path", F.posexplode(T.lines_universal("content")).alias("pos", "line"))
-    return lines.where(may(F.col("line"))).where(F.col("line").rlike(pattern)).select("rel_path", (F.col("pos") + 1).cast("long").alias("line_number"), "line")
+    ahead = F.col("first_line") if "first_line" in files.columns else F.lit(0)
+    lines = files.where(may(F.col("content"))).select("rel_path", ahead.alias("ahead"), F.posexplode(T.lines_universal("content")).alias("pos", "line"))
+    return lines.where(may(F.col("line"))).where(F.col("line").rlike(pattern)).select("rel_path", (F.col("ahead") + F.col("pos") + 1).cast("long").alias("line_number"), "line")
 
 
 def _may_be_todo(c: Column) -> Column:
@@ -47,7 +48,7 @@ def scan_secrets(files: DataFrame) -> DataFrame:
     every = "|".join(f"(?:{p})" for _, p in rules.SECRET_RULES)
     lines = numbered_lines(files, every, _may_be_secret)
     named = F.filter(F.array(*[F.when(F.col("line").rlike(p), F.lit(n)) for n, p in rules.SECRET_RULES]), lambda x: x.isNotNull())
-    return lines.select("rel_path", "line_number", F.explode(named).alias("pattern_name"), F.col("rel_path").rlike(FIXTURE).alias("is_test_fixture"))
+    return lines.select("rel_path", "line_number", F.explode(named).alias("pattern_name"), F.col("rel_path").rlike(rules.FIXTURE).alias("is_test_fixture"))
 
 
 def scan_issues(outputs: DataFrame) -> DataFrame:
@@ -103,5 +104,13 @@ def sarif_results(todos: DataFrame, secrets: DataFrame, issues: DataFrame) -> Da
     return reduce(DataFrame.unionByName, parts)
 
 
+def sarif_order() -> list[Column]:
+    """Sort keys of a log: findings of content, markers, then tool issues, each by place and text."""
+    kind = F.when(F.col("rule_id").startswith("secret/"), 0).when(F.col("rule_id").startswith("todo/"), 1).otherwise(2)
+    return [kind, F.col("path"), F.col("line"), F.col("rule_id"), F.col("message"), F.col("level")]
+
+
 def sarif_rules(results: DataFrame) -> DataFrame:
-    return results.select("rule_id", "level").groupBy("rule_id").agg(F.min("level").alias("level"))
+    """``(rule_id, level)`` of the rules that have a result, in order of first use."""
+    first = results.groupBy("rule_id").agg(F.min(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(sarif_order())])).alias("first"))
+    return first.orderBy("first").select("rule_id", F.col("first.k5").alias("level"))

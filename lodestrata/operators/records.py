@@ -19,12 +19,26 @@ def records(files: DataFrame, hash_max_bytes: int = rules.HASH_MAX_BYTES, keep:
     """Records of ``files(rel_path, content)``, a projection without a shuffle.
 
     ``content`` is text or bytes; flags of links and modes are taken from the listing
-    where it has them.  A null content is an unreadable file: binary, no lines.
-    Columns named in ``keep`` go along.
+    where it has them.  A null content is an unreadable file: binary, no lines.  Rows of
+    a file that the listing has split are added up; only those are shuffled.  Columns
+    named in ``keep`` go along.
     """
+    if "is_split" in files.columns:
+        whole = _records(files.where("not is_split"), hash_max_bytes, keep)
+        parts = _records(files.where("is_split"), -1, (*keep, "part"))
+        sums = {"total_lines", "code_lines", "comment_lines", "blank_lines"}
+        front = F.min_by(F.struct(*[c for c in (*keep, *FIELDS) if c not in sums and c != "rel_path"]), "part").alias("_front")
+        added = parts.groupBy("rel_path").agg(front, *[F.sum(c).alias(c) for c in sorted(sums)])
+        return whole.unionByName(added.select("rel_path", "_front.*", *sorted(sums)))
+    return _records(files, hash_max_bytes, keep)
+
+
+def _records(files: DataFrame, hash_max_bytes: int, keep: tuple[str, ...]) -> DataFrame:
+    """One record a row.  A part that isn't a file's first is text: the first tells whether a file is binary."""
     flag = lambda c: F.col(c) if c in files.columns else F.lit(False)
     raw = F.col("content").cast("binary")
-    binary = F.col("content").isNull() | F.contains(F.substring(raw, 1, rules.SNIFF_BYTES), F.lit(b"\x00"))
+    sniffed = F.contains(F.substring(raw, 1, rules.SNIFF_BYTES), F.lit(b"\x00"))
+    binary = F.col("content").isNull() | ((F.col("part") == 0) & sniffed if "part" in keep else sniffed)
     link = flag("is_symlink")
     counted = ~link & ~F.col("is_binary")
     content = F.make_valid_utf8(F.col("content").cast("string")) if dict(files.dtypes)["content"] == "binary" else F.col("content")

@@ -23,14 +23,14 @@ def entries(paths: DataFrame, max_depth: int = rules.TREE_DEPTH, max_entries: in
         F.array_join("at", "/").alias("path"), F.array_join(F.slice("at", F.lit(1), F.size("at") - 1), "/").alias("parent"), F.element_at("at", -1).alias("name"), F.size("at").alias("depth"), "is_file"
     )
     order = Window.partitionBy("parent").orderBy("is_file", F.lower("name"), "name")
-    shown = nodes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_entries)
-    shown = shown.join(nodes.groupBy("parent").agg(F.count("*").alias("siblings")), "parent")
-    # An entry is shown if all directories above it are: one join a level.
-    out = shown.where("depth = 1")
-    level = out
-    for k in range(2, max_depth + 1):
-        level = shown.where(F.col("depth") == k).join(level.select(F.col("path").alias("parent")), "parent", "left_semi")
-        out = out.unionByName(level)
+    ranked = nodes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_entries)
+    shown = ranked.join(nodes.groupBy("parent").agg(F.count("*").alias("siblings")), "parent")
+    # An entry is shown if all directories above it are: as many of them rank as there are.
+    names = F.split("path", "/")
+    above = shown.where("depth > 1").select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(names) - 1), lambda k: F.array_join(F.slice(names, F.lit(1), k), "/"))).alias("up"), "depth")
+    ups = above.join(ranked.where("not is_file").select(F.col("path").alias("up")), "up", "left_semi")
+    whole = ups.groupBy("path", "depth").agg(F.count("*").alias("n")).where("n = depth - 1").select("path")
+    out = shown.where("depth = 1").unionByName(shown.where("depth > 1").join(whole, "path", "left_semi"))
     return out.select("path", "parent", "name", "depth", "is_file", "rank", "siblings")
 
 

@@ -37,9 +37,9 @@ TODO_MAX = 1000
 WARNINGS = ("warning:", "warning[", "deprecated", "unused")
 ERRORS = ("error:", "failed", "traceback", "panic", "exception")
 KNOWN_ISSUES = (
-    ("Failed to parse", "One or more source files contain syntax errors."),
-    ("ModuleNotFoundError", "A required Python dependency is missing."),
-    ("error:", "Compilation or lint errors were detected."),
+    ("Failed to parse", "A tool could not read the syntax of some file."),
+    ("ModuleNotFoundError", "Python did not find a module that is imported."),
+    ("error:", "A compiler or checker reported an error."),
 )
 
 # Content rules, from publicly documented token formats: name and pattern.
@@ -55,6 +55,9 @@ SECRET_RULES = (
 SECRET_PARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "PRIVATE KEY", "xox")
 ASSIGNMENT = r"""[:=]\s*["'][^"'\s]{16,}["']"""
 
+#: Paths whose findings are those of test fixtures.
+FIXTURE = r"(^|/)tests?/"
+
 # Fixed project markers in order of priority: file, language, kind, build tool.
 PROJECT_MARKERS = (
     ("Cargo.toml", "Rust", "binary/library", "cargo"), ("pyproject.toml", "Python", "package", "pip/poetry/uv"), ("setup.py", "Python", "package", "setuptools"),
@@ -80,5 +83,5 @@ CHUNK_BYTES = 4000
 
 def fingerprint() -> str:
     """Changes with any rule that findings in a cache depend on."""
-    parts = [*sorted(TODO_WORDS), *sorted(SECRET_NAMES), *sorted(f"{n}={p}" for n, p in SECRET_RULES)]
+    parts = [*sorted(TODO_WORDS), *sorted(SECRET_NAMES), *sorted(f"{n}={p}" for n, p in SECRET_RULES), *sorted(SECRET_PARTS), ASSIGNMENT, FIXTURE, str(TODO_CHARS)]
     return hashlib.sha256("|".join(parts).encode()).hexdigest()[:16]

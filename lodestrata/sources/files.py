@@ -1,9 +1,13 @@
 """A directory tree as a table: a Python data source for what Spark's readers don't show.
 
-Spark's file readers hide dotfiles, empty files and broken links.  This source lists
-paths on the driver, where ignored directories are pruned, and hands batches of paths to
-tasks, which look at each file and read its content there.  The tree must be on a file
-system that all executors mount at the same path.
+Spark's file readers hide dotfiles, empty files and broken links.  This source lists the
+upper directories on the driver, until there are some hundreds to go on with; each of
+those is listed, and its files read, by a task.  Ignored directories are never entered.
+The tree must be on a file system that all executors mount at the same path.
+
+A file of more than ``maxContentBytes`` gives several rows, cut behind line ends, so that
+files of any size are counted and searched; ``first_line`` is the number of lines ahead of
+a row.  Of a large binary file only the front that tells it is binary is read.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import rules
 
-SCHEMA = "rel_path string, size long, is_symlink boolean, is_broken_symlink boolean, is_executable boolean, content binary"
+SCHEMA = "rel_path string, size long, is_symlink boolean, is_broken_symlink boolean, is_executable boolean, content binary, part int, first_line long, is_split boolean"
 
 
 def ignore_pattern(line: str) -> tuple[re.Pattern, bool, bool] | None:
@@ -57,53 +61,107 @@ def ignore_pattern(line: str) -> tuple[re.Pattern, bool, bool] | None:
     return re.compile(("" if rooted else "(?:.*/)?") + out + r"\Z", re.S), negated, only_dirs
 
 
-def read_ignores(folder: str) -> list:
-    found = []
-    for name in (".gitignore", ".ignore"):
-        try:
-            with open(os.path.join(folder, name), encoding="utf-8", errors="replace") as f:
-                found += [p for p in map(ignore_pattern, f) if p]
-        except OSError:
-            pass
-    return found
-
-
-def listing(root: str, ignore_dirs: tuple[str, ...], use_ignores: bool) -> Iterator[str]:
-    """Relative paths of files and links in order; ignored directories aren't entered."""
-
-    def ignored(path: str, is_dir: bool, ignores: list) -> bool:
-        for base, patterns in reversed(ignores):  # the deepest ignore file decides, its last match first
-            rel = path[len(base) :]
-            for pattern, negated, only_dirs in reversed(patterns):
-                if (is_dir or not only_dirs) and pattern.match(rel):
-                    return not negated
-        return False
-
-    def walk(rel: str, ignores: list):
-        folder = os.path.join(root, rel)
-        if use_ignores and (own := read_ignores(folder)):
-            ignores = [*ignores, (rel, own)]
-        try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
-        except OSError:
-            return
-        for e in entries:
-            path = rel + e.name
-            is_dir = e.is_dir(follow_symlinks=False)
-            if (is_dir and e.name in ignore_dirs) or ignored(path, is_dir, ignores):
-                continue
-            if is_dir:
-                yield from walk(path + "/", ignores)
-            elif e.is_file(follow_symlinks=False) or e.is_symlink():
-                yield path
+def read_patterns(path: str) -> list:
+    try:
+        with open(path, encoding="utf-8", errors="replace") as f:
+            return [p for p in map(ignore_pattern, f) if p]
+    except OSError:
+        return []
+
 
-    yield from walk("", [])
+def read_ignores(folder: str) -> list:
+    return [p for name in (".gitignore", ".ignore") for p in read_patterns(os.path.join(folder, name))]
+
+
+def outer_ignores(root: str) -> list:
+    """Ignore rules from outside the tree, the weakest first: the user's, the repository's own list, those of parents.
+
+    Each is ``(base, lead, patterns)``: a path matches with ``base`` taken off and ``lead`` put in front.
+    """
+    home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
+    above, at, lead = [], os.path.abspath(root), ""
+    repository = (at, "") if os.path.isdir(os.path.join(at, ".git")) else None
+    while not repository and os.path.dirname(at) != at:
+        lead = f"{os.path.basename(at)}/{lead}"
+        at = os.path.dirname(at)
+        above.append((lead, read_ignores(at)))
+        if os.path.isdir(os.path.join(at, ".git")):
+            repository = at, lead
+    found = [("", "", read_patterns(os.path.join(home, "git", "ignore")))]
+    if repository:
+        found.append(("", repository[1], read_patterns(os.path.join(repository[0], ".git", "info", "exclude"))))
+    return [x for x in [*found, *(("", lead, p) for lead, p in reversed(above))] if x[2]]
+
+
+def ignored(path: str, is_dir: bool, ignores: list) -> bool:
+    for base, lead, patterns in reversed(ignores):  # the deepest ignore file decides, its last match first
+        rel = lead + path[len(base) :]
+        for pattern, negated, only_dirs in reversed(patterns):
+            if (is_dir or not only_dirs) and pattern.match(rel):
+                return not negated
+    return False
+
+
+def entries(root: str, rel: str, ignores: list, ignore_dirs: tuple[str, ...], use_ignores: bool) -> tuple[list, list[str]]:
+    """Directories to enter, with the rules that hold in them, and files and links of one directory, in order."""
+    folder = os.path.join(root, rel)
+    if use_ignores and (own := read_ignores(folder)):
+        ignores = [*ignores, (rel, "", own)]
+    dirs, files = [], []
+    try:
+        found = sorted(os.scandir(folder), key=lambda e: e.name)
+    except OSError:
+        return dirs, files
+    for e in found:
+        path, is_dir = rel + e.name, e.is_dir(follow_symlinks=False)
+        if (is_dir and e.name in ignore_dirs) or ignored(path, is_dir, ignores):
+            continue
+        if is_dir:
+            dirs.append((path + "/", ignores))
+        elif e.is_file(follow_symlinks=False) or e.is_symlink():
+            files.append(path)
+    return dirs, files
+
+
+def listing(root: str, ignore_dirs: tuple[str, ...], use_ignores: bool, start: list | None = None) -> Iterator[str]:
+    """Relative paths of files and links below ``start``, or the whole tree; ignored directories aren't entered."""
+    todo = list(reversed(start if start is not None else [("", outer_ignores(root) if use_ignores else [])]))
+    while todo:
+        dirs, files = entries(root, *todo.pop(), ignore_dirs, use_ignores)
+        yield from files
+        todo += reversed(dirs)
 
 
 class Paths(InputPartition):
-    def __init__(self, paths: list[str]):
+    """Files to read, and directories to list and read."""
+
+    def __init__(self, paths: list[str], dirs: list):
         super().__init__(0)
-        self.paths = paths
+        self.paths, self.dirs = paths, dirs
+
+
+LINE_END = re.compile(rb"\r\n|\r|\n")
+
+
+def pieces(path: str, size: int, most: int) -> Iterator[tuple[bytes, int, int]]:
+    """``(content, part, lines ahead)`` of a file, cut behind the last LF of every ``most`` bytes or so."""
+    with open(path, "rb") as f:
+        if size <= most:
+            yield f.read(), 0, 0
+            return
+        held, part, ahead = f.read(most), 0, 0
+        if b"\0" in held[: rules.SNIFF_BYTES]:
+            yield held[: rules.SNIFF_BYTES], 0, 0
+            return
+        while held:
+            more = f.read(most)
+            end = held.rfind(b"\n") + 1 if more else len(held)
+            if not end:  # a line longer than a piece
+                held += more
+                continue
+            yield held[:end], part, ahead
+            part, ahead = part + 1, ahead + len(LINE_END.findall(held, 0, end))
+            held = held[end:] + more
 
 
 class TreeReader(DataSourceReader):
@@ -112,34 +170,39 @@ class TreeReader(DataSourceReader):
         self.batch = int(options.get("batch", 500))
         self.use_ignores = options.get("ignoreFiles", "true").lower() == "true"
         self.ignore_dirs = tuple(x for x in options.get("ignoreDirs", ",".join(rules.IGNORE_DIRS)).split(",") if x)
-        self.most = int(options.get("maxContentBytes", 64 << 20))
+        self.most = int(options.get("maxContentBytes", 16 << 20))
+        self.fan = int(options.get("directories", 256))
 
     def partitions(self):
-        paths = list(listing(self.root, self.ignore_dirs, self.use_ignores))
-        return [Paths(paths[i : i + self.batch]) for i in range(0, len(paths), self.batch)] or [Paths([])]
+        dirs, files = [("", outer_ignores(self.root) if self.use_ignores else [])], []
+        while dirs and len(dirs) < self.fan:
+            level, dirs = dirs, []
+            for d in level:
+                below, own = entries(self.root, *d, self.ignore_dirs, self.use_ignores)
+                dirs += below
+                files += own
+        return [Paths(files[i : i + self.batch], []) for i in range(0, len(files), self.batch)] + [Paths([], [d]) for d in dirs] or [Paths([], [])]
 
     def read(self, partition):
-        for rel in partition.paths:
+        for rel in [*partition.paths] if not partition.dirs else listing(self.root, self.ignore_dirs, self.use_ignores, partition.dirs):
             path = os.path.join(self.root, rel)
             try:
                 s = os.lstat(path)
             except OSError:
                 continue
             if stat.S_ISLNK(s.st_mode):
-                yield rel, 0, True, not os.path.exists(path), False, None
+                yield rel, 0, True, not os.path.exists(path), False, None, 0, 0, False
                 continue
-            content = None
-            if s.st_size <= self.most:
-                try:
-                    with open(path, "rb") as f:
-                        content = f.read()
-                except OSError:
-                    pass
-            yield rel, s.st_size, False, False, bool(s.st_mode & 0o111), content
+            flags = rel, s.st_size, False, False, bool(s.st_mode & 0o111)
+            try:
+                for content, part, ahead in pieces(path, s.st_size, self.most):
+                    yield *flags, content, part, ahead, s.st_size > self.most
+            except OSError:
+                yield *flags, None, 0, 0, False
 
 
 class FileTree(DataSource):
-    """``spark.read.format("filetree")``; options ``ignoreDirs``, ``ignoreFiles``, ``batch``, ``maxContentBytes``."""
+    """``spark.read.format("filetree")``; options ``ignoreDirs``, ``ignoreFiles``, ``batch``, ``directories``, ``maxContentBytes``."""
 
     @classmethod
     def name(cls):
