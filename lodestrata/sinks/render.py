@@ -1,13 +1,17 @@
 """Reports as Markdown, JSON, text, HTML and SARIF.
 
-Every table shown has a stated limit, so what comes to the driver is bounded; findings
-without limit stay tables and are written by Spark.
+Pages to read show each table up to a stated limit.  JSON and SARIF hold every row: these
+files are written row by row as Spark hands sorted rows over, a partition at a time, so
+they are as large as they need and the driver's memory isn't.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
+import os
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +31,7 @@ ORDER = {
 
 def summary(report: Report) -> dict:
     """All that a rendered report says, as plain values."""
-    one = lambda t: (t.first() or {}).asDict() if not isinstance(t, dict) else t
-    out = {"name": report.name, "detection": one(report.detection), "stats": one(report.stats), "health": one(report.health), "git": report.git}
+    out = {"name": report.name, **_single(report)}
     for name, most in LIMITS.items():
         order = [F.desc(c[1:]) if c[0] == "-" else c for c in ORDER[name]]
         rows = getattr(report, name).orderBy(*order).limit(most + 1).collect()
@@ -37,10 +40,56 @@ def summary(report: Report) -> dict:
     return out
 
 
+def _single(report: Report) -> dict:
+    """The parts of a report that are one row, and the summary made of them."""
+    out = {k: t.first().asDict(recursive=True) for k, t in (("detection", report.detection), ("stats", report.stats), ("health", report.health))}
+    known = [r.explanation for r in report.known.where("found").collect()]  # a row a rule
+    extensions = report.extensions.orderBy(F.desc("files"), "extension").limit(8).collect()
+    d, h, git = out["detection"], out["health"], report.git
+    lines = [f"Project: {report.name}", f"Languages: {', '.join(d['languages'] or [d['primary_language']])}", f"Kind: {d['project_type']}, built with {d['build_system']}"]
+    lines += [f"Starts at: {', '.join(d['entry_points'])}"] * bool(d["entry_points"])
+    lines += [f"Extensions: {', '.join(f'{r.extension} {r.files}' for r in extensions) or 'none'}", f"Files: {out['stats']['total_files']}, lines of code: {out['stats']['code_lines']}"]
+    lines += [f"Git: {git['branch']} at {git['commit']}, dirty {git['dirty']}, ahead {git['ahead']}, behind {git['behind']}"] if git else []
+    lines += [f"Health: {h['score']} of 100, grade {h['grade']}", *(f"Known issue: {x}" for x in known)]
+    return out | {"git": git, "environment": report.environment, "known_issues": known, "summary": "\n".join(lines)}
+
+
 def to_json(data: dict) -> str:
     return json.dumps(data, indent=2, ensure_ascii=False, default=str)
 
 
+#: Tables of a JSON report by name, with their order; none has a limit.
+FULL = {
+    "todos": ("rel_path", "line_number"), "secrets": ("rel_path", "line_number", "pattern_name"), "issues": ("source", "severity", "message"), "results": ("kind", "source"),
+    "extensions": ORDER["extensions"], "directories": ORDER["directories"], "largest": ORDER["largest"], "duplicates": ORDER["duplicates"],
+    "reading": ORDER["reading"], "essential": ("rel_path",), "skipped": ("rel_path",), "excluded": ("rel_path",),
+}
+
+
+def json_lines(report: Report) -> Iterator[str]:
+    """The whole report as JSON, a line at a time."""
+    yield "{"
+    for key, value in {"name": report.name, **_single(report)}.items():
+        yield f"{json.dumps(key)}: {json.dumps(value, ensure_ascii=False, default=str)},"
+    for k, (name, keys) in enumerate(FULL.items()):
+        order = [F.desc(c[1:]) if c[0] == "-" else c for c in keys]
+        yield f"{json.dumps(name)}: ["
+        yield from _listed(json.dumps(r.asDict(recursive=True), ensure_ascii=False, default=str) for r in getattr(report, name).orderBy(*order).toLocalIterator())
+        yield "]" + "," * (k + 1 < len(FULL))
+    yield "}"
+
+
+def _listed(rows: Iterator[str]) -> Iterator[str]:
+    """Each row with a comma behind it but the last."""
+    held = None
+    for row in rows:
+        if held is not None:
+            yield held + ","
+        held = row
+    if held is not None:
+        yield held
+
+
 def _tables(data: dict):
     for name in LIMITS:
         if rows := data[name]:
@@ -76,21 +125,23 @@ def to_html(data: dict) -> str:
 
 
 def sarif(report: Report) -> DataFrame:
-    """Every finding as one SARIF result in JSON, a row each."""
-    found = findings.sarif_results(report.todos, report.secrets, report.issues)
+    """Every finding as one SARIF result in JSON, a row each, in order: content findings, markers, tool issues, by place."""
+    found = findings.sarif_results(report.todos, report.secrets, report.issues).orderBy(*findings.sarif_order())
     place = F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation"), F.struct(F.col("line").alias("startLine")).alias("region")).alias("physicalLocation"))
     return found.select(F.to_json(F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.when(F.col("path").isNotNull(), F.array(place)).alias("locations"))).alias("value"))
 
 
-def to_sarif(report: Report, most: int = 5000) -> str:
-    """A SARIF 2.1.0 log of at most ``most`` results; ``sarif`` has them all."""
+def sarif_lines(report: Report) -> Iterator[str]:
+    """A SARIF 2.1.0 log with all results, a line at a time; rules in order of first use."""
     every = findings.sarif_results(report.todos, report.secrets, report.issues)
-    rules = [{"id": r.rule_id} for r in findings.sarif_rules(every).orderBy("rule_id").collect()]  # as many as rules
-    results = [json.loads(r.value) for r in sarif(report).limit(most).collect()]
-    return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "corpus-report", "rules": rules}}, "results": results}]}, indent=2)
+    rules = [{"id": r.rule_id} for r in findings.sarif_rules(every).collect()]  # as many as rules
+    yield '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{'
+    yield f'"tool": {{"driver": {json.dumps({"name": "corpus-report", "rules": rules})}}}, "results": ['
+    yield from _listed(r.value for r in sarif(report).toLocalIterator())
+    yield "]}]}"
 
 
-RENDERERS = {"json": to_json, "md": to_markdown, "txt": to_text, "html": to_html}
+RENDERERS = {"md": to_markdown, "txt": to_text, "html": to_html}
 
 
 def embedded_sources(report: Report, files: DataFrame) -> DataFrame:
@@ -100,14 +151,28 @@ def embedded_sources(report: Report, files: DataFrame) -> DataFrame:
     return own.select("rel_path", F.concat(F.lit("### "), "rel_path", F.lit("\n\n````"), T.fence_language(T.extension("rel_path")), F.lit("\n"), text, F.lit("\n````\n")).alias("section"))
 
 
+def lines(report: Report, kind: str) -> Iterator[str]:
+    """A report of some kind, a line at a time."""
+    if kind == "sarif":
+        return sarif_lines(report)
+    return json_lines(report) if kind == "json" else iter(RENDERERS[kind](summary(report)).split("\n"))
+
+
 def write(report: Report, path: str, kind: str = "md") -> str:
-    """Render to a file beside its checksum; returns the digest."""
-    import hashlib
-
-    data = to_sarif(report) if kind == "sarif" else RENDERERS[kind](summary(report))
-    digest = hashlib.sha256(data.encode()).hexdigest()
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(data)
-    with open(f"{path}.sha256", "w", encoding="utf-8") as f:
-        f.write(f"{digest}  {path.rsplit('/', 1)[-1]}\n")
-    return digest
+    """Render to a file beside its checksum, replacing earlier ones; returns the digest.
+
+    The new report is complete before the old one goes, and the old checksum goes first.
+    """
+    digest, new = hashlib.sha256(), f"{path}.new"
+    with open(new, "wb") as f:
+        for line in lines(report, kind):
+            data = f"{line}\n".encode("utf-8", "replace")
+            digest.update(data)
+            f.write(data)
+    if os.path.exists(f"{path}.sha256"):
+        os.remove(f"{path}.sha256")
+    os.replace(new, path)
+    with open(f"{path}.sha256.new", "w", encoding="utf-8") as f:
+        f.write(f"{digest.hexdigest()}  {path.rsplit('/', 1)[-1]}\n")
+    os.replace(f"{path}.sha256.new", f"{path}.sha256")
+    return digest.hexdigest()

@@ -73,12 +73,16 @@ def read_ignores(folder: str) -> list:
     return [p for name in (".gitignore", ".ignore") for p in read_patterns(os.path.join(folder, name))]
 
 
-def outer_ignores(root: str) -> list:
+def user_ignores() -> str:
+    """Where the user's own ignore file is by convention."""
+    return os.path.join(os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config"), "git", "ignore")
+
+
+def outer_ignores(root: str, user: str = "") -> list:
     """Ignore rules from outside the tree, the weakest first: the user's, the repository's own list, those of parents.
 
     Each is ``(base, lead, patterns)``: a path matches with ``base`` taken off and ``lead`` put in front.
     """
-    home = os.environ.get("XDG_CONFIG_HOME") or os.path.expanduser("~/.config")
     above, at, lead = [], os.path.abspath(root), ""
     repository = (at, "") if os.path.isdir(os.path.join(at, ".git")) else None
     while not repository and os.path.dirname(at) != at:
@@ -87,7 +91,7 @@ def outer_ignores(root: str) -> list:
         above.append((lead, read_ignores(at)))
         if os.path.isdir(os.path.join(at, ".git")):
             repository = at, lead
-    found = [("", "", read_patterns(os.path.join(home, "git", "ignore")))]
+    found = [("", "", read_patterns(user))]
     if repository:
         found.append(("", repository[1], read_patterns(os.path.join(repository[0], ".git", "info", "exclude"))))
     return [x for x in [*found, *(("", lead, p) for lead, p in reversed(above))] if x[2]]
@@ -172,9 +176,10 @@ class TreeReader(DataSourceReader):
         self.ignore_dirs = tuple(x for x in options.get("ignoreDirs", ",".join(rules.IGNORE_DIRS)).split(",") if x)
         self.most = int(options.get("maxContentBytes", 16 << 20))
         self.fan = int(options.get("directories", 256))
+        self.user = options.get("userIgnores", "")
 
     def partitions(self):
-        dirs, files = [("", outer_ignores(self.root) if self.use_ignores else [])], []
+        dirs, files = [("", outer_ignores(self.root, self.user) if self.use_ignores else [])], []
         while dirs and len(dirs) < self.fan:
             level, dirs = dirs, []
             for d in level:
@@ -202,7 +207,7 @@ class TreeReader(DataSourceReader):
 
 
 class FileTree(DataSource):
-    """``spark.read.format("filetree")``; options ``ignoreDirs``, ``ignoreFiles``, ``batch``, ``directories``, ``maxContentBytes``."""
+    """``spark.read.format("filetree")``; options ``ignoreDirs``, ``ignoreFiles``, ``userIgnores``, ``batch``, ``directories``, ``maxContentBytes``."""
 
     @classmethod
     def name(cls):
@@ -218,4 +223,4 @@ class FileTree(DataSource):
 def read_tree(spark: SparkSession, path: str, **options) -> DataFrame:
     """Files below ``path`` with their content, ready for ``operators.records``."""
     spark.dataSource.register(FileTree)
-    return spark.read.format("filetree").options(**{k: str(v) for k, v in options.items()}).load(str(path))
+    return spark.read.format("filetree").options(**{k: str(v) for k, v in ({"userIgnores": user_ignores()} | options).items()}).load(str(path))

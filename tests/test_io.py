@@ -2,9 +2,12 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
-from lodestrata.operators import findings, records
+from lodestrata import rules
+from lodestrata.operators import findings, incremental, records, transfer
 from lodestrata.plans import report
+from lodestrata.sinks import chunks as chunk_files
 from lodestrata.sinks import render
 from lodestrata.sources import files as source
 from lodestrata.streaming import incremental as live
@@ -47,7 +50,7 @@ def test_report_never_shows_secrets(spark, folder, tmp_path_factory):
     made = report.build(tree, "demo <x>")
     data = render.summary(made)
     assert data["stats"]["total_files"] == 12 and [r["rel_path"] for r in data["secrets"]] == ["conf.toml"] and [r["rel_path"] for r in data["todos"]] == ["main.py"]
-    texts = {k: f(data) for k, f in render.RENDERERS.items()} | {"sarif": render.to_sarif(made)}
+    texts = {k: "\n".join(render.lines(made, k)) for k in (*render.RENDERERS, "json", "sarif")}
     assert not any("AKIA" in t for t in texts.values())
     assert "fix \\| this" in texts["md"] and "demo &lt;x&gt;" in texts["html"] and json.loads(texts["json"])["detection"]["primary_language"] == "Python"
     log = json.loads(texts["sarif"])["runs"][0]
@@ -74,6 +77,103 @@ def test_streamed_cache(spark, tmp_path):
     assert run() == {"a": ["BUG"], "b": [], "c": ["HACK"]}
 
 
+def test_files_of_any_size(spark, tmp_path):
+    """Whatever piece a file is read in, records and findings are those of the whole file."""
+    lines = [("# TODO part" if k % 50 == 0 else "", "word " * (k % 40), "// note")[k % 3] for k in range(900)]
+    (tmp_path / "big.log").write_bytes("\n".join(lines).encode() + b"\r\nlast\rline")
+    (tmp_path / "wide.txt").write_bytes(b"x" * 5000 + b"\n" + b"y" * 10 + b"\nBUG")
+    (tmp_path / "data.bin").write_bytes(b"ab\0" + b"\n" * 9000)
+    (tmp_path / "small.py").write_bytes(b"# FIXME\n")
+    got = []
+    for most in (1 << 20, 700, 64):
+        tree = source.read_tree(spark, tmp_path, maxContentBytes=most)
+        own = records.records(tree).drop("content_hash").orderBy("rel_path").collect()
+        got.append((own, sorted(map(tuple, findings.scan_todos(tree).collect()))))
+    assert got[0] == got[1] == got[2]
+    of = {r.rel_path: r for r in got[0][0]}
+    assert of["big.log"].total_lines == 901 and of["data.bin"].is_binary and of["data.bin"].total_lines == 0 and ("wide.txt", 3, "BUG", "BUG") in got[0][1]
+    assert b"".join(c for c, _, _ in source.pieces(str(tmp_path / "wide.txt"), 5015, 64)) == (tmp_path / "wide.txt").read_bytes()
+
+
+def test_ignore_rules_from_outside(spark, tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path / "home"))
+    put = lambda p, t: ((tmp_path / p).parent.mkdir(parents=True, exist_ok=True), (tmp_path / p).write_text(t))
+    put("home/git/ignore", "*.user\n")
+    put("repo/.git/info/exclude", "/sub/own.txt\n")
+    put("repo/.gitignore", "*.parent\nsub/deep/\n")
+    for name in ("a.user", "b.parent", "own.txt", "deep/x", "kept.txt", "d1/d2/e.parent", "d1/d2/kept.md"):
+        put(f"repo/sub/{name}", "x")
+    put("repo/sub/d1/.gitignore", "!e.parent\n")
+    for fan in (1, 256):
+        got = {r.rel_path for r in source.read_tree(spark, tmp_path / "repo/sub", directories=fan).select("rel_path").collect()}
+        assert got == {"kept.txt", "d1/.gitignore", "d1/d2/e.parent", "d1/d2/kept.md"}
+
+
+def test_full_reports_and_reuse(spark, tmp_path):
+    """JSON and SARIF hold every finding; a report with an earlier one's cache equals a fresh one."""
+    rows = [(f"f{i:03}.py", "# TODO one\n" * 5 + ("password = 'abcdefghijklmnopqrstuv'\n" if i % 40 == 0 else "")) for i in range(60)]
+    files = spark.createDataFrame(rows, "rel_path string, content string")
+    results = spark.createDataFrame([("test", "pytest", 1, False, None, "error: failed\n", 1.0)], report.RESULTS)
+    made = report.build(files, "all", results=results)
+    render.write(made, str(tmp_path / "r.json"), "json")
+    data = json.loads((tmp_path / "r.json").read_text())
+    assert len(data["todos"]) == 290 and len(data["secrets"]) == 2 and data["results"][0]["raw_output"] == "error: failed\n" and len(data["known_issues"]) == 1 and "Health" in data["summary"]
+    assert len(data["essential"]) == 58 and data["todos"] == sorted(data["todos"], key=lambda r: (r["rel_path"], r["line_number"]))
+    log = json.loads("".join(render.lines(made, "sarif")))["runs"][0]
+    assert len(log["results"]) == 293 and [r["id"] for r in log["tool"]["driver"]["rules"]] == ["secret/assigned-secret", "todo/todo", "tool/pytest"]
+    incremental.save_cache(made.cache, str(tmp_path / "cache"))
+    changed = files.withColumn("content", F.when(F.col("rel_path") == "f001.py", "# BUG now\n").otherwise(F.col("content")))
+    again = report.build(changed, "all", cache=incremental.load_cache(spark, str(tmp_path / "cache")))
+    fresh = report.build(changed, "all")
+    for name in ("todos", "secrets", "essential", "excluded"):
+        assert sorted(map(tuple, getattr(again, name).collect())) == sorted(map(tuple, getattr(fresh, name).collect()))
+    made.release()
+    assert incremental.cache_path("/x", "/a/My Project").startswith("/x/my-project-")
+
+
+def test_streamed_cache_ends_and_merges_entries(spark, tmp_path):
+    schema = "rel_path string, content string, v int"
+
+    def batch(rows, **options):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).json(f"{tmp_path}/in")
+        live.maintain_cache(stream, f"{tmp_path}/cache", f"{tmp_path}/check", version="v", **options).awaitTermination()
+        return {r.rel_path: [t.kind for t in r.todos] for r in live.latest(spark, f"{tmp_path}/cache").collect()}
+
+    assert batch([("a", "# TODO x\n", 1), ("b", "# BUG\n", 1), ("c", "HACK\n", 1), ("a", "# FIXME\n", 2)]) == {"a": ["FIXME"], "b": ["BUG"], "c": ["HACK"]}
+    assert batch([("b", "", 2), ("c", "x\0y", 2)], compact_every=2) == {"a": ["FIXME"]}
+    assert sorted(x for x in os.listdir(tmp_path / "cache") if "=" in x) == ["base=1"]
+    assert batch([("b", "TODO\n", 3)]) == {"a": ["FIXME"], "b": ["TODO"]}
+    was = rules.SECRET_RULES
+    try:
+        rules.SECRET_RULES = (*was, ("New", "new"))
+        assert live.latest(spark, f"{tmp_path}/cache").count() == 0
+    finally:
+        rules.SECRET_RULES = was
+
+
+def test_chunks_arrive_in_any_order(spark, tmp_path):
+    text = "".join(f"line {k}\n" for k in range(100))
+    texts = spark.createDataFrame([("one", text), ("two", text * 2)], "rel_path string, content string")
+    sent = [r.message for r in transfer.envelopes(transfer.split_chunks(texts, chunk_bytes=200), F.col("rel_path"), F.lit("now")).collect()]
+    spark.createDataFrame([(m,) for m in [*sent[::-1], *sent[:3], "garbage"]], "message string").repartition(3).write.json(f"{tmp_path}/in")
+    stream = spark.readStream.schema("message string").json(f"{tmp_path}/in")
+    live.arrivals(stream).writeStream.outputMode("complete").format("memory").queryName("arrived").trigger(availableNow=True).start().awaitTermination()
+    got = {r.session_id: (r.received, r.total, r.ended) for r in spark.table("arrived").collect()}
+    n = {name: sum(f"session_id={name}\n" in m for m in sent) for name in ("one", "two")}
+    assert got == {name: (k, k, True) for name, k in n.items()} and n["two"] > n["one"] > 3
+
+
+def test_chunk_folder(spark, tmp_path):
+    text = "".join(f"line {k}\n" for k in range(300)) + "no end"
+    texts = spark.createDataFrame([("one", text)], "rel_path string, content string")
+    sent = transfer.envelopes(transfer.split_chunks(texts, 50, 300), F.lit("s"), F.lit("now"))
+    assert chunk_files.write(sent, str(tmp_path / "out")) == sent.count()
+    back = chunk_files.read(spark, str(tmp_path / "out"))
+    assert sorted(r.message for r in back.collect()) == sorted(r.message for r in sent.collect())
+    assert [r.content for r in transfer.verify(transfer.parse_chunks(back).withColumn("all", F.lit(1)), "all").collect()] == [text]
+
+
 def test_issue_table_of_tool_runs(spark):
     out = spark.createDataFrame([("ruff", "a\nwarning: unused\n\nerror: failed")], "source string, raw_output string")
     assert sorted(map(tuple, findings.scan_issues(out).collect())) == [("ruff", "error", "error: failed"), ("ruff", "warning", "warning: unused")]

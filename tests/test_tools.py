@@ -23,3 +23,14 @@ def test_git_and_environment(spark, tmp_path):
     got = tools.git_snapshot(str(tmp_path))
     assert got["dirty"] and got["untracked"] == 1 and got["subject"] == "first" and got["behind"] == 0
     assert tools.environment(spark, str(tmp_path)).first().cpus > 0
+
+
+def test_analyzers_and_doctor(spark, tmp_path):
+    (tmp_path / "package.json").write_text('{"scripts": {"test": "jest"}}')
+    own = tools.matching(["Node.js", "Android/Kotlin", "Lua"], str(tmp_path))
+    assert set(own) == {"Node.js", "Lua"} and own["Node.js"]["test"] == ["npm test"] and own["Node.js"]["quality"] == [] and own["Node.js"]["security"]
+    assert tools.package_scripts(str(tmp_path / "none.json")) == {} and set(tools.analyzers()) >= set(tools.COMMANDS)
+    checks = tools.doctor(spark, str(tmp_path), ["Lua"])
+    rows = {r.tool: r for r in checks.collect()}
+    assert rows["java"].is_required and not rows["java"].is_missing and rows[str(tmp_path)].path and "busted" in rows
+    assert tools.missing_tools(checks) == sum(r.is_missing for r in rows.values())
