@@ -71,3 +71,9 @@ def test_held_out_accuracy_and_odd_texts(spark):
 def test_nothing_to_learn(spark, rows):
     docs = spark.createDataFrame(rows, SCHEMA)
     assert [(r.lang_pred, r.score) for r in ppm.identify(docs, ppm.learn(docs)).collect()] == [("und", 0.0)] * len(rows)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame(corpus() + [(5000, "the and tion ing " * 150_000, "bb", 1)], SCHEMA)
+    got = {r.doc_id: r.lang_pred for r in ppm.identify(docs, ppm.learn(docs.where("doc_id < 5000"))).collect()}
+    assert got[5000] == "bb"
