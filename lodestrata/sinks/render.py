@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import findings
+from ..operators.tools import environment_text
 from ..plans.report import Report
 
 # Fixed limits of what a report shows.
 LIMITS = {"extensions": 10, "directories": 15, "largest": 15, "duplicates": 20, "todos": 100, "issues": 500, "reading": 40, "excluded": 50, "secrets": 100}
+LIMIT_RESULTS = 100
 #: Sort keys, descending behind a minus sign.
 ORDER = {
     "extensions": ("-files", "extension"), "directories": ("-size", "directory"), "largest": ("-size", "rel_path"), "duplicates": ("-wasted", "digest"),
@@ -32,6 +34,8 @@ ORDER = {
 def summary(report: Report) -> dict:
     """All that a rendered report says, as plain values."""
     out = {"name": report.name, **_single(report)}
+    shown = ["kind", "source", T.badge().alias("outcome"), F.round("duration_seconds", 1).alias("seconds"), T.tail("raw_output", 20).alias("output")]
+    out["results"] = [r.asDict() for r in report.results.select(*shown).orderBy("kind", "source").limit(LIMIT_RESULTS).collect()]
     for name, most in LIMITS.items():
         order = [F.desc(c[1:]) if c[0] == "-" else c for c in ORDER[name]]
         rows = getattr(report, name).orderBy(*order).limit(most + 1).collect()
@@ -100,6 +104,11 @@ def to_markdown(data: dict) -> str:
     cell = lambda x: x.replace("|", "\\|").replace("\n", " ")
     d, h = data["detection"], data["health"]
     out = [f"# {data['name']}", "", f"{d['primary_language']}, {d['project_type']}, built with {d['build_system']}.", "", f"Health: {h['score']} ({h['grade']})", ""]
+    out += ["```", data["summary"], "```", ""]
+    if data["environment"]:
+        out += ["| machine | |", "|-|-|", *[f"| {k} | {cell(v)} |" for k, v in environment_text(data["environment"]).items()], ""]
+    for r in data["results"]:
+        out += [f"### {r['kind']}: `{r['source']}` {r['outcome']}", "", *(["````", r["output"], "````", ""] if r["output"] else [])]
     out += ["| counter | value |", "|-|-|", *[f"| {k} | {v} |" for k, v in data["stats"].items()], ""]
     for name, head, rows, more in _tables(data):
         out += [f"## {name.capitalize()}", "", f"| {' | '.join(head)} |", f"|{'-|' * len(head)}", *[f"| {' | '.join(map(cell, r))} |" for r in rows], *(["", "More are not shown."] if more else []), ""]
