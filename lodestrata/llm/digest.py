@@ -32,6 +32,7 @@ BLOCK = 1 << 18
 WINDOW = 5
 #: A bucket whose quartiles differ by 1, 2 or 3 adds so much to the difference.
 STEP = np.array([0, 1, 3, 6])
+SHIFTS = np.array([0, 2, 4, 6], np.uint8)
 #: The difference at which likeness is 0: what independent digests reach on average.
 WORST = BUCKETS * float(np.mean([STEP[abs(a - b)] for a in range(4) for b in range(4)]))
 
@@ -71,25 +72,28 @@ def digest(data: bytes) -> str:
     return bytes([length, ratios[0] << 4 | ratios[1]]).hex() + packed.tobytes().hex()
 
 
-def _codes(a: str) -> tuple[np.ndarray, np.ndarray]:
+def _codes(a: str) -> tuple[bytes, np.ndarray]:
     """Length and ratios, and the code of each bucket."""
-    x = np.frombuffer(bytes.fromhex(a), np.uint8)
-    return x[:2].astype(int), np.stack([x[2:] >> s & 3 for s in (0, 2, 4, 6)]).astype(int)
+    raw = bytes.fromhex(a)
+    return raw, (np.frombuffer(raw, np.uint8)[2:, None] >> SHIFTS & 3).view(np.int8)
+
+
+def _difference(x: bytes, p: np.ndarray, y: bytes, q: np.ndarray) -> int:
+    d = int(STEP[np.abs(p - q)].sum()) + max(0, abs(x[0] - y[0]) - 2)
+    return d + abs((x[1] >> 4) - (y[1] >> 4)) + abs((x[1] & 15) - (y[1] & 15))
 
 
 def difference(a: str, b: str) -> int:
     """Bucket steps, plus what length and ratios differ by beyond small change."""
-    (x, p), (y, q) = _codes(a), _codes(b)
-    d = int(STEP[np.abs(p - q)].sum()) + max(0, abs(int(x[0] - y[0])) - 2)
-    return d + sum(abs(int((x[1] >> s & 15) - (y[1] >> s & 15))) for s in (0, 4))
+    return _difference(*_codes(a), *_codes(b))
 
 
 def likeness(a: str, b: str) -> float:
     """1 for equal digests, 0 from the bound on."""
     if a == b:
         return 1.0
-    apart = sum(int(STEP[_codes(x)[1]].sum()) for x in (a, b))
-    return max(0.0, 1.0 - difference(a, b) / min(WORST, max(1, apart)))
+    (x, p), (y, q) = _codes(a), _codes(b)
+    return max(0.0, 1.0 - _difference(x, p, y, q) / min(WORST, max(1, int(STEP[p].sum() + STEP[q].sum()))))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
