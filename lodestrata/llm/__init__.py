@@ -8,9 +8,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import chat, digest, loss, mil, packing, ppm, qgram, secrets, simhash, warc
+    from . import alignment, chat, digest, loss, mil, packing, pii, ppm, qgram, secrets, simhash, spelling, warc
 
-    return [ppm, loss, qgram, mil, secrets, simhash, chat, packing, warc, digest]
+    return [ppm, loss, qgram, mil, secrets, simhash, chat, packing, warc, digest, alignment, pii, spelling]
 
 
 def queries():

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -80,19 +80,22 @@ def checked(small: DataFrame, row_bytes: int = 16, most: int = BROADCAST_BYTES)
     return F.broadcast(small) if small.count() * row_bytes < most else small
 
 
-def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", row_bytes: int = 32, most: int = BROADCAST_BYTES, part: int = 50_000) -> DataFrame:
+def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", row_bytes: int = 32, most: int = BROADCAST_BYTES, part: int = 50_000, counted: DataFrame | None = None) -> DataFrame:
     """``many`` joined to ``one``, which has one row for each key; a key may hold most rows of ``many``.
 
     Below ``most`` bytes ``one`` is broadcast and nothing is shuffled.  Beyond that, keys
     with more than ``part`` rows (or a hundred-thousandth of all, so that they are few)
-    are dealt over several tasks, and their row of ``one`` goes to each of these.
+    are dealt over several tasks, and their row of ``one`` goes to each of these.  Where
+    the caller knows how many rows of ``many`` a key has, ``counted(*keys, _n)`` says so
+    and ``many`` is read once.
     """
     one = cut(one)
     if one.count() * row_bytes < most:
         return many.join(F.broadcast(one), keys, how)
-    many = cut(many)
-    counted = many.groupBy(*keys).agg(F.count("*").alias("_n"))
-    limit = max(part, many.count() // 100_000)
+    if counted is None:
+        many = cut(many)
+        counted = many.groupBy(*keys).agg(F.count("*").alias("_n"))
+    limit = max(part, (counted.agg(F.sum("_n")).first()[0] or 0) // 100_000)
     heavy = cut(counted.where(F.col("_n") > limit).select(*[F.col(k).alias(f"_{k}") for k in keys], F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
     same = lambda side: [side[k].eqNullSafe(heavy[f"_{k}"]) for k in keys]
     names = [f"_{k}" for k in keys]
@@ -162,3 +165,23 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], size: str) ->
         add = lambda c: F.when(F.col("_first"), F.coalesce(c, F.lit(0))).otherwise(0)
         out = out.join(F.broadcast(more), "_task", "left").withColumns({"nth": F.col("nth") + add(F.col("_n")), "before": F.col("before") + add(F.col("_total"))})
     return out.select(*names, "nth", "before")
+
+
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` evaluated once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def sums_ahead(lengths: Column, block: int = 128) -> Column:
+    """For each element the sum of those ahead of it.  A fold copies what it has made so far, so it runs by blocks."""
+    none = F.array().cast("array<long>")
+    blocks = lambda x: F.sequence(F.lit(0), F.ceil(F.size(x) / block).cast("int") - 1)
+    part = lambda x, b: F.slice(x, b * block + 1, F.lit(block))
+
+    def running(x, start):
+        step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["done"], F.array(s["at"])).alias("done"))
+        return F.aggregate(x, F.struct(start.alias("at"), none.alias("done")), step, lambda s: s["done"])
+
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
+    sums = lambda x: F.transform(blocks(x), lambda b: total(part(x, b)))
+    return let(lengths, lambda x: let(running(sums(x), F.lit(0).cast("long")), lambda base: F.flatten(F.transform(blocks(x), lambda b: running(part(x, b), F.get(base, b))))))

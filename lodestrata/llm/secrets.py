@@ -32,7 +32,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, let, sums_ahead, table
 from .packing import vocabulary
 
 LEAST, LEAST_QUOTED = 16, 8
@@ -118,31 +118,11 @@ def features(found: DataFrame) -> dict[str, Column]:
     return {k: x.cast("double") for k, x in made.items()}
 
 
-def _let(value: Column, f) -> Column:
-    """``f(value)`` with ``value`` evaluated once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
-
-
 def _split(text: Column) -> tuple[Column, Column]:
     """The candidates of a text in order, and what is before, between and behind them."""
     return F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), F.split(text, CANDIDATE, -1)
 
 
-def _ahead(lengths: Column, block: int = 128) -> Column:
-    """For each element the sum of those ahead of it.  A fold copies what it has made so far, so it runs by blocks."""
-    none = F.array().cast("array<long>")
-    blocks = lambda x: F.sequence(F.lit(0), F.ceil(F.size(x) / block).cast("int") - 1)
-    part = lambda x, b: F.slice(x, b * block + 1, F.lit(block))
-
-    def running(x, start):
-        step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["done"], F.array(s["at"])).alias("done"))
-        return F.aggregate(x, F.struct(start.alias("at"), none.alias("done")), step, lambda s: s["done"])
-
-    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
-    sums = lambda x: F.transform(blocks(x), lambda b: total(part(x, b)))
-    return _let(lengths, lambda x: _let(running(sums(x), F.lit(0).cast("long")), lambda base: F.flatten(F.transform(blocks(x), lambda b: running(part(x, b), F.get(base, b))))))
-
-
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str = "source") -> DataFrame:
     """``(doc_id, text_key, path, k, candidate, before, after, start)``: one row for each place of a candidate.
 
@@ -169,7 +149,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         )
 
     lengths = F.zip_with(F.slice(g, F.lit(1), n), m, lambda x, y: length(x) + length(y))
-    places = _let(_ahead(lengths), lambda ahead: F.transform(F.sequence(F.lit(0), n - 1), lambda k: place(k, ahead)))
+    places = let(sums_ahead(lengths), lambda ahead: F.transform(F.sequence(F.lit(0), n - 1), lambda k: place(k, ahead)))
     return cut_up.select("doc_id", "text_key", "path", F.inline(places))
 
 
@@ -288,7 +268,7 @@ def redact(docs: DataFrame, model, threshold: float = 0.5, mark: str = "[SECRET]
         F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_key")) & F.col(path_col).cast("string").eqNullSafe(F.col("_path")), "left",
     )
     m, g = _split(F.col("text"))
-    rebuilt = _let(F.struct(m.alias("m"), g.alias("g")), lambda x: F.concat(
+    rebuilt = let(F.struct(m.alias("m"), g.alias("g")), lambda x: F.concat(
         F.array_join(F.transform("_flags", lambda secret, k: F.concat(F.get(x["g"], k), F.when(secret, F.lit(mark)).otherwise(F.get(x["m"], k)))), ""), F.element_at(x["g"], -1),
     ))
     clean = F.when(F.col("_flags").isNull(), F.col("text")).otherwise(rebuilt)
