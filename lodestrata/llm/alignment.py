@@ -140,7 +140,8 @@ def aligned(a_ids: list[np.ndarray], b_ids: list[np.ndarray], one: Side, two: Si
     n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (a_ids, b_ids))
     a, b = np.concatenate(a_ids), np.concatenate(b_ids)
     ends_a, ends_b = np.cumsum(one.lengths[a]), np.cumsum(two.lengths[b])
-    cuts = np.intersect1d(ends_a, ends_b)
+    # Every token has a byte at least, so a side's ends are all different.
+    cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
     group_a, group_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
     in_a, in_b = (np.bincount(g, minlength=len(cuts)) for g in (group_a, group_b))
     upto_a, upto_b = np.cumsum(in_a), np.cumsum(in_b)
