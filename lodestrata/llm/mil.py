@@ -4,9 +4,10 @@ A document is a bag of passages.  Each passage is encoded from counts over its b
 and words; gated attention (tanh times sigmoid) weighs the encodings, and a logistic
 unit scores their weighted sum.  All weights are learned together from document labels.
 
-Fitting uses a bounded sample of labelled rows: ``max_train`` documents, chosen by a hash
-of the id, and of each at most ``max_passages`` passages, evenly spread.  Spark tasks make
-their features, and the driver gets at most the product of both, ``FEATURES`` floats each.
+Fitting uses a bounded sample of labelled rows: at most ``max_train`` documents, chosen by
+a hash of the id, that together have at most ``max_passages`` passages; all passages of
+these are encoded.  Spark tasks make their features, and the driver gets at most
+``max_passages`` times ``FEATURES`` floats.
 Scoring is one scan of whole texts without a shuffle: all passages of a text are encoded,
 ``STEP`` of them at a time, and what is kept of each until its text is pooled is one
 encoding of a few numbers.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, held_out, small_batches, table, utf8
+from .common import by_bytes, cut, held_out, small_batches, table, utf8
 
 WORDS = 64  # words in a passage
 KINDS = 16  # byte classes, below
@@ -152,9 +153,12 @@ def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000, max_passages: int = 32, **options) -> Model:
-    """Fit on at most ``max_train`` labelled ids that aren't held out, ``max_passages`` passages of each.
+def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000, max_passages: int = 128_000, **options) -> Model:
+    """Fit on all passages of at most ``max_train`` labelled ids that aren't held out.
 
+    Ids are taken in the order of a hash; one whose text has more passages than
+    ``max_passages`` leaves after those before it teaches nothing, so fewer rows teach
+    where texts are long, and each of these is read whole.
     ``docs(doc_id, text)``, ``labels(doc_id, quality)``; rows without an id or a label,
     and ids whose labels contradict each other, teach nothing; of rows that repeat an id
     the least text teaches.  With fewer than two labels to learn from, the model scores
@@ -166,20 +170,28 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000, max_passage
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     )
 
+    def counts(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(passages(t)) for t in b.column(1).to_pylist()], pa.int64())], ["doc_id", "n"])
+
     def run(batches):
         for b in batches:
             for at, texts in by_bytes(b.column(2).to_pylist()):
-                each = []
-                for t in texts:
-                    own = passages(t)
-                    each.append([own[i * len(own) // max_passages] for i in range(max_passages)] if len(own) > max_passages else own)
-                x = encode([p for ps in each for p in ps])
+                each = [passages(t) for t in texts]
+                flat = [p for ps in each for p in ps]
+                x = np.concatenate([encode(flat[i : i + STEP]) for i in range(0, len(flat), STEP)])
                 rows = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(ps) for ps in each]) * FEATURES].astype(np.int32)), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), b.column(1).slice(at, len(texts)), rows], ["doc_id", "quality", "x"])
 
     # At most max_train ids: a proven bound for the broadcast.
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    got = sample.mapInArrow(run, "doc_id long, quality int, x array<float>").toArrow().sort_by("doc_id")
+    sample = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id").groupBy("doc_id", "quality").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    left, taken = max_passages, []
+    for r in sample.select("doc_id", "text").mapInArrow(counts, "doc_id long, n long").orderBy(F.xxhash64("doc_id"), "doc_id").collect():  # at most max_train rows
+        if r.n <= left:
+            left -= r.n
+            taken.append((r.doc_id,))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long"))
+    got = sample.join(chosen, "doc_id", "left_semi").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x array<float>").toArrow().sort_by("doc_id")
     y = got["quality"].to_numpy().astype(np.float32)
     if len(set(y.tolist())) < 2:
         sure = np.array([-30.0 if len(y) and y[0] == 0 else 30.0], np.float32)

@@ -105,43 +105,59 @@ class Index:
         return (key * MIX) >> np.uint64(43)
 
 
-def _columns(item: str, text: str, anchored: bool):
-    """The fewest edits from the whole item to a stretch of ``text`` that ends behind each of its characters.
-
-    One addition and some logic on words of ``len(item)`` bits a character.  The stretch
-    starts anywhere, or at the text's front if ``anchored``.
+def banded(item: str, text: str, lo: int, hi: int, anchored: bool):
+    """``(end, edits)``: the fewest edits from the whole item to a stretch of ``text`` that ends at ``end``.
+
+    Only alignments count that stay in a band: behind ``i`` characters of the item and
+    ``j`` of the text, ``lo <= j - i <= hi``.  The stretch starts anywhere, or at the
+    text's front if ``anchored``.  A column of the band is ``hi - lo + 1`` bits that move
+    down a row with each character, so a step is an addition and some logic on the band
+    alone.  Rows above the item's first cost nothing, or what lies ahead in the text if
+    ``anchored``.
     """
-    m = len(item)
+    m, top = len(item), hi - lo
+    mask = (2 << top) - 1
     at: dict[str, int] = {}
     for i, c in enumerate(item):
         at[c] = at.get(c, 0) | 1 << i
-    full, top, up, down, score = (1 << m) - 1, m - 1, (1 << m) - 1, 0, m
-    for c in text:
-        eq = at.get(c, 0)
-        xv = eq | down
-        xh = (((eq & up) + up) ^ up) | eq
-        ph = down | ~(xh | up) & full
-        mh = up & xh
-        score += (ph >> top & 1) - (mh >> top & 1)
-        ph = ph << 1 | anchored
-        up = (mh << 1 | ~(xv | ph)) & full
-        down = ph & xv & full
-        yield score
-
-
-def align(item: str, text: str, k: int) -> tuple[int, int, int] | None:
-    """``(edits, start, end)`` of the stretch of ``text`` nearest to the item; none within ``k`` edits."""
+    begin = max(lo, 0)
+    above = (1 << max(0, hi - begin)) - 1 & mask
+    up, down = mask & ~above, above if anchored else 0
+    score = begin - lo  # of the band's lowest row
+    for j in range(begin + 1, len(text) + 1):
+        first = j - hi  # the row of bit 0
+        own = at.get(text[j - 1], 0)
+        eq = (own >> first - 1 if first >= 1 else own << 1 - first | (1 << 1 - first) - 1) & mask
+        zero = ((eq & up) + up ^ up | eq | down) & mask
+        more, less = down | ~(zero | up) & mask, zero & up
+        if j - lo <= m:
+            score += 1 - (zero >> top & 1)
+        elif m < first:
+            return
+        else:
+            score += (more >> m - first & 1) - (less >> m - first & 1)
+        if j - lo >= m:
+            yield j, score
+        up, down = (less | ~(zero >> 1 | more)) & mask, more & zero >> 1
+
+
+def align(item: str, text: str, k: int, lo: int | None = None, hi: int | None = None) -> tuple[int, int, int] | None:
+    """``(edits, start, end)`` of the stretch of ``text`` nearest to the item; none within ``k`` edits.
+
+    Only diagonals from ``lo`` to ``hi`` are tried, all that ``text`` has unless given.
+    """
     exact = text.find(item)
     if exact >= 0:
         return 0, exact, exact + len(item)
+    lo, hi = -k if lo is None else max(lo, -k), max(0, len(text) - len(item)) + k if hi is None else hi
     best, end = k + 1, 0
-    for j, edits in enumerate(_columns(item, text, False), 1):
+    for j, edits in banded(item, text, lo, hi, False):
         if edits < best:
             best, end = edits, j
     if best > k:
         return None
     back = text[max(0, end - len(item) - best) : end][::-1]
-    size = next(j for j, edits in enumerate(_columns(item[::-1], back, True), 1) if edits == best)
+    size = next(j for j, edits in banded(item[::-1], back, -best, best, True) if edits == best)
     return best, end - size, end
 
 
@@ -205,7 +221,8 @@ def search(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int
         if last and last[:2] == (text, item) and last[4] == 0 and low - k <= last[3] - m <= low + 3 * k + 1:
             continue  # the same stretch again, which can't be nearer
         a, b = max(0, low - k), max(0, low + 2 * k + 1 + m + k)
-        if hit := align(index.items[item][1], texts[text][a:b], k):
+        # A path of k edits that meets the band [low, low + 2 (k + 1)) leaves it by no more than k.
+        if hit := align(index.items[item][1], texts[text][a:b], k, low - k - a, low + 3 * k + 1 - a):
             last = text, item, a + hit[1], a + hit[2], hit[0]
             found.append(last)
     return found
@@ -258,8 +275,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, max_i
     Offsets count characters of the normalised text.  Items whose normal form is empty,
     and null texts, match nothing; an item shorter than a q-gram matches as whole words.
     Items short enough for the lemma to be void get the largest budget for which it isn't.
-    Texts of any length are searched whole, in overlapping windows; a very long item costs
-    a 64th of its length squared an alignment.  Repeated documents or items give repeated
+    Texts of any length are searched whole, in overlapping windows; an alignment
+    costs an item's length times the width of its band.  Repeated documents or items give repeated
     rows, null ids stay, other columns are ignored, and an empty table on either side gives
     no rows.
     """

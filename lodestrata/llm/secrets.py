@@ -1,10 +1,12 @@
 """Secret scans: candidates from a pattern, false positives removed by a random forest.
 
-Candidates are unbroken strings of at least sixteen key-like characters, and quoted
-values of at least eight that something is set to.  A forest tells keys and passwords
-from identifiers, words, checksums and placeholders by a candidate's length, the
-transitions between its characters, how much of it dictionary words cover, its path and
-the words next to it.  It is trained from labelled findings; ``default_findings`` makes
+Candidates are unbroken strings of at least sixteen key-like characters, quoted values
+and unquoted values of a secret's name of at least six, passwords within addresses,
+signed tokens of three parts and the bodies of private keys, each as one candidate; a
+name that something is set to isn't one.  A forest tells keys and passwords from
+identifiers, words, checksums and placeholders by a candidate's length, the transitions
+between its characters, how much of it dictionary words cover, its path, the words next
+to it and the name it is set to.  It is trained from labelled findings; ``default_findings`` makes
 some from public formats of keys and of what is mistaken for them.  The dictionary, and
 which transitions are common in words, come from an installed public vocabulary file.
 
@@ -35,11 +37,20 @@ from pyspark.sql import functions as F
 from .common import cut, let, sums_ahead, table
 from .packing import vocabulary
 
-LEAST, LEAST_QUOTED = 16, 8
+LEAST, LEAST_VALUE = 16, 6
 BEFORE, AFTER = 72, 36  # characters of context
 NEAR = 8  # so many candidates with what is between them are longer than the context
 CHARS = r"A-Za-z0-9+/_\-"
-CANDIDATE = rf"""(?<![{CHARS}])[{CHARS}]{{{LEAST},}}+={{0,2}}|(?<=[=:]["']|[=:] ["'])[^\s"']{{{LEAST_QUOTED},}}+(?=["'])"""
+VALUE_OF = r"(?i:token|secret|passwd|password|passphrase|pwd|apikey|api_key|api-key|access_key|auth|credentials?)"
+CANDIDATE = "|".join([
+    r"(?<=PRIVATE KEY-----)[A-Za-z0-9+/= \t\r\n]{16,}+(?=-----END)",
+    rf"(?<![{CHARS}.])eyJ[A-Za-z0-9_\-]{{6,}}+\.[A-Za-z0-9_\-]{{6,}}+\.[A-Za-z0-9_\-]{{6,}}+",
+    rf"""(?<=:)(?<=://[^ \t-\r:/@"']{{0,64}}:)[^ \t-\r:/@"']{{{LEAST_VALUE},}}+(?=@)""",
+    # A run that isn't itself a name set to something; = behind it only as padding.
+    rf"""(?<![{CHARS}])[{CHARS}]{{{LEAST},}}+(?:={{1,2}}(?![A-Za-z0-9+/_$"'{{<]))?+(?!["']?[ \t]{{0,2}}[=:])""",
+    rf"""(?<=[=:]["']|[=:] ["'])[^ \t-\r"']{{{LEAST_VALUE},}}+(?=["'])""",
+    rf"""(?<=[=: ])(?<={VALUE_OF}["']?[ ]?[=:][ ]?)[^ \t-\r"'`<>,;(){{}}\[\]=:]{{{LEAST_VALUE},}}+(?![^ \t-\r"'`<>,;)}}\]])""",
+])
 
 
 @cache
@@ -84,6 +95,9 @@ def transitions(words: tuple[str, ...]) -> tuple[str, str]:
 NAMES = r"(?i)(token|secret|passw(or)?d|pwd|apikey|key|auth|bearer|credentials?|access|api)s?([_-]?(key|token|id))?[\s\"'=:]{0,8}$"
 HASHES = r"(?i)(sha|sha-?1|sha-?256|sha-?512|md5|commit|checksum|digest|integrity|etag|rev|revision|hash|uuid|guid|blob|version)[\s\"'=:]{0,8}$"
 EXAMPLES = r"(?i)(example|sample|dummy|fake|placeholder|redacted|changeme|your)"
+#: The name that a candidate is set to says that it is none.
+EXAMPLE_NAME = r"(?i)(example|sample|dummy|fake|placeholder|redacted)[A-Za-z0-9_-]{0,24}[\s\"'=:]{1,8}$"
+ADDRESS = r"://[^\s:/@\"']{0,64}:$"
 TESTS = r"(?i)(^|[/_.-])(tests?|fixtures?|examples?|samples?|mocks?)([/_.-]|$)"
 
 
@@ -111,7 +125,11 @@ def features(found: DataFrame) -> dict[str, Column]:
         "uuid": low.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"),
         "near_key": F.col("before").rlike(NAMES),
         "near_hash": F.col("before").rlike(HASHES),
-        "near_example": F.concat("before", "candidate", "after").rlike(EXAMPLES),
+        "example": c.rlike(EXAMPLES) | F.col("before").rlike(EXAMPLE_NAME),
+        "private_key": F.col("before").endswith("PRIVATE KEY-----"),
+        "signed": c.rlike(r"^eyJ[^.]*\.[^.]*\."),
+        "address": F.col("before").rlike(ADDRESS),
+        "name": c.rlike("^[A-Z]+(_[A-Z]+)+=?$|^[a-z]+(_[a-z]+)+=?$"),
         "assigned": F.col("before").rlike(r"[=:]\s*[\"']?$"),
         "path_test": F.coalesce("path", F.lit("")).rlike(TESTS),
     }
@@ -206,12 +224,29 @@ def default_findings(spark: SparkSession, n: int = 6000, seed: int = 7) -> DataF
         lambda: prose() + " " + rng.choice("-_=+/") * rng.randint(16, 60),
         lambda: rng.choice(plain) + rng.choice(quoted).format(rng.choice([word, lambda: f"{word()}-{word()}", lambda: invented(rng.randint(8, 20)), lambda: f"{word()}.{word()}/{word()}"])()),
         lambda: rng.choice(names) + rng.choice(quoted).format(rng.choice([f"{word()}_{word()}_{word()}", f"${{{word()}}}", f"<your-{word()}>", "changeme123", "xxxxxxxxxx", "**********"])),
-        lambda: rng.choice(["an example ", "a sample ", "fake "]) + named(rng.choice(keys)()),
+        lambda: rng.choice(["example_", "sample_", "dummy-", "fake_"]) + named(rng.choice(keys)()),
+        lambda: prose() + " " + rng.choice(["_".join(word().upper() for _ in range(rng.randint(3, 5))), "AWS_SECRET_ACCESS_KEY", "GITHUB_ACCESS_TOKEN_NAME"]) + rng.choice(["=", "= ", "", " is", "\n"]),
+        lambda: rng.choice(names[:6]) + rng.choice([": ", "=", " = "]) + rng.choice([word, lambda: f"{word()}_{word()}", lambda: f"{word()}.{word()}", lambda: "required", lambda: "undefined"])(),
+        lambda: f"{rng.choice(['http', 'https', 'redis'])}://{word()}:{rng.choice(['password', 'your-password', 'example1', 'changeme', 'xxxxxxxx'])}@{word()}.example.com",
     ]
     paths = ["src/app/config.py", "deploy/values.yaml", "README.md", "lib/client.js", "src3", "docs/setup.md", "tests/fixtures/data.json", None]
+    part = lambda k: base64.urlsafe_b64encode(rng.randbytes(k)).decode().rstrip("=")
+    signed = lambda: f"eyJ{part(rng.randint(12, 30))}.eyJ{part(rng.randint(20, 90))}.{part(rng.choice([32, 48, 64]))}"
+
+    def pem() -> str:
+        body = b64(rng.choice([96, 192, 384, 600]))
+        return f"-----BEGIN {rng.choice(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----\n" + "\n".join(body[k : k + 64] for k in range(0, len(body), 64)) + "\n-----END"
+
+    whole = [
+        pem, lambda: rng.choice(["Bearer ", "token: ", "jwt = ", "Authorization: Bearer ", ""]) + signed(),
+        lambda: f"{rng.choice(['postgres', 'mysql', 'amqp', 'https', 'mongodb'])}://{word()}:{rng.choice(passwords)()}@{rng.choice(['db', word()])}".replace("&", "").replace("?", ""),
+        lambda: rng.choice(names[:6]) + rng.choice([": ", "=", " = "]) + rng.choice([lambda: take(alnum, rng.randint(8, 15)), lambda: f"{word()}{take(hexes[:10], 2)}{word()}{take(hexes[:10], rng.randint(1, 3))}", lambda: word() + take(hexes[:10], rng.randint(2, 5))])(),
+    ]
     rows = []
     for i in range(n):
-        if i % 4 == 1:
+        if i % 8 == 3:
+            rows.append((f"{prose()} {rng.choice(whole)()} {prose()}", rng.choice(paths[:6]), 1))
+        elif i % 4 == 1:
             rows.append((f"{prose()} {rng.choice(names[:6])}{rng.choice(quoted).format(rng.choice(passwords)())} {prose()}", rng.choice(paths[:6]), 1))
         elif i % 2:
             rows.append((f"{prose()} {named(rng.choice(keys)())} {prose()}", rng.choice(paths[:6]), 1))
@@ -253,7 +288,8 @@ def redact(docs: DataFrame, model, threshold: float = 0.5, mark: str = "[SECRET]
 
     A text's judgements, one for each of its candidates in order, go to all tasks only if
     together they have fewer than ``broadcast_bytes``; otherwise the two sides are joined
-    by a shuffle.  Rows are told apart by id, text and path.
+    by a shuffle.  Rows are told apart by id, text and path.  Columns of any name go
+    through unchanged.
     """
     key = ["doc_id", "text_key", "path"]
     secret = (F.col("score") >= threshold).alias("secret")
@@ -263,16 +299,19 @@ def redact(docs: DataFrame, model, threshold: float = 0.5, mark: str = "[SECRET]
         .select(*[F.col(k).alias(f"_{k}") for k in key], F.transform("at", lambda x: x["secret"]).alias("_flags"))
     )
     size = found.agg(F.sum(F.size("_flags") + 64)).first()[0] or 0
-    marked = docs.join(
+    # The whole row travels in one column, so its names can't meet those used here.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    row = lambda c: F.col("row").getField(c)
+    marked = rows.join(
         F.broadcast(found) if size < broadcast_bytes else found,
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64("text") == F.col("_text_key")) & F.col(path_col).cast("string").eqNullSafe(F.col("_path")), "left",
+        row("doc_id").cast("long").eqNullSafe(F.col("_doc_id")) & (F.xxhash64(row("text")) == F.col("_text_key")) & row(path_col).cast("string").eqNullSafe(F.col("_path")), "left",
     )
-    m, g = _split(F.col("text"))
+    m, g = _split(row("text"))
     rebuilt = let(F.struct(m.alias("m"), g.alias("g")), lambda x: F.concat(
         F.array_join(F.transform("_flags", lambda secret, k: F.concat(F.get(x["g"], k), F.when(secret, F.lit(mark)).otherwise(F.get(x["m"], k)))), ""), F.element_at(x["g"], -1),
     ))
-    clean = F.when(F.col("_flags").isNull(), F.col("text")).otherwise(rebuilt)
-    return marked.select(*[clean.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    clean = F.when(F.col("_flags").isNull(), row("text")).otherwise(rebuilt)
+    return marked.select(*[(clean if c == "text" else row(c)).alias(c) for c in docs.columns])
 
 
 def op5_secrets(spark, sf_dir):

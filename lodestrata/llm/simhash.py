@@ -518,7 +518,10 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     Rows are told apart by id and text, so rows of one id with other texts, and rows
     without an id, are kept or dropped each for its own text; of rows equal in both, one stays.
+    Columns of any name go through unchanged; an empty table gives an empty result.
     """
+    # The whole row travels in one column, so its names can't meet those used here.
+    docs = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     own, placed = _similar(docs, **options)
     lead = placed.groupBy("root").agg(F.min("least").alias("lead"))
     named = join_one(placed.select("fp", "root"), lead, ["root"], row_bytes=64).select("fp", "lead")
@@ -536,7 +539,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     if not again.isEmpty():  # only these rows' texts are dealt by their key
         same = listed(again)
         left = left.join(*same, "left_anti").unionByName(left.join(*same, "left_semi").dropDuplicates(["doc_id", "_text"]))
-    return left.select(docs.columns)
+    return left.select("_row.*")
 
 
 def op6_simhash(spark, sf_dir):

@@ -213,3 +213,12 @@ def test_keep_one_decides_rows_without_id(spark):
     rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (4, "x y z with words enough"), (None, "x y z with words enough"), (None, "alone with its own words here"), (None, None), (None, "")]
     kept = sorted(((r.doc_id, r.text or "") for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert kept == sorted([(None, "a b c d e f g"), (4, "x y z with words enough"), (None, "alone with its own words here"), (None, "")], key=str)
+
+
+def test_keep_one_hands_on_columns_of_any_name(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "a", 1, b"x", "p", 7), (2, words + " more", "b", 2, b"y", "q", 8), (3, "something else entirely", "c", 3, b"z", "r", 9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _key string, _id int, _text binary, lead string, `_row` int")
+    got = simhash.keep_one(d)
+    assert got.columns == d.columns
+    assert sorted((r.doc_id, r._key, r._id, bytes(r._text), r.lead, r._row) for r in got.collect()) == [(1, "a", 1, b"x", "p", 7), (3, "c", 3, b"z", "r", 9)]
