@@ -20,16 +20,17 @@ def records(files: DataFrame, hash_max_bytes: int = rules.HASH_MAX_BYTES, keep:
 
     ``content`` is text or bytes; flags of links and modes are taken from the listing
     where it has them.  A null content is an unreadable file: binary, no lines.  Rows of
-    a file that the listing has split are added up; only those are shuffled.  Columns
-    named in ``keep`` go along.
+    a file that the listing has split are added up; only those are shuffled, and their
+    hash is the digest that the listing has made.  Columns named in ``keep`` go along.
     """
     if "is_split" in files.columns:
         whole = _records(files.where("not is_split"), hash_max_bytes, keep)
-        parts = _records(files.where("is_split"), -1, (*keep, "part"))
+        parts = _records(files.where("is_split"), -1, (*keep, "part", "digest", "continues"))
         sums = {"total_lines", "code_lines", "comment_lines", "blank_lines"}
-        front = F.min_by(F.struct(*[c for c in (*keep, *FIELDS) if c not in sums and c != "rel_path"]), "part").alias("_front")
-        added = parts.groupBy("rel_path").agg(front, *[F.sum(c).alias(c) for c in sorted(sums)])
-        return whole.unionByName(added.select("rel_path", "_front.*", *sorted(sums)))
+        front = F.min_by(F.struct(*[c for c in (*keep, *FIELDS) if c not in sums and c not in ("rel_path", "content_hash")]), "part").alias("_front")
+        added = parts.groupBy("rel_path").agg(front, F.max("digest").alias("digest"), *[F.sum(c).alias(c) for c in sorted(sums)])
+        hashed = F.when(~F.col("_front.is_binary") & F.col("_front.size").between(1, hash_max_bytes), F.col("digest")).alias("content_hash")
+        return whole.unionByName(added.select("rel_path", "_front.*", hashed, *sorted(sums)))
     return _records(files, hash_max_bytes, keep)
 
 
@@ -43,6 +44,8 @@ def _records(files: DataFrame, hash_max_bytes: int, keep: tuple[str, ...]) -> Da
     counted = ~link & ~F.col("is_binary")
     content = F.make_valid_utf8(F.col("content").cast("string")) if dict(files.dtypes)["content"] == "binary" else F.col("content")
     lines = F.when(counted & (F.octet_length("content") > 0), T.lines_lf(content)).otherwise(F.array().cast("array<string>"))
+    if "part" in keep:  # the rest of a line that an earlier part has counted
+        lines = F.when(flag("continues"), F.slice(lines, F.lit(2), F.greatest(F.lit(0), F.size(lines) - 1))).otherwise(lines)
     of = lambda test: F.size(F.filter("_lines", test)).cast("long")
     made = files.select(
         *keep, "rel_path", "content", F.when(link, F.lit(0)).otherwise(F.col("size") if "size" in files.columns else F.coalesce(F.octet_length("content"), F.lit(0))).cast("long").alias("size"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -49,11 +49,21 @@ def duplicate_files(records: DataFrame) -> DataFrame:
     return own.join(many, "content_hash", "left_semi").select(F.substring("content_hash", 1, 12).alias("digest"), "rel_path")
 
 
-def files_that(records: DataFrame, kind: str) -> DataFrame:
-    """Paths of ``temporary``, ``cache``, ``empty``, ``executable``, ``hidden`` or ``broken`` files."""
+def _path_tests() -> dict[str, Column]:
     real = ~F.col("is_symlink")
-    tests = {
+    return {
         "temporary": real & T.is_temporary("rel_path"), "cache": real & T.in_directory("rel_path", rules.CACHE_DIRS), "empty": real & (F.col("size") == 0),
         "executable": real & F.col("is_executable"), "hidden": F.col("is_hidden"), "broken": F.col("is_broken_symlink"),
     }
-    return records.where(tests[kind]).select("rel_path")
+
+
+def files_that(records: DataFrame, kind: str) -> DataFrame:
+    """Paths of ``temporary``, ``cache``, ``empty``, ``executable``, ``hidden`` or ``broken`` files."""
+    return records.where(_path_tests()[kind]).select("rel_path")
+
+
+def path_lists(records: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """``(kind, rel_path)`` for each of ``kinds`` that a file is of, from one scan."""
+    tests = _path_tests()
+    held = F.array_compact(F.array(*[F.when(tests[k], F.lit(k)) for k in kinds]))
+    return records.select(F.explode(held).alias("kind"), "rel_path")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from functools import reduce
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
-from ..operators import findings, incremental, records, score, stats, transfer, tree
+from ..operators import findings, incremental, parts, records, score, stats, transfer, tree
 from ..sources import corpus
 from ..sources import files as tree_source
 
@@ -307,9 +306,30 @@ def chunk_headers(spark, sf_dir):
 
 @query(f"with {FILES} select rel_path, 'VERIFIED' as status, sha256(content) as hash from files where content != ''")
 def transfer_round_trip(spark, sf_dir):
-    """Split, wrap, parse, verify and rebuild every document."""
+    """Split, wrap, parse and verify every document."""
     sent = transfer.envelopes(transfer.split_chunks(corpus.documents(spark, sf_dir)), F.col("rel_path"), F.lit("2026-01-01T00:00:00Z")).select("rel_path", "message")
-    return transfer.verify(transfer.parse_chunks(sent), "rel_path").select("rel_path", "status", F.sha2("content", 256).alias("hash"))
+    return parts.verify(transfer.parse_chunks(sent), "rel_path").select("rel_path", "status", "hash")
+
+
+def _in_parts(spark, sf_dir, size: int = 700) -> DataFrame:
+    """Documents as rows of some lines each, of about ``size`` characters: all lines that end in the same stretch of as many."""
+    lines = corpus.documents(spark, sf_dir).select("rel_path", F.posexplode(T.lines_keep_ends("content")).alias("at", "line"))
+    ahead = parts.sums_ahead(lines.withColumn("n", F.length("line")), ["rel_path"], "at", "n", "ahead", width=64)
+    cut = ahead.groupBy("rel_path", F.expr(f"ahead div {size}").cast("int").alias("part"))
+    return cut.agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("own")).select("rel_path", "part", F.array_join(F.transform("own", lambda x: x["line"]), "").alias("content"))
+
+
+@query(
+    _chunk_sql(20, 1500)
+    + """select rel_path, cast(block as integer) as block, cast(ceil(total / 20) as integer) as total_blocks, cast(chunk_index as integer) as chunk_index,
+      cast(max(chunk_index) over (partition by rel_path) as integer) as total_chunks, cast(block * 20 + 1 as integer) as start_line, cast(least((block + 1) * 20, total) as integer) as end_line,
+      cast(octet_length(encode(body)) as integer) as chunk_bytes, 'sha256:' || sha256(body) as chunk_hash, 'sha256:' || sha256(content) as report_hash from chunks join files using (rel_path)"""
+)
+def part_chunks(spark, sf_dir):
+    """Chunks of every document, made from parts of it; they are those of the whole text."""
+    cut = _in_parts(spark, sf_dir)
+    chunks = parts.split_parts(cut, transfer.ordered_hash(cut, "rel_path", "part", "content"), 20, 1500)
+    return chunks.select("rel_path", "block", "total_blocks", "chunk_index", "total_chunks", "start_line", "end_line", "chunk_bytes", "chunk_hash", "report_hash")
 
 
 @query("select conv_id, sha256(string_agg(text, '' order by turn)) as hash from conversations group by conv_id")
@@ -397,8 +417,7 @@ def _planted(spark, sf_dir) -> DataFrame:
     By a hash of the id some are binary, executable, hidden, temporary, below an ignored or
     a cache directory, ignored by a rule, empty, or a link, broken or not.
     """
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="planted-")).removeprefix("file://")
-    folder = f"{shared}/planted-{uuid.uuid4().hex}"
+    folder = f"{corpus.shared_folder(spark).removeprefix('file://')}/planted-{uuid.uuid4().hex}"
     docs = corpus.table(spark, sf_dir, "documents").withColumn("lot", F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(1)))
 
     def put(batches):
@@ -428,7 +447,7 @@ PLANTED = f"""with {FILES}, {RAW}, {LINES}, {COUNTED}, lots as (select f.*, {LOT
     scanned as (select place as rel_path, cast(size as bigint) as size, link as is_symlink, lot = '6' as is_broken_symlink, lot = '2' as is_hidden, lot = '0' as is_binary, lot = '1' as is_executable,
       case when link then '' when lot = '3' then '.tmp' else '.' || lang end as extension, case when no_text then 0 else coalesce(total_lines, 0) end as total_lines,
       case when no_text then 0 else coalesce(total_lines - comment_lines - blank_lines, 0) end as code_lines, case when no_text then 0 else coalesce(comment_lines, 0) end as comment_lines,
-      case when no_text then 0 else coalesce(blank_lines, 0) end as blank_lines, case when not no_text and size between 1 and 524288 and size <= 20000 then sha256(content) end as content_hash
+      case when no_text then 0 else coalesce(blank_lines, 0) end as blank_lines, case when not no_text and size between 1 and 524288 then sha256(content) end as content_hash
       from planted left join counted using (rel_path)
       union all select '.gitignore', 7, false, false, true, false, false, '', 1, 1, 0, 0, sha256('*.skip' || chr(10)))"""
 
@@ -448,9 +467,7 @@ REAL = "not is_symlink and"
     union all select 'hidden', rel_path from scanned where is_hidden union all select 'broken', rel_path from scanned where is_broken_symlink"""
 )
 def path_lists(spark, sf_dir):
-    own = records.records(_planted(spark, sf_dir))
-    kinds = [stats.files_that(own, k).select(F.lit(k).alias("kind"), "rel_path") for k in ("temporary", "cache", "empty", "executable", "hidden", "broken")]
-    return reduce(DataFrame.unionByName, kinds)
+    return stats.path_lists(records.records(_planted(spark, sf_dir)), ("temporary", "cache", "empty", "executable", "hidden", "broken"))
 
 
 @query(
@@ -529,9 +546,10 @@ def report_texts(spark, sf_dir):
 )
 def remaining_lines(spark, sf_dir):
     """Lines behind each block of a transfer."""
-    chunks = transfer.split_chunks(corpus.documents(spark, sf_dir), 20, 1500)
-    total = chunks.groupBy("rel_path").agg(F.max("end_line").alias("n"))
-    return chunks.select("rel_path", "block").distinct().join(total, "rel_path").select("rel_path", "block", transfer.remaining_lines(F.col("n"), F.col("block"), 20).alias("remaining"))
+    n = F.size(T.lines_keep_ends("content"))
+    files = corpus.documents(spark, sf_dir).where(F.octet_length("content") > 0).select("rel_path", n.alias("n"))
+    blocks = files.select("rel_path", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / 20).cast("int") - 1)).alias("block"))
+    return blocks.select("rel_path", "block", transfer.remaining_lines(F.col("n"), F.col("block"), 20).alias("remaining"))
 
 
 PROJECTS = {

@@ -7,11 +7,14 @@ The tree must be on a file system that all executors mount at the same path.
 
 A file of more than ``maxContentBytes`` gives several rows, cut behind line ends, so that
 files of any size are counted and searched; ``first_line`` is the number of lines ahead of
-a row.  Of a large binary file only the front that tells it is binary is read.
+a row.  A line longer than that is cut too, and the row that goes on with it
+``continues``.  The last row of such a file has its ``digest``, made while it is read.  Of
+a large binary file only the front that tells it is binary is read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import stat
@@ -22,7 +25,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import rules
 
-SCHEMA = "rel_path string, size long, is_symlink boolean, is_broken_symlink boolean, is_executable boolean, content binary, part int, first_line long, is_split boolean"
+SCHEMA = "rel_path string, size long, is_symlink boolean, is_broken_symlink boolean, is_executable boolean, content binary, part int, first_line long, is_split boolean, continues boolean, digest string"
 
 
 def ignore_pattern(line: str) -> tuple[re.Pattern, bool, bool] | None:
@@ -147,8 +150,21 @@ class Paths(InputPartition):
 LINE_END = re.compile(rb"\r\n|\r|\n")
 
 
+def _end(held: bytes) -> int:
+    """Where a piece without an LF may be cut: not inside a character, nor between CR and a possible LF."""
+    end = len(held) - held.endswith(b"\r")
+    for back in range(1, min(4, end) + 1):
+        c = held[end - back]
+        if c & 0xC0 != 0x80:
+            return end - back if c >= 0xC0 and end > back else end
+    return end
+
+
 def pieces(path: str, size: int, most: int) -> Iterator[tuple[bytes, int, int]]:
-    """``(content, part, lines ahead)`` of a file, cut behind the last LF of every ``most`` bytes or so."""
+    """``(content, part, lines ahead)`` of a file, cut behind the last LF of every ``most`` bytes or so.
+
+    Without an LF in as many bytes a line is cut, so no more than twice ``most`` is held.
+    """
     with open(path, "rb") as f:
         if size <= most:
             yield f.read(), 0, 0
@@ -159,15 +175,26 @@ def pieces(path: str, size: int, most: int) -> Iterator[tuple[bytes, int, int]]:
             return
         while held:
             more = f.read(most)
-            end = held.rfind(b"\n") + 1 if more else len(held)
-            if not end:  # a line longer than a piece
-                held += more
-                continue
-            yield held[:end], part, ahead
-            part, ahead = part + 1, ahead + len(LINE_END.findall(held, 0, end))
+            end = len(held) if not more else held.rfind(b"\n") + 1 or _end(held)
+            if end:
+                yield held[:end], part, ahead
+                part, ahead = part + 1, ahead + len(LINE_END.findall(held, 0, end))
             held = held[end:] + more
 
 
+def rows_of(path: str, size: int, most: int) -> Iterator[tuple]:
+    """``pieces`` with whether each continues a line, and on the last of several the digest of all."""
+    running, last = hashlib.sha256(), None
+    for content, part, ahead in pieces(path, size, most):
+        running.update(content)
+        if last:
+            yield *last, None
+        last = content, part, ahead, size > most, bool(last) and not last[0].endswith(b"\n")
+    if last:
+        cut_short = last[1] == 0 and len(last[0]) < size
+        yield *last, running.hexdigest() if size > most and not cut_short else None
+
+
 class TreeReader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"]
@@ -196,14 +223,14 @@ class TreeReader(DataSourceReader):
             except OSError:
                 continue
             if stat.S_ISLNK(s.st_mode):
-                yield rel, 0, True, not os.path.exists(path), False, None, 0, 0, False
+                yield rel, 0, True, not os.path.exists(path), False, None, 0, 0, False, False, None
                 continue
             flags = rel, s.st_size, False, False, bool(s.st_mode & 0o111)
             try:
-                for content, part, ahead in pieces(path, s.st_size, self.most):
-                    yield *flags, content, part, ahead, s.st_size > self.most
+                for row in rows_of(path, s.st_size, self.most):
+                    yield *flags, *row
             except OSError:
-                yield *flags, None, 0, 0, False
+                yield *flags, None, 0, 0, False, False, None
 
 
 class FileTree(DataSource):
