@@ -115,7 +115,11 @@ def banded(item: str, text: str, lo: int, hi: int, anchored: bool):
     alone.  Rows above the item's first cost nothing, or what lies ahead in the text if
     ``anchored``.
     """
-    m, top = len(item), hi - lo
+    m = len(item)
+    lo = max(lo, -m)  # nothing lies further left
+    top = hi - lo
+    if top < 0:
+        return
     mask = (2 << top) - 1
     at: dict[str, int] = {}
     for i, c in enumerate(item):
@@ -157,8 +161,9 @@ def align(item: str, text: str, k: int, lo: int | None = None, hi: int | None =
     if best > k:
         return None
     back = text[max(0, end - len(item) - best) : end][::-1]
-    size = next(j for j, edits in banded(item[::-1], back, -best, best, True) if edits == best)
-    return best, end - size, end
+    # Back from its end the path is found again, perhaps with fewer edits than the first band allowed.
+    size, edits = next((j, e) for j, e in banded(item[::-1], back, -best, best, True) if e <= best)
+    return edits, end - size, end
 
 
 def search(texts: list[str], index: Index) -> list[tuple[int, int, int, int, int]]:

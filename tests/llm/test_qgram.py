@@ -154,3 +154,38 @@ def test_empty_tables_and_dropping(spark):
     left = qgram.drop_contaminated(d, b)
     assert left.columns == d.columns
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(i) for i, _ in docs if i not in hit)
+
+
+def test_bands_at_the_edges_equal_brute_force():
+    """A band narrows what may match, never what it finds; bands ahead of, behind and across a text's ends."""
+    rng = random.Random(8)
+
+    def brute(item, text, lo, hi):
+        """Fewest edits over paths within the band, by the whole table."""
+        big, m = 10**9, len(item)
+        d = [[big] * (len(text) + 1) for _ in range(m + 1)]
+        for i in range(m + 1):
+            for j in range(len(text) + 1):
+                if lo <= j - i <= hi:
+                    if i == 0:
+                        d[i][j] = 0
+                        continue
+                    d[i][j] = min(d[i - 1][j] + 1, *([d[i][j - 1] + 1, d[i - 1][j - 1] + (item[i - 1] != text[j - 1])] if j else []), big)
+                elif i == 0:
+                    d[i][j] = 0
+        return d[m]
+
+    for _ in range(1500):
+        item, text = ("".join(rng.choices("ab", k=rng.randint(1, 9))) for _ in range(2))
+        k = rng.randint(0, 4)
+        lo = rng.randint(-12, 10)
+        hi = lo + rng.randint(0, 8)
+        got = qgram.align(item, text, k, lo, hi)
+        if item in text:
+            assert got[0] == 0
+            continue
+        full = min(brute(item, text, -99, 99))
+        inside = min(brute(item, text, max(lo, -k), hi)[1:] or [10**9]) if hi >= max(lo, -k) else 10**9
+        assert got is None or full <= got[0] <= k
+        if inside <= k and inside < len(item):
+            assert got is not None and got[0] <= inside
