@@ -19,7 +19,7 @@ def detect_project(files: DataFrame) -> DataFrame:
     """
     spark = files.sparkSession
     marker = spark.createDataFrame([(i, *m) for i, m in enumerate(rules.PROJECT_MARKERS)], "priority int, rel_path string, language string, kind string, build string")
-    android = F.col("rel_path").rlike(r"^([^/]+/)?(src/main/)?AndroidManifest\.xml$")
+    android = F.col("rel_path").rlike(r"^(([^/]+/){1,2}src/main/)?AndroidManifest\.xml$")
     if "content" in files.columns:
         build = F.col("rel_path").rlike(r"^(app/)?build\.gradle(\.kts)?$")
         android = android | (build & (F.contains(F.col("content").cast("string"), F.lit("com.android.application")) | F.contains(F.col("content").cast("string"), F.lit("com.android.library"))))

@@ -41,6 +41,8 @@ def summary(report: Report) -> dict:
         rows = getattr(report, name).orderBy(*order).limit(most + 1).collect()
         out[name] = [r.asDict() for r in rows[:most]]
         out[f"more_{name}"] = len(rows) > most
+        if name in ("todos", "secrets"):
+            out[f"all_{name}"] = getattr(report, name).count() if len(rows) > most else len(rows)
     return out
 
 
@@ -119,7 +121,7 @@ def to_text(data: dict) -> str:
     s, h, d = data["stats"], data["health"], data["detection"]
     return "\n".join([
         data["name"], f"language: {d['primary_language']}", f"files: {s['total_files']}", f"lines: {s['total_lines']} ({s['code_lines']} code, {s['comment_lines']} comment, {s['blank_lines']} blank)",
-        f"todos: {len(data['todos'])}{'+' if data['more_todos'] else ''}", f"possible secrets: {len(data['secrets'])}{'+' if data['more_secrets'] else ''}", f"health: {h['score']} ({h['grade']})",
+        f"todos: {data['all_todos']}", f"possible secrets: {data['all_secrets']}", f"health: {h['score']} ({h['grade']})",
     ])
 
 

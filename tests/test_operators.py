@@ -155,7 +155,8 @@ def test_detection(spark):
     assert (both.primary_language, both.languages, both.markers, both.entry_points, both.is_recognized) == ("Rust", ["Rust", "Node.js"], ["Cargo.toml", "package.json"], ["src/main.rs"], True)
     none = make("a.go", "b.go", "c.txt")
     assert (none.primary_language, none.build_system, none.is_recognized) == ("Go", "none detected", False)
-    assert make("build.gradle", "src/main/AndroidManifest.xml").primary_language == "Android/Kotlin"
+    for manifest, known in (("AndroidManifest.xml", True), ("app/src/main/AndroidManifest.xml", True), ("a/b/src/main/AndroidManifest.xml", True), ("x/AndroidManifest.xml", False), ("src/main/AndroidManifest.xml", False), ("a/b/c/src/main/AndroidManifest.xml", False)):
+        assert (make("build.gradle", manifest).primary_language == "Android/Kotlin") == known, manifest
 
 
 def health(spark, runs=(), git=None, tools=0, secrets=(), todos=0):
