@@ -68,6 +68,11 @@ def parent(path) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(col(path), "^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))
 
 
+def path_key(path) -> Column:
+    """What orders paths part by part: ``a/x`` is ahead of ``a-b/x``, as no name has the sign below all others."""
+    return F.replace(col(path), F.lit("/"), F.lit("\0"))
+
+
 def is_hidden(path) -> Column:
     return file_name(path).startswith(".")
 

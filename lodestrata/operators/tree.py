@@ -34,6 +34,24 @@ def entries(paths: DataFrame, max_depth: int = rules.TREE_DEPTH, max_entries: in
     return out.select("path", "parent", "name", "depth", "is_file", "rank", "siblings")
 
 
+def lines(shown: DataFrame, max_entries: int = rules.TREE_ENTRIES) -> DataFrame:
+    """``(key, line)``: each line of the drawn tree of ``entries``, in order of ``key``, the ranks of an entry and all above it.
+
+    Each entry finds its ancestors by path; arrays are as long as the tree is deep.
+    """
+    is_last = (F.col("rank") == F.col("siblings")).alias("is_last")
+    names = F.split("path", "/")
+    ups = shown.select("path", "name", "is_file", "siblings", "rank", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(names)), lambda k: F.array_join(F.slice(names, F.lit(1), k), "/"))).alias("at", "up"))
+    placed = ups.join(shown.select(F.col("path").alias("up"), F.struct("rank", is_last).alias("own")), "up")
+    line = placed.groupBy("path").agg(F.first("name").alias("name"), F.first("is_file").alias("is_file"), F.first("siblings").alias("siblings"), F.first("rank").alias("rank"), F.array_sort(F.collect_list(F.struct("at", "own"))).alias("chain"))
+    indent = F.array_join(F.transform(F.slice("chain", F.lit(1), F.size("chain") - 1), lambda x: F.when(x["own"]["is_last"], "    ").otherwise("│   ")), "")
+    line = line.select("name", "is_file", "siblings", "rank", indent.alias("indent"), F.transform("chain", lambda x: x["own"]["rank"]).alias("key"))
+    own = line.select("key", F.concat("indent", F.when(F.col("rank") == F.col("siblings"), "└── ").otherwise("├── "), "name", F.when(F.col("is_file"), "").otherwise("/")).alias("line"))
+    cut = line.where((F.col("rank") == max_entries) & (F.col("siblings") > max_entries))
+    more = cut.select(F.concat(F.slice("key", F.lit(1), F.size("key") - 1), F.array(F.lit(max_entries + 1))).alias("key"), F.concat("indent", F.lit("└── ... ("), (F.col("siblings") - max_entries).cast("string"), F.lit(" more entries hidden)")).alias("line"))
+    return own.unionByName(more)
+
+
 def render(shown: DataFrame, root: str = ".", max_entries: int = rules.TREE_ENTRIES) -> str:
     """The tree as text; what is shown is bounded by depth and entries."""
     below: dict[str, list] = {}

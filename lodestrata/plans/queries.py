@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
-from ..operators import findings, incremental, parts, records, score, stats, transfer, tree
-from ..sources import corpus
+from ..operators import findings, incremental, ordering, parts, records, score, stats, transfer, tree
+from ..sources import corpus, directories
 from ..sources import files as tree_source
 
 QUERIES: dict = {}
@@ -411,8 +411,8 @@ PLANTED_PATH = (
 )
 
 
-def _planted(spark, sf_dir) -> DataFrame:
-    """All documents as files of a folder that driver and executors share, read back as a tree.
+def _planted_folder(spark, sf_dir) -> str:
+    """All documents as files of a folder that driver and executors share.
 
     By a hash of the id some are binary, executable, hidden, temporary, below an ignored or
     a cache directory, ignored by a rule, empty, or a link, broken or not.
@@ -439,7 +439,11 @@ def _planted(spark, sf_dir) -> DataFrame:
     os.makedirs(folder, exist_ok=True)
     with open(f"{folder}/.gitignore", "w") as f:
         f.write("*.skip\n")
-    return tree_source.read_tree(spark, folder, ignoreDirs="dist", userIgnores="", maxContentBytes=20_000)
+    return folder
+
+
+def _planted(spark, sf_dir) -> DataFrame:
+    return tree_source.read_tree(spark, _planted_folder(spark, sf_dir), ignoreDirs="dist", userIgnores="", maxContentBytes=20_000)
 
 
 PLANTED = f"""with {FILES}, {RAW}, {LINES}, {COUNTED}, lots as (select f.*, {LOT} as lot from files f), planted as (select *, {PLANTED_PATH} as place, lot in ('6', '7') as link, lot in ('0', '6', '7', '9') as no_text,
@@ -458,6 +462,32 @@ def tree_scan(spark, sf_dir):
     return records.records(_planted(spark, sf_dir))
 
 
+@query(
+    f"""with {FILES}, lots as (select f.*, {LOT} as lot from files f), placed as (select *, {PLANTED_PATH} as place from lots where lot != '4'),
+    nodes as (select distinct split_part(place, '/', 1) as path, '' as parent, split_part(place, '/', 1) as name, true as is_dir, false as is_file from placed union all select '.gitignore', '', '.gitignore', false, true
+      union all select place, split_part(place, '/', 1), split_part(place, '/', 2), lot = '7', lot not in ('6', '7') from placed),
+    ranked as (select *, row_number() over (partition by parent order by is_file, lower(name), name) as rank, count(*) over (partition by parent) as siblings from nodes),
+    ups as (select path as parent, case when rank = siblings then '    ' else '│   ' end as indent from ranked where parent = '' and rank <= 100 union all select '', ''),
+    shown as (select *, case when parent = '' then 1 else 2 end as depth from ranked join ups using (parent) where rank <= 100)
+    select path, name, cast(depth as integer) as depth, is_dir, cast(rank as integer) as rank, siblings, indent || case when rank = siblings then '└── ' else '├── ' end || name || case when is_dir then '/' else '' end as line from shown
+    union all select case when parent = '' then '...' else parent || '/...' end, '...', cast(depth as integer), false, 101, siblings, indent || '└── ... (' || (siblings - 100) || ' more entries hidden)' from shown where rank = 100 and siblings > 100"""
+)
+def folder_lines(spark, sf_dir):
+    """The drawn tree of a folder as it is on disk: ignored names, links to directories and cuts are in it."""
+    return directories.folder_tree(spark, _planted_folder(spark, sf_dir), ("dist",)).drop("key")
+
+
+@query(
+    """with named as (select doc_id, source || (['/', '-b/', '.c/', ' d/'])[doc_id % 4 + 1] || doc_id as rel_path from documents)
+    select doc_id, rel_path, row_number() over (order by string_split(rel_path, '/'), doc_id) - 1 as position from named"""
+)
+def path_order(spark, sf_dir):
+    """The place of every path in order of its parts, among folders whose names sort around the separator."""
+    folder = F.get(F.array(*map(F.lit, ["/", "-b/", ".c/", " d/"])), (F.col("doc_id") % 4).cast("int"))
+    named = corpus.table(spark, sf_dir, "documents").select("doc_id", F.concat("source", folder, F.col("doc_id").cast("string")).alias("rel_path"))
+    return ordering.numbered(named, T.path_key("rel_path"), "doc_id")
+
+
 REAL = "not is_symlink and"
 
 

@@ -22,6 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="shared-")
 
 
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read from there."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(rows.sparkSession))
+    return rows.checkpoint()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as files ``source/doc_id.lang``."""
     path = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), F.col("lang"))
