@@ -55,7 +55,7 @@ def reading_bucket(path: str = "rel_path") -> Column:
 
 
 def reading_order(files: DataFrame) -> DataFrame:
-    return files.select("rel_path", reading_bucket().alias("bucket")).orderBy("bucket", "rel_path")
+    return files.select("rel_path", reading_bucket().alias("bucket")).orderBy("bucket", T.path_key("rel_path"))
 
 
 def health(results: DataFrame, git: dict, todos: DataFrame, secrets: DataFrame, stats: DataFrame, tools: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..operators import findings, incremental, records, score, stats
+from ..operators import tree as drawn
 
 
 @dataclass
@@ -34,6 +35,8 @@ class Report:
     known: DataFrame
     skipped: DataFrame
     cache: DataFrame
+    tree: DataFrame
+    sources: DataFrame | None = None
     git: dict = field(default_factory=dict)
     environment: dict = field(default_factory=dict)
 
@@ -45,13 +48,15 @@ class Report:
 RESULTS = "kind string, source string, returncode int, skipped boolean, skip_reason string, raw_output string, duration_seconds double"
 
 
-def build(files: DataFrame, name: str = "project", results: DataFrame | None = None, git: dict | None = None, tools: int = 0, max_file_size: int = rules.MAX_FILE_SIZE, cache: DataFrame | None = None, environment: dict | None = None) -> Report:
+def build(files: DataFrame, name: str = "project", results: DataFrame | None = None, git: dict | None = None, tools: int = 0, max_file_size: int = rules.MAX_FILE_SIZE, cache: DataFrame | None = None, environment: dict | None = None, tree: DataFrame | None = None, sources: bool = True) -> Report:
     """A report on ``files(rel_path, content, ...)``.
 
     ``results`` holds runs of external tools, if any.  ``cache`` is that of an earlier
     report: of files it has with the same hash, line findings are taken from it, and only
     the others are scanned; ``Report.cache`` is the cache for the next one.  Line scans
-    leave out files whose name or content is flagged from what may be shown.
+    leave out files whose name or content is flagged from what may be shown.  ``tree`` has
+    the ``key`` and ``line`` of the drawn tree's lines (``sources.directories.folder_tree``);
+    without it the tree is that of the files' paths.  With ``sources`` a page embeds files.
     """
     spark = files.sparkSession
     results = results if results is not None else spark.createDataFrame([], RESULTS)
@@ -75,5 +80,5 @@ def build(files: DataFrame, name: str = "project", results: DataFrame | None = N
         name, own, summary, stats.by_extension(own), stats.directory_sizes(own), stats.largest_files(own), stats.duplicate_groups(own), safe, excluded, todos, secrets,
         findings.scan_issues(results), score.detect_project(files.withColumn("content", F.make_valid_utf8(F.col("content").cast("string")))), score.reading_order(safe),
         score.health(results, git or {}, todos, secrets, summary, tools), results, findings.known_issues(results), split.where("bucket = 'skipped'").select("rel_path", "size"),
-        incremental.build_cache(own, all_todos, all_secrets), git or {}, environment or {},
+        incremental.build_cache(own, all_todos, all_secrets), tree if tree is not None else drawn.lines(drawn.entries(own)), files if sources else None, git or {}, environment or {},
     )

@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 
 from ..operators import incremental, score, tools
 from ..sinks import render
+from ..sources.directories import folder_tree
 from ..sources.files import read_tree
 from . import report
 from .settings import Settings
@@ -34,7 +35,7 @@ def make(spark: SparkSession, root: str, settings: Settings) -> str:
     found = missing.where("not is_missing").select("tool").distinct().count()
     kept = incremental.cache_path(settings.output_dir, root)
     cache = incremental.load_cache(spark, kept) if settings.use_cache else None
-    made = report.build(files, os.path.basename(os.path.abspath(root)), results, tools.git_snapshot(root), found, settings.max_file_size, cache, tools.environment(spark, root).first().asDict())
+    made = report.build(files, os.path.basename(os.path.abspath(root)), results, tools.git_snapshot(root), found, settings.max_file_size, cache, tools.environment(spark, root).first().asDict(), folder_tree(spark, root, max_depth=settings.tree_depth, max_entries=settings.tree_entries), settings.sources)
     os.makedirs(settings.output_dir, exist_ok=True)
     path = report_path(root, settings)
     render.write(made, path, settings.kind)

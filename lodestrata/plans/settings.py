@@ -28,6 +28,7 @@ class Settings:
     tree_depth: int = rules.TREE_DEPTH
     tree_entries: int = rules.TREE_ENTRIES
     use_cache: bool = False
+    sources: bool = True
 
 
 #: What asking for everything changes, unless it is asked for otherwise.
