@@ -11,33 +11,41 @@ from .. import rules
 from ..functions import text as T
 
 
-def detect_project(files: DataFrame) -> DataFrame:
-    """One row: ``primary_language, project_type, build_system, languages, markers, entry_points, is_recognized``.
+def detect_project(files: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``primary_language, project_type, build_system, languages, markers, entry_points, is_recognized``, one row.
 
     Markers are files at the root, in order of priority; without one the commonest
-    extension's language is named.  ``files`` has ``rel_path`` and may have ``content``.
+    extension's language is named, ties by name.  ``files`` has ``rel_path`` and may have
+    ``content``.  With ``by`` there is one row for each project that those columns name.
+
+    One aggregate over one scan: what is kept of a project are the marker and entry-point
+    names it has, and a count a language, all from fixed lists.
     """
-    spark = files.sparkSession
-    marker = spark.createDataFrame([(i, *m) for i, m in enumerate(rules.PROJECT_MARKERS)], "priority int, rel_path string, language string, kind string, build string")
-    android = F.col("rel_path").rlike(r"^(([^/]+/){1,2}src/main/)?AndroidManifest\.xml$")
+    c = F.col
+    android = c("rel_path").rlike(r"^(([^/]+/){1,2}src/main/)?AndroidManifest\.xml$")
     if "content" in files.columns:
-        build = F.col("rel_path").rlike(r"^(app/)?build\.gradle(\.kts)?$")
-        android = android | (build & (F.contains(F.col("content").cast("string"), F.lit("com.android.application")) | F.contains(F.col("content").cast("string"), F.lit("com.android.library"))))
-    is_android = files.agg(F.coalesce(F.bool_or(android), F.lit(False)).alias("is_android"))
-    # A bounded table of markers decides; the paths that match it are as few.
-    found = files.select("rel_path").join(F.broadcast(marker), "rel_path").distinct()
-    chosen = found.agg(
-        F.min_by(F.struct("language", "kind", "build"), "priority").alias("first"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("priority", "language"))), lambda x: x["language"])).alias("languages"),
-        F.array_sort(F.collect_set("rel_path")).alias("markers"),
+        build = c("rel_path").rlike(r"^(app/)?build\.gradle(\.kts)?$")
+        android = android | (build & T.contains_any(c("content").cast("string"), ("com.android.application", "com.android.library")))
+    names = {m[0] for m in rules.PROJECT_MARKERS} | {p for ps in rules.ENTRY_POINTS.values() for p in ps}
+    known = F.create_map(*[F.lit(x) for kv in rules.EXTENSION_LANGUAGE.items() for x in kv])
+    spoken = sorted(set(rules.EXTENSION_LANGUAGE.values()))
+    rows = files.select(*by, "rel_path", android.alias("_android"), known[T.extension("rel_path")].alias("_language"))
+    kept = rows.groupBy(*by).agg(
+        F.coalesce(F.bool_or("_android"), F.lit(False)).alias("_is_android"),
+        F.collect_set(F.when(c("rel_path").isin(*sorted(names)), c("rel_path"))).alias("_names"),
+        *[F.count_if(c("_language") == lang).alias(f"_n{i}") for i, lang in enumerate(spoken)],
     )
-    points = spark.createDataFrame([(lang, p) for lang, ps in rules.ENTRY_POINTS.items() for p in ps], "language string, rel_path string")
-    entry = files.select("rel_path").join(F.broadcast(points), "rel_path").distinct().join(found.select("language").distinct(), "language", "left_semi").agg(F.array_sort(F.collect_set("rel_path")).alias("entry_points"))
-    guess = majority_language(files).agg(F.first("language").alias("guess"))
-    row = chosen.crossJoin(entry).crossJoin(guess).crossJoin(is_android)  # one row each
-    relabel = lambda lang: F.when(F.col("is_android") & (lang == "Java/Kotlin"), "Android/Kotlin").otherwise(lang)
-    return row.select(
-        relabel(F.coalesce("first.language", "guess", F.lit("Unknown"))).alias("primary_language"), F.coalesce("first.kind", F.lit("unknown (no build-system marker found)")).alias("project_type"),
-        F.coalesce("first.build", F.lit("none detected")).alias("build_system"), F.transform("languages", relabel).alias("languages"), "markers", "entry_points", F.col("first").isNotNull().alias("is_recognized"),
+    markers = F.array(*[F.struct(*[F.lit(x).alias(k) for k, x in zip(("name", "language", "kind", "build"), m)]) for m in rules.PROJECT_MARKERS])
+    points = F.array(*[F.struct(F.lit(lang).alias("language"), F.lit(p).alias("name")) for lang, ps in rules.ENTRY_POINTS.items() for p in ps])
+    counts = F.array(*[F.struct((-c(f"_n{i}")).alias("n"), F.lit(lang).alias("language")) for i, lang in enumerate(spoken)])
+    kept = kept.withColumns({"_found": F.filter(markers, lambda m: F.array_contains("_names", m["name"])), "_guess": F.array_min(F.filter(counts, lambda x: x["n"] < 0))["language"]})
+    kept = kept.withColumns({"_languages": F.array_distinct(F.transform("_found", lambda m: m["language"])), "_first": F.get("_found", F.lit(0))})
+    entries = F.filter(points, lambda p: F.array_contains("_languages", p["language"]) & F.array_contains("_names", p["name"]))
+    relabel = lambda lang: F.when(c("_is_android") & (lang == "Java/Kotlin"), "Android/Kotlin").otherwise(lang)
+    return kept.select(
+        *by, relabel(F.coalesce("_first.language", "_guess", F.lit("Unknown"))).alias("primary_language"), F.coalesce("_first.kind", F.lit("unknown (no build-system marker found)")).alias("project_type"),
+        F.coalesce("_first.build", F.lit("none detected")).alias("build_system"), F.transform("_languages", relabel).alias("languages"), F.array_sort(F.transform("_found", lambda m: m["name"])).alias("markers"),
+        F.array_sort(F.array_distinct(F.transform(entries, lambda p: p["name"]))).alias("entry_points"), c("_first").isNotNull().alias("is_recognized"),
     )
 
 

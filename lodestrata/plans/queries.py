@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
-from ..operators import findings, incremental, ordering, parts, records, score, stats, transfer, tree
+from ..operators import findings, incremental, matching, ordering, parts, records, score, stats, transfer, tree
 from ..sources import corpus, directories
 from ..sources import files as tree_source
 
@@ -398,11 +398,22 @@ def tree_entries(spark, sf_dir):
     return tree.entries(corpus.documents(spark, sf_dir), max_entries=15)
 
 
-@query(f"with {FILES} select 'Unknown' as primary_language, 'unknown (no build-system marker found)' as project_type, 'none detected' as build_system, false as is_recognized, (select count(*) from files) as files")
+SPOKEN = ", ".join(f"('{e}', '{lang}')" for e, lang in rules.EXTENSION_LANGUAGE.items())
+CODE_PATH = "doc_id || case lang when 'fr' then '.py' when 'de' then '.rs' when 'es' then '.js' else case when doc_id % 2 = 0 then '.go' else '.md' end end"
+
+
+@query(
+    f"""with files as (select source, {CODE_PATH} as rel_path from documents), spoken(extension, language) as (values {SPOKEN}),
+    counted as (select source, language, count(*) as n from files join spoken on regexp_extract(rel_path, '\\.[^.]*$') = extension group by all),
+    guess as (select *, row_number() over (partition by source order by n desc, language) as place from counted)
+    select source, coalesce(any_value(language), 'Unknown') as primary_language, 'unknown (no build-system marker found)' as project_type, 'none detected' as build_system, false as is_recognized, any_value(files) as files
+    from (select source, count(*) as files from files group by source) left join (select source, language from guess where place = 1) using (source) group by source"""
+)
 def project_detection(spark, sf_dir):
-    files = corpus.documents(spark, sf_dir)
-    found = score.detect_project(files).select("primary_language", "project_type", "build_system", "is_recognized")
-    return found.crossJoin(files.agg(F.count("*").alias("files")))  # one row each
+    """Sources as projects without a marker: the commonest language of their files."""
+    files = corpus.table(spark, sf_dir, "documents").select("source", F.expr(CODE_PATH).alias("rel_path"))
+    found = score.detect_project(files, ("source",)).select("source", "primary_language", "project_type", "build_system", "is_recognized")
+    return found.join(files.groupBy("source").agg(F.count("*").alias("files")), "source")
 
 
 PLANTED_PATH = (
@@ -582,25 +593,49 @@ def remaining_lines(spark, sf_dir):
     return blocks.select("rel_path", "block", transfer.remaining_lines(F.col("n"), F.col("block"), 20).alias("remaining"))
 
 
-PROJECTS = {
-    "mixed": [("Cargo.toml", ""), ("package.json", "{}"), ("src/main.rs", ""), ("index.js", ""), ("sub/go.mod", "")],
-    "android": [("build.gradle", ""), ("app/build.gradle", "id 'com.android.application'"), ("Makefile", "")],
-    "java": [("build.gradle.kts", "plugins { java }"), ("pom.xml", "")],
-}
+# Names that documents take in turn, so that projects of twenty have some markers each.
+PROJECT_NAMES = [m[0] for m in rules.PROJECT_MARKERS] + sorted({p for ps in rules.ENTRY_POINTS.values() for p in ps}) + ["app/build.gradle", "app/src/main/AndroidManifest.xml", "src/main/AndroidManifest.xml", "sub/go.mod", "a.py", "b.rs", "c.kt", "d.lua"]
+NAME_INDEX = f"(doc_id * 37 + (doc_id - doc_id % 20) * 13) % {3 * len(PROJECT_NAMES)}"
+SQL_ROWS = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
 @query(
-    """select * from (values
-      ('mixed', 'Rust', 'binary/library', 'cargo', 'Rust,Node.js', 'Cargo.toml,package.json', 'index.js,src/main.rs', true),
-      ('android', 'Android/Kotlin', 'application', 'gradle', 'Android/Kotlin,Generic', 'Makefile,build.gradle', '', true),
-      ('java', 'Java', 'application', 'maven', 'Java,Java/Kotlin', 'build.gradle.kts,pom.xml', '', true))
-    as t(project, primary_language, project_type, build_system, languages, markers, entry_points, is_recognized)"""
+    rf"""with picked as (select (doc_id - doc_id % 20) / 20 as k, doc_id, text, lang, {NAME_INDEX} as i from documents),
+    files as (select cast(k as bigint) as project, case when i < {len(PROJECT_NAMES)} then ({PROJECT_NAMES!r})[i + 1] else doc_id || '.' || lang end as rel_path,
+      text || case when lang in ('fr', 'en') then ' com.android.library' else '' end as content from picked),
+    markers(priority, rel_path, language, kind, build) as (values {SQL_ROWS((i, *m) for i, m in enumerate(rules.PROJECT_MARKERS))}),
+    points(language, rel_path) as (values {SQL_ROWS((lang, p) for lang, ps in rules.ENTRY_POINTS.items() for p in ps)}),
+    spoken(extension, language) as (values {SPOKEN}),
+    found as (select distinct project, priority, rel_path, language, kind, build from files join markers using (rel_path)),
+    android as (select project, bool_or(regexp_matches(rel_path, '^(([^/]+/){{1,2}}src/main/)?AndroidManifest\.xml$') or (regexp_matches(rel_path, '^(app/)?build\.gradle(\.kts)?$') and contains(content, 'com.android.library'))) as is_android from files group by project),
+    named as (select f.* replace (case when is_android and language = 'Java/Kotlin' then 'Android/Kotlin' else language end as language), language as plain from found f join android using (project)),
+    tongues as (select project, string_agg(language, ',' order by p) as languages from (select project, language, min(priority) as p from named group by all) group by project),
+    marks as (select project, string_agg(distinct rel_path, ',' order by rel_path) as markers, min_by(language, priority) as language, min_by(kind, priority) as kind, min_by(build, priority) as build from named group by project),
+    entries as (select project, string_agg(distinct f.rel_path, ',' order by f.rel_path) as entry_points from files f join points p using (rel_path) where (project, language) in (select (project, plain) from named) group by project),
+    guess as (select project, language from (select project, language, row_number() over (partition by project order by count(*) desc, language) as place from files join spoken on regexp_extract(rel_path, '\.[^./]*$') = extension group by project, language) where place = 1)
+    select a.project, coalesce(m.language, case when is_android and g.language = 'Java/Kotlin' then 'Android/Kotlin' else g.language end, 'Unknown') as primary_language, coalesce(kind, 'unknown (no build-system marker found)') as project_type,
+      coalesce(build, 'none detected') as build_system, coalesce(languages, '') as languages, coalesce(markers, '') as markers, coalesce(entry_points, '') as entry_points, m.project is not null as is_recognized
+    from android a left join marks m using (project) left join tongues using (project) left join entries using (project) left join guess g using (project)"""
 )
 def marker_detection(spark, sf_dir):
-    """Detection where all documents and some marker files are a project."""
-    out = []
-    for name, planted in PROJECTS.items():
-        files = corpus.documents(spark, sf_dir).select("rel_path", "content").unionByName(spark.createDataFrame(planted, "rel_path string, content string"))
-        found = score.detect_project(files)
-        out.append(found.select(F.lit(name).alias("project"), *[F.array_join(c, ",").alias(c) if c in ("languages", "markers", "entry_points") else c for c in found.columns]))
-    return reduce(DataFrame.unionByName, out)
+    """Detection of many projects at once: every twenty documents are one, under names that markers and entry points have."""
+    names = F.array(*map(F.lit, PROJECT_NAMES))
+    docs = corpus.table(spark, sf_dir, "documents").withColumn("i", F.expr(NAME_INDEX).cast("int"))
+    path = F.when(F.col("i") < len(PROJECT_NAMES), F.get(names, F.col("i"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang")))
+    content = F.concat("text", F.when(F.col("lang").isin("fr", "en"), " com.android.library").otherwise(""))
+    found = score.detect_project(docs.select(F.expr("doc_id div 20").alias("project"), path.alias("rel_path"), content.alias("content")), ("project",))
+    return found.withColumns({k: F.array_join(k, ",") for k in ("languages", "markers", "entry_points")})
+
+
+@query(
+    f"""with {FILES}, split as (select *, string_split(regexp_replace(content, '\r\n|\r', chr(10), 'g'), chr(10)) as r from files), {LINES},
+    words as (select regexp_extract_all(text, '[A-Za-z]{{2,}} [A-Za-z]{{2,}}') as pairs from benchmark), rules as (select distinct unnest(pairs) as rule from words),
+    tokens as (select rel_path, line_number, string_split(line, ' ') as t from lines),
+    near as (select rel_path, line_number, unnest(list_transform(list_zip(t[:-2], t[2:]), lambda x: regexp_extract(x[1], '[A-Za-z]+$') || ' ' || regexp_extract(x[2], '^[A-Za-z]+'))) as rule from tokens)
+    select distinct rel_path, line_number, rule from near join rules using (rule)"""
+)
+def many_rules(spark, sf_dir):
+    """Every pair of words of the benchmark as a rule of its own, all found in one pass over the documents."""
+    pairs = corpus.table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,} [A-Za-z]{2,}"), F.lit(0))).alias("rule")).distinct()
+    wanted = pairs.select("rule", F.col("rule").alias("literal"), F.concat(F.lit("(^|[^A-Za-z])"), "rule", F.lit("($|[^A-Za-z])")).alias("pattern"))
+    return matching.match_rules(corpus.documents(spark, sf_dir), wanted)

@@ -28,52 +28,124 @@ from .. import rules
 SCHEMA = "rel_path string, size long, is_symlink boolean, is_broken_symlink boolean, is_executable boolean, content binary, part int, first_line long, is_split boolean, continues boolean, digest string"
 
 
-def ignore_pattern(line: str) -> tuple[re.Pattern, bool, bool] | None:
-    """A line of an ignore file as (pattern of the relative path, negated, directories only)."""
-    text = line.rstrip("\n\r")
-    if not text.endswith("\\ "):
-        text = text.rstrip(" ")
+# Fixed names of character classes, and what each holds.
+CLASSES = {
+    "alnum": "0-9A-Za-z", "alpha": "A-Za-z", "blank": " \\t", "cntrl": "\\x00-\\x1f\\x7f", "digit": "0-9", "graph": "!-~", "lower": "a-z",
+    "print": " -~", "punct": "!-/:-@\\[-`{-~", "space": " \\t-\\r", "upper": "A-Z", "xdigit": "0-9A-Fa-f",
+}
+
+
+def _bracket(text: str, i: int) -> tuple[str, int] | None:
+    """The class that opens at ``i`` as a pattern of one character, never ``/``, and where it ends; None if it doesn't end."""
+    at = i + 1
+    negated = text[at : at + 1] in ("!", "^")
+    at += negated
+    items, first, low = [], True, None
+    while True:
+        c = text[at : at + 1]
+        if not c:
+            return None
+        if c == "]" and not first:
+            break
+        first = False
+        if c == "[" and text[at + 1 : at + 2] == ":" and (end := text.find(":]", at + 2)) > 0:
+            if (name := text[at + 2 : end]) not in CLASSES:
+                return None
+            items.append(CLASSES[name])
+            at, low = end + 2, None
+            continue
+        is_range = c == "-" and low is not None and text[at + 1 : at + 2] not in ("", "]")
+        at += is_range
+        if text[at] == "\\":
+            at += 1
+            if at == len(text):
+                return None
+        c, at = text[at], at + 1
+        if not is_range:
+            items.append(re.escape(c))
+        elif low <= c:
+            items.append(f"{re.escape(low)}-{re.escape(c)}")
+        low = None if is_range else c
+    inner = "".join(items)
+    one = (f"[^{inner}]" if inner else ".") if negated else (f"[{inner}]" if inner else "(?!)")
+    return "(?!/)" + one, at + 1
+
+
+def ignore_pattern(line: str) -> tuple[str, bool, bool] | None:
+    """A line of an ignore file as (pattern of the relative path, negated, directories only); None if it matches nothing.
+
+    ``**`` crosses folders only as a whole part of the path; elsewhere it is ``*``.
+    """
+    text = line.removesuffix("\n").removesuffix("\r")
+    while text.endswith(" ") and (len(text) - 1 - len(text[:-1].rstrip("\\"))) % 2 == 0:
+        text = text[:-1]
     if not text or text.startswith("#"):
         return None
     negated = text.startswith("!")
     text = text[negated:]
     only_dirs = text.endswith("/")
-    text = text.rstrip("/")
+    text = text.removesuffix("/")
     rooted = "/" in text
-    text = text.lstrip("/")
+    text = text.removeprefix("/")
     out, i = "", 0
     while i < len(text):
         c = text[i]
-        if text.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif text.startswith("/**", i) and i + 3 == len(text):
-            out, i = out + "/.*", i + 3
-        elif text.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif c == "*":
-            out, i = out + "[^/]*", i + 1
+        if c == "*":
+            end = i + len(text[i:]) - len(text[i:].lstrip("*"))
+            whole = end - i > 1 and (i == 0 or text[i - 1] == "/") and text[end : end + 1] in ("", "/")
+            if not whole:
+                out, i = out + "[^/]*", end
+            elif end == len(text):
+                out, i = out + ".+", end
+            else:
+                out, i = out + "(?:.*/)?", end + 1
         elif c == "?":
             out, i = out + "[^/]", i + 1
-        elif c == "[" and (end := text.find("]", i + 2)) > 0:
-            inner = text[i + 1 : end]
-            out, i = out + "[" + ("^" + inner[1:] if inner[0] in "!^" else inner).replace("\\", "\\\\") + "]", end + 1
-        elif c == "\\" and i + 1 < len(text):
+        elif c == "[":
+            if not (found := _bracket(text, i)):
+                return None
+            out, i = out + found[0], found[1]
+        elif c == "\\":
+            if i + 1 == len(text):
+                return None
             out, i = out + re.escape(text[i + 1]), i + 2
         else:
             out, i = out + re.escape(c), i + 1
-    return re.compile(("" if rooted else "(?:.*/)?") + out + r"\Z", re.S), negated, only_dirs
+    return (("" if rooted else "(?:.*/)?") + out, negated, only_dirs) if out else None
+
+
+class Rules:
+    """All rules of a folder as one pattern: the last rule that matches decides, so it is the first alternative."""
+
+    def __init__(self, lines: Iterator[str]):
+        found = [p for p in map(ignore_pattern, lines) if p][::-1]
+        self.negated = [negated for _, negated, _ in found]
+        self.pattern = re.compile("|".join(f"({p}{'/' if only_dirs else '/?'})" + r"\Z" for p, _, only_dirs in found), re.S)
 
+    def __bool__(self):
+        return bool(self.negated)
 
-def read_patterns(path: str) -> list:
+    def verdict(self, path: str) -> bool | None:
+        """Whether ``path``, a folder's with ``/`` behind it, is ignored; None where no rule matches."""
+        if not self or not (m := self.pattern.match(path)):
+            return None
+        return not self.negated[m.lastindex - 1]
+
+
+def _lines(path: str) -> list[str]:
     try:
-        with open(path, encoding="utf-8", errors="replace") as f:
-            return [p for p in map(ignore_pattern, f) if p]
+        with open(path, encoding="utf-8", errors="replace", newline="\n") as f:
+            return f.readlines()
     except OSError:
         return []
 
 
-def read_ignores(folder: str) -> list:
-    return [p for name in (".gitignore", ".ignore") for p in read_patterns(os.path.join(folder, name))]
+def read_patterns(path: str) -> Rules:
+    return Rules(_lines(path))
+
+
+def read_ignores(folder: str) -> Rules:
+    return Rules(x for name in (".gitignore", ".ignore") for x in _lines(os.path.join(folder, name)))
 
 
 def user_ignores() -> str:
@@ -101,11 +173,9 @@ def outer_ignores(root: str, user: str = "") -> list:
 
 
 def ignored(path: str, is_dir: bool, ignores: list) -> bool:
-    for base, lead, patterns in reversed(ignores):  # the deepest ignore file decides, its last match first
-        rel = lead + path[len(base) :]
-        for pattern, negated, only_dirs in reversed(patterns):
-            if (is_dir or not only_dirs) and pattern.match(rel):
-                return not negated
+    for base, lead, own in reversed(ignores):  # the deepest ignore file decides
+        if (verdict := own.verdict(lead + path[len(base) :] + "/" * is_dir)) is not None:
+            return verdict
     return False
 
 
