@@ -51,7 +51,8 @@ def split_chunks(texts: DataFrame, block_lines: int = rules.BLOCK_LINES, chunk_b
         return F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(n / block_lines).cast("int") - 1), one))
 
     rows = texts.where(F.octet_length("content") > 0).select("rel_path", T.sha256_mark("content").alias("report_hash"), T.let(T.lines_keep_ends("content"), blocks).alias("chunks"))
-    rows = rows.select("rel_path", "report_hash", F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("pos", "c"))
+    # Every text here has a chunk; of the plain posexplode Spark would infer a filter that folds each text once more.
+    rows = rows.select("rel_path", "report_hash", F.size("chunks").alias("total_chunks"), F.posexplode_outer("chunks").alias("pos", "c"))
     return rows.select(
         "rel_path", F.col("c.block").alias("block"), F.ceil(F.col("c.n") / block_lines).cast("int").alias("total_blocks"), (F.col("pos") + 1).alias("chunk_index"), "total_chunks",
         (F.col("c.block") * block_lines + 1).alias("start_line"), F.least((F.col("c.block") + 1) * block_lines, F.col("c.n")).alias("end_line"), F.col("c.body").alias("body"), "report_hash",

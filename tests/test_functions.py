@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -16,6 +18,13 @@ def test_lines(spark):
         assert universal == [x.rstrip("\n") for x in s.replace("\r\n", "\n").replace("\r", "\n").splitlines(keepends=True)] or "\x0b" in s
 
 
+def test_lines_with_ends_are_those_of_python(spark):
+    rng = random.Random(7)
+    samples = ["".join(rng.choice("ab \u00e9\U0001f600\n\r\r\n\x0b\x0c\x1c\x1d\x1e\x1f\x85\u2028\u2029") for _ in range(rng.randint(0, 12))) for _ in range(2000)] + ["\r", "\r\n", "\n\r", "a\r", "a\r\n", "\r\r\n\n"]
+    got = values(spark, [*samples, None], T.lines_keep_ends("x"))
+    assert [g[0] for g in got] == [*(s.splitlines(keepends=True) for s in samples), None]
+
+
 def test_line_kinds(spark):
     text = "fn main() {\n\n// comment\n# comment\nlet value = 42;\n  \n}\n"
     got = values(spark, [text], F.transform(T.lines_lf("x"), T.line_kind))[0][0]

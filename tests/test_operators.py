@@ -102,6 +102,15 @@ def texts():
     return rows + ["a" * 99 + "\n", "a" * 100 + "\n", "b" * 50 + "\n" + "c" * 48 + "\n", "", "x\n" * 2500, "no end"]
 
 
+def test_chunks_fold_each_text_once(spark):
+    """No filter inferred from the chunks' explosion folds the text a second time."""
+    files = spark.createDataFrame([("a", "x\ny\n"), ("empty", ""), ("null", None)], "rel_path string, content string")
+    chunks = transfer.split_chunks(files, 1, 20)
+    assert [(r.chunk_index, r.total_chunks, r.body) for r in chunks.orderBy("chunk_index").collect()] == [(1, 2, "x\n"), (2, 2, "y\n")]
+    plan = chunks._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("aggregate(") == 1
+
+
 def test_chunks_equal_definition(spark):
     rows = [(str(i), t) for i, t in enumerate(texts())]
     for block, most in ((1000, 100), (7, 100), (1000, 4000)):
