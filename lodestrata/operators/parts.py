@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import text as T
+from ..sources.corpus import checkpointed
 
 FOLDED = "rel_path string, block long, k int, body string, lines int"
 
@@ -42,7 +43,8 @@ def lines(parts: DataFrame) -> DataFrame:
     content = F.make_valid_utf8(F.col("content").cast("string"))
     own = parts.where(F.octet_length("content") > 0).select("rel_path", F.col("part").cast("long").alias("part"), F.coalesce(goes_on, F.lit(False)).cast("int").alias("_on"), T.lines_keep_ends(content).alias("_lines"))
     counted = sums_ahead(own.select("rel_path", "part", (F.size("_lines") - F.col("_on")).alias("_n")), ["rel_path"], "part", "_n", "_ahead").select("rel_path", "part", "_ahead")
-    each = own.join(counted, ["rel_path", "part"]).select("rel_path", "part", "_ahead", "_on", F.posexplode("_lines").alias("_pos", "text"))
+    # A part here has a line; of the plain posexplode Spark would infer a filter that splits each part once more.
+    each = own.join(counted, ["rel_path", "part"]).select("rel_path", "part", "_ahead", "_on", F.posexplode_outer("_lines").alias("_pos", "text"))
     return each.select("rel_path", (F.col("_ahead") + F.col("_pos") - F.col("_on")).alias("line"), "part", "text")
 
 
@@ -97,15 +99,18 @@ def _fold(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.Re
 def split_parts(parts: DataFrame, hashes: DataFrame, block_lines: int = rules.BLOCK_LINES, chunk_bytes: int = rules.CHUNK_BYTES) -> DataFrame:
     """The rows of ``transfer.split_chunks``, of texts in parts; ``hashes(rel_path, hash)`` are those of whole texts.
 
-    A text of no bytes has no chunk.  A chunk is a row, so a line is one too.
+    A text of no bytes has no chunk.  A chunk is a row, so a line is one too.  Folded chunks
+    are read four times, for numbers, totals and rows, so they are checkpointed: the shared
+    folder holds the texts once.
     """
     dealt = lines(parts).select("rel_path", F.expr(f"line div {block_lines}").alias("block"), "line", "part", "text")
     dealt = dealt.repartition("rel_path", "block").sortWithinPartitions("rel_path", "block", "line", "part").drop("part")
-    chunks = dealt.mapInArrow(lambda b: _fold(b, chunk_bytes), FOLDED)
+    chunks = checkpointed(dealt.mapInArrow(lambda b: _fold(b, chunk_bytes), FOLDED))
     blocks = chunks.groupBy("rel_path", "block").agg(F.count("*").alias("_n"), F.sum("lines").alias("_lines"))
     numbered = sums_ahead(blocks, ["rel_path"], "block", "_n", "_ahead")
     totals = blocks.groupBy("rel_path").agg(F.sum("_n").alias("_chunks"), F.sum("_lines").alias("_all"))
-    named = chunks.join(numbered.select("rel_path", "block", "_ahead"), ["rel_path", "block"]).join(totals, "rel_path").join(hashes.select("rel_path", F.concat(F.lit("sha256:"), "hash").alias("report_hash")), "rel_path")
+    known = numbered.select("rel_path", "block", "_ahead").join(totals, "rel_path").join(hashes.select("rel_path", F.concat(F.lit("sha256:"), "hash").alias("report_hash")), "rel_path")
+    named = chunks.join(known, ["rel_path", "block"])
     i = lambda c: c.cast("int")
     return named.select(
         "rel_path", i(F.col("block")).alias("block"), i(F.ceil(F.col("_all") / block_lines)).alias("total_blocks"), i(F.col("_ahead") + F.col("k") + 1).alias("chunk_index"), i(F.col("_chunks")).alias("total_chunks"),

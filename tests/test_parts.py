@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.operators import parts, records, transfer
+from lodestrata.plans import queries
 from lodestrata.sources import files as source
 
 
@@ -32,6 +33,34 @@ def test_chunks_of_parts_are_those_of_the_whole(spark, inside):
     assert "collect_list" not in plan
 
 
+def test_parts_are_folded_once(spark):
+    """Chunks are kept before they are numbered: no later step splits and folds the texts again."""
+    d = spark.createDataFrame([("f", 0, "a\nb\n"), ("f", 1, "c\n"), ("g", 0, "d")], "rel_path string, part int, content string")
+    got = parts.split_parts(d, spark.createDataFrame([("f", "1"), ("g", "2")], "rel_path string, hash string"), 2, 2)
+    assert sorted((r.rel_path, r.chunk_index, r.total_chunks, r.body, r.report_hash) for r in got.collect()) == [("f", 1, 3, "a\n", "sha256:1"), ("f", 2, 3, "b\n", "sha256:1"), ("f", 3, 3, "c\n", "sha256:1"), ("g", 1, 1, "d", "sha256:2")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "split(" not in plan
+
+
+def test_documents_are_cut_where_they_are_read(spark, tmp_path):
+    rng = random.Random(11)
+    texts = {k: "".join(rng.choice(["", "ab", "\u00e9" * 9, "\U0001f600x"]) + rng.choice(["\n", "\r\n", "\r", "\x0b", "\x1c", "\x85", "\u2028"]) for _ in range(rng.choice([0, 1, 40]))) + rng.choice(["", "end"]) for k in range(30)}
+    spark.createDataFrame([*((k, t, "en", "s") for k, t in texts.items()), (30, None, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    cut = queries._in_parts(spark, str(tmp_path), 25)
+    want = set()
+    for k, t in texts.items():
+        ahead, own = 0, {}
+        for line in t.splitlines(keepends=True):
+            own[ahead // 25] = own.get(ahead // 25, "") + line
+            ahead += len(line)
+        want |= {(f"s/{k}.en", part, content) for part, content in own.items()}
+    rows = [tuple(r) for r in cut.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+    chunks = queries.part_chunks(spark, str(tmp_path))
+    assert sorted(map(tuple, chunks.drop("report_hash").collect())) == sorted(map(tuple, queries.chunk_plan(spark, str(tmp_path)).collect()))
+
+
 def test_sums_ahead_in_short_stretches(spark):
     rng = random.Random(4)
     rows = [(g, i, rng.randint(0, 9)) for g in "ab" for i in rng.sample(range(200), 90)]
