@@ -96,16 +96,17 @@ def _fold(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.Re
         yield batch()
 
 
-def split_parts(parts: DataFrame, hashes: DataFrame, block_lines: int = rules.BLOCK_LINES, chunk_bytes: int = rules.CHUNK_BYTES) -> DataFrame:
+def split_parts(parts: DataFrame, hashes: DataFrame, block_lines: int = rules.BLOCK_LINES, chunk_bytes: int = rules.CHUNK_BYTES, bodies: bool = True) -> DataFrame:
     """The rows of ``transfer.split_chunks``, of texts in parts; ``hashes(rel_path, hash)`` are those of whole texts.
 
     A text of no bytes has no chunk.  A chunk is a row, so a line is one too.  Folded chunks
     are read four times, for numbers, totals and rows, so they are checkpointed: the shared
-    folder holds the texts once.
+    folder holds the texts once, or, without ``bodies``, their chunks' sizes and hashes alone.
     """
     dealt = lines(parts).select("rel_path", F.expr(f"line div {block_lines}").alias("block"), "line", "part", "text")
     dealt = dealt.repartition("rel_path", "block").sortWithinPartitions("rel_path", "block", "line", "part").drop("part")
-    chunks = checkpointed(dealt.mapInArrow(lambda b: _fold(b, chunk_bytes), FOLDED))
+    chunks = dealt.mapInArrow(lambda b: _fold(b, chunk_bytes), FOLDED).withColumns({"chunk_bytes": F.octet_length("body"), "chunk_hash": T.sha256_mark("body")})
+    chunks = checkpointed(chunks if bodies else chunks.drop("body"))
     blocks = chunks.groupBy("rel_path", "block").agg(F.count("*").alias("_n"), F.sum("lines").alias("_lines"))
     numbered = sums_ahead(blocks, ["rel_path"], "block", "_n", "_ahead")
     totals = blocks.groupBy("rel_path").agg(F.sum("_n").alias("_chunks"), F.sum("_lines").alias("_all"))
@@ -114,8 +115,8 @@ def split_parts(parts: DataFrame, hashes: DataFrame, block_lines: int = rules.BL
     i = lambda c: c.cast("int")
     return named.select(
         "rel_path", i(F.col("block")).alias("block"), i(F.ceil(F.col("_all") / block_lines)).alias("total_blocks"), i(F.col("_ahead") + F.col("k") + 1).alias("chunk_index"), i(F.col("_chunks")).alias("total_chunks"),
-        i(F.col("block") * block_lines + 1).alias("start_line"), i(F.least((F.col("block") + 1) * block_lines, F.col("_all"))).alias("end_line"), "body", "report_hash",
-    ).withColumns({"chunk_bytes": F.octet_length("body"), "chunk_hash": T.sha256_mark("body")})
+        i(F.col("block") * block_lines + 1).alias("start_line"), i(F.least((F.col("block") + 1) * block_lines, F.col("_all"))).alias("end_line"), *["body"] * bodies, "report_hash", "chunk_bytes", "chunk_hash",
+    )
 
 
 FACTS = "chunks long, error string, session_id string, report_id string, total int, sessions boolean, reports boolean, totals boolean, repeated boolean, lowest int, highest int, starts long, ends long, start_hash string, end_hash string, hash string"

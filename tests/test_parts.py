@@ -40,6 +40,9 @@ def test_parts_are_folded_once(spark):
     assert sorted((r.rel_path, r.chunk_index, r.total_chunks, r.body, r.report_hash) for r in got.collect()) == [("f", 1, 3, "a\n", "sha256:1"), ("f", 2, 3, "b\n", "sha256:1"), ("f", 3, 3, "c\n", "sha256:1"), ("g", 1, 1, "d", "sha256:2")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "split(" not in plan
+    bare = parts.split_parts(d, spark.createDataFrame([("f", "1"), ("g", "2")], "rel_path string, hash string"), 2, 2, bodies=False)
+    assert "body" not in bare.columns and "body" not in bare._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, got.drop("body").collect()))
 
 
 def test_documents_are_cut_where_they_are_read(spark, tmp_path):
