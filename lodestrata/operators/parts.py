@@ -41,10 +41,9 @@ def lines(parts: DataFrame) -> DataFrame:
     """``(rel_path, line, part, text)``: every line, or piece of one, with its number from 0 in the whole text."""
     goes_on = F.col("continues") if "continues" in parts.columns else F.lit(False)
     content = F.make_valid_utf8(F.col("content").cast("string"))
-    own = parts.where(F.octet_length("content") > 0).select("rel_path", F.col("part").cast("long").alias("part"), F.coalesce(goes_on, F.lit(False)).cast("int").alias("_on"), T.lines_keep_ends(content).alias("_lines"))
-    counted = sums_ahead(own.select("rel_path", "part", (F.size("_lines") - F.col("_on")).alias("_n")), ["rel_path"], "part", "_n", "_ahead").select("rel_path", "part", "_ahead")
-    # A part here has a line; of the plain posexplode Spark would infer a filter that splits each part once more.
-    each = own.join(counted, ["rel_path", "part"]).select("rel_path", "part", "_ahead", "_on", F.posexplode_outer("_lines").alias("_pos", "text"))
+    own = parts.where(F.octet_length("content") > 0).select("rel_path", F.col("part").cast("long").alias("part"), F.coalesce(goes_on, F.lit(False)).cast("int").alias("_on"), content.alias("_text"))
+    counted = sums_ahead(own.select("rel_path", "part", (F.size(T.lines_keep_ends("_text")) - F.col("_on")).alias("_n")), ["rel_path"], "part", "_n", "_ahead").select("rel_path", "part", "_ahead")
+    each = own.join(counted, ["rel_path", "part"]).select("rel_path", "part", "_ahead", "_on", F.posexplode_outer(T.lines_keep_ends("_text")).alias("_pos", "text"))
     return each.select("rel_path", (F.col("_ahead") + F.col("_pos") - F.col("_on")).alias("line"), "part", "text")
 
 
@@ -105,17 +104,18 @@ def split_parts(parts: DataFrame, hashes: DataFrame, block_lines: int = rules.BL
     """
     dealt = lines(parts).select("rel_path", F.expr(f"line div {block_lines}").alias("block"), "line", "part", "text")
     dealt = dealt.repartition("rel_path", "block").sortWithinPartitions("rel_path", "block", "line", "part").drop("part")
-    chunks = dealt.mapInArrow(lambda b: _fold(b, chunk_bytes), FOLDED).withColumns({"chunk_bytes": F.octet_length("body"), "chunk_hash": T.sha256_mark("body")})
+    chunks = dealt.mapInArrow(lambda b: _fold(b, chunk_bytes), FOLDED).withColumns({"chunk_bytes": F.octet_length("body"), "_digest": F.unhex(F.sha2("body", 256))})
     chunks = checkpointed(chunks if bodies else chunks.drop("body"))
     blocks = chunks.groupBy("rel_path", "block").agg(F.count("*").alias("_n"), F.sum("lines").alias("_lines"))
     numbered = sums_ahead(blocks, ["rel_path"], "block", "_n", "_ahead")
     totals = blocks.groupBy("rel_path").agg(F.sum("_n").alias("_chunks"), F.sum("_lines").alias("_all"))
-    known = numbered.select("rel_path", "block", "_ahead").join(totals, "rel_path").join(hashes.select("rel_path", F.concat(F.lit("sha256:"), "hash").alias("report_hash")), "rel_path")
+    known = numbered.select("rel_path", "block", "_ahead").join(totals, "rel_path").join(hashes.select("rel_path", F.col("hash").alias("_hash")), "rel_path")
     named = chunks.join(known, ["rel_path", "block"])
     i = lambda c: c.cast("int")
     return named.select(
         "rel_path", i(F.col("block")).alias("block"), i(F.ceil(F.col("_all") / block_lines)).alias("total_blocks"), i(F.col("_ahead") + F.col("k") + 1).alias("chunk_index"), i(F.col("_chunks")).alias("total_chunks"),
-        i(F.col("block") * block_lines + 1).alias("start_line"), i(F.least((F.col("block") + 1) * block_lines, F.col("_all"))).alias("end_line"), *["body"] * bodies, "report_hash", "chunk_bytes", "chunk_hash",
+        i(F.col("block") * block_lines + 1).alias("start_line"), i(F.least((F.col("block") + 1) * block_lines, F.col("_all"))).alias("end_line"), *["body"] * bodies, F.concat(F.lit("sha256:"), "_hash").alias("report_hash"),
+        "chunk_bytes", F.concat(F.lit("sha256:"), F.lower(F.hex("_digest"))).alias("chunk_hash"),
     )
 
 
