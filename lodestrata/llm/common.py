@@ -75,9 +75,19 @@ def utf8(text: str | None) -> bytes:
     return text.encode("utf-8", "replace") if text else b""
 
 
+def few(df: DataFrame, rows: int, part: int = 50_000) -> DataFrame:
+    """``df``, known to have at most ``rows`` short rows, in a task for each ``part`` of them, but one a core at least.
+
+    The driver keeps a record of every task, so a loop over a few thousand links must not
+    run each of its steps in as many tasks as the shuffles of whole texts.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // part)))
+
+
 def checked(small: DataFrame, row_bytes: int = 16, most: int = BROADCAST_BYTES) -> DataFrame:
     """``small`` marked for broadcast if its counted rows stay below ``most`` bytes, else as it is."""
-    return F.broadcast(small) if small.count() * row_bytes < most else small
+    n = small.count()
+    return F.broadcast(few(small, n)) if n * row_bytes < most else small
 
 
 def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", row_bytes: int = 32, most: int = BROADCAST_BYTES, part: int = 50_000, counted: DataFrame | None = None) -> DataFrame:
@@ -90,8 +100,9 @@ def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner
     and ``many`` is read once.
     """
     one = cut(one)
-    if one.count() * row_bytes < most:
-        return many.join(F.broadcast(one), keys, how)
+    n = one.count()
+    if n * row_bytes < most:
+        return many.join(F.broadcast(few(one, n)), keys, how)
     if counted is None:
         many = cut(many)
         counted = many.groupBy(*keys).agg(F.count("*").alias("_n"))

@@ -117,10 +117,12 @@ class Model:
 
 
 def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, hidden: int = 24, gate: int = 12, epochs: int = 25, batch: int = 64, rate: float = 3e-3, decay: float = 1e-4, seed: int = 1) -> Model:
-    """Adam on the log loss of bags; ``x`` has the passages of all bags in order."""
+    """Adam on the log loss of bags; ``x`` has the passages of all bags in order.
+
+    ``x`` may fill a good part of the driver, so it is never copied: a batch is scaled when it is used.
+    """
     rng = np.random.default_rng(seed)
-    mean, scale = x.mean(0), x.std(0) + 1e-2
-    x = np.clip((x - mean) / scale, -8, 8).astype(np.float32)
+    mean, scale = x.mean(0), np.concatenate([x[:, i : i + KINDS].std(0) for i in range(0, x.shape[1], KINDS)]) + 1e-2
     f = x.shape[1]
     normal = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
     w = {"W": normal(f, hidden), "b": np.zeros(hidden, np.float32), "V": normal(hidden, gate), "U": normal(hidden, gate), "a": normal(gate), "c": normal(hidden), "d": np.zeros(1, np.float32)}
@@ -134,7 +136,7 @@ def fit(x: np.ndarray, sizes: np.ndarray, y: np.ndarray, hidden: int = 24, gate:
             n = sizes[own]
             starts = np.r_[0, np.cumsum(n)[:-1]]
             rows = np.repeat(first[own] - starts, n) + np.arange(n.sum())
-            xb = x[rows]
+            xb = model.scaled(x[rows]).astype(np.float32)
             o = model.forward(xb, starts, n)
             dlogit = ((o["p"] - y[own]) / len(own)).astype(np.float32)
             dbag = np.repeat(dlogit[:, None] * w["c"], n, axis=0)
@@ -199,7 +201,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 4000, max_passage
         zero.weights |= {"c": np.zeros_like(zero.weights["c"]), "d": sure}
         return zero
     lists = got["x"].combine_chunks()
-    return fit(lists.flatten().to_numpy().reshape(-1, FEATURES), np.diff(lists.offsets.to_numpy()) // FEATURES, y, **options)
+    del got
+    pa.default_memory_pool().release_unused()  # what came unsorted
+    model = fit(lists.flatten().to_numpy().reshape(-1, FEATURES), np.diff(lists.offsets.to_numpy()) // FEATURES, y, **options)
+    del lists
+    pa.default_memory_pool().release_unused()  # the driver has other work after this
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, blocks, checked, cut, join_one, small_batches, table, utf8
+from .common import BROADCAST_BYTES, blocks, checked, cut, few, join_one, small_batches, table, utf8
 
 BITS = 64
 CHECK = 4  # words of a wide fingerprint by which candidates are compared
@@ -191,26 +191,28 @@ def components(edges: DataFrame, max_rounds: int = 64, broadcast_bytes: int = BR
     Alternates large-star and small-star steps until the links no longer change, each
     round cut off in the shared checkpoint folder.  Minima are pre-aggregated before they
     are shuffled.  They go to all tasks while there are few links; beyond that the links
-    of a node that has more than ``part`` are dealt over several tasks.
+    of a node that has more than ``part`` are dealt over several tasks.  A round runs in as
+    many tasks as its links fill, whatever the number of shuffle partitions.
     """
 
     def state(e):
         return e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     def lowest(rows, low, key):
-        return rows.join(F.broadcast(low), key) if 32 * was[0] < broadcast_bytes else join_one(rows, low, [key], row_bytes=16, most=broadcast_bytes, part=part)
+        return rows.join(F.broadcast(few(low, 2 * was[0])), key) if 32 * was[0] < broadcast_bytes else join_one(rows, low, [key], row_bytes=16, most=broadcast_bytes, part=part)
 
     edges = cut(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     was = state(edges)
     if not was[0]:
         return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+    edges = few(edges, was[0])
     for _ in range(max_rounds):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = lowest(both, low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct()
+        large = few(lowest(both, low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a != b").distinct(), was[0])
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         joined = lowest(large, low, "b")
-        edges = cut(joined.select(F.col("m").alias("a"), "b").union(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+        edges = cut(few(joined.select(F.col("m").alias("a"), "b").union(joined.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), 2 * was[0]))
         now = state(edges)
         if now == was:
             break

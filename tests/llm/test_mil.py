@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -113,3 +114,18 @@ def test_bounds_of_the_sample(spark):
     assert all((a.weights[k] == b.weights[k]).all() for k in a.weights)
     long = spark.createDataFrame([(own, "word " * 2_000_000)], "doc_id long, text string")
     assert mil.train(d.where(F.col("doc_id") != own).unionByName(long), lab, max_passages=2000).weights["d"].shape == (1,)
+
+
+def test_fit_copies_no_passages():
+    """The passages fill a good part of the driver's memory once; fitting takes little beside them and leaves them as they are."""
+    rng = np.random.default_rng(4)
+    sizes = rng.integers(1, 20, 1500)
+    x = rng.random((sizes.sum(), mil.FEATURES)).astype(np.float32)
+    x.flags.writeable = False
+    tracemalloc.start()
+    try:
+        model = mil.fit(x, sizes, rng.integers(0, 2, len(sizes)).astype(np.float32), epochs=1)
+        assert tracemalloc.get_traced_memory()[1] < x.nbytes / 2
+    finally:
+        tracemalloc.stop()
+    assert (model.mean == x.mean(0)).all() and (model.scale == x.std(0) + 1e-2).all()

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lodestrata.llm import simhash
+from lodestrata.llm import common, simhash
 
 
 def brute_fp(text, words=4):
@@ -222,3 +222,21 @@ def test_keep_one_hands_on_columns_of_any_name(spark):
     got = simhash.keep_one(d)
     assert got.columns == d.columns
     assert sorted((r.doc_id, r._key, r._id, bytes(r._text), r.lead, r._row) for r in got.collect()) == [(1, "a", 1, b"x", "p", 7), (3, "c", 3, b"z", "r", 9)]
+
+
+def test_components_of_few_links_run_in_few_tasks(spark):
+    """The driver keeps a record of each task, so rounds over few links don't follow the number of shuffle partitions."""
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in conf}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = simhash.components(chain)
+        assert got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert {tuple(r) for r in got.collect()} == {(i, 0) for i in range(1, 41)}
+        small = spark.createDataFrame([(i % 9,) for i in range(99)], "k long").distinct()
+        assert common.checked(small).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
